@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from launchlens.functions import rounded
+from launchlens.functions.columns import round_off_tie
 from launchlens.operators import creators, features as ops
 from launchlens.plans import query
 from launchlens.plans.wallets import PAIRS, STATS, stats
@@ -160,7 +161,7 @@ def on_grid(spark, sf, fam, name):
 def typed(c, kind):
     if kind.startswith("i"):
         return F.coalesce(F.col(c), F.lit(int(kind[1:] or 0))).cast("long").alias(c)
-    return F.round(F.coalesce(F.col(c), F.lit(0.0)), int(kind[1:] or 6)).alias(c)
+    return round_off_tie(F.coalesce(F.col(c), F.lit(0.0)), int(kind[1:] or 6)).alias(c)
 
 
 def _register(name, build):
@@ -323,7 +324,7 @@ def _(spark, sf):
     return out.select(
         *KEY, "snapshot_ts", *[typed(c, k) for c, k in _WIDE.items()],
         *[c for c in out.columns if c not in _WIDE and c not in KEY and c not in ("snapshot_ts", "initial_buy_sol")],
-        F.round("initial_buy_sol", 6).alias("initial_buy_sol"),
+        round_off_tie(F.col("initial_buy_sol")).alias("initial_buy_sol"),
     )
 
 

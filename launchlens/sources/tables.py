@@ -179,8 +179,8 @@ trades AS (
     user_id AS wallet, CASE WHEN event_type IN ('purchase','click','view') THEN 1 ELSE 0 END AS is_buy,
     value AS sol_amount, cast(1 + event_id % 7 AS double) AS token_amount,
     value / (1 + event_id % 7) AS price_sol, value / (1 + event_id % 7) * 1e9 AS market_cap_sol,
-    cast(floor(epoch_ms(ts)/3600000.0) AS bigint)*1000 - {CLOCK_ZERO_MS} AS ts_ms,
-    epoch_ms(ts) AS ts_real_ms,
+    cast(floor((epoch_us(ts) // 1000)/3600000.0) AS bigint)*1000 - {CLOCK_ZERO_MS} AS ts_ms,
+    (epoch_us(ts) // 1000) AS ts_real_ms,
     CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_junk
   FROM events),
 ranked_trades AS (
@@ -250,4 +250,26 @@ grid AS (SELECT m.*, a.age, m.created_ms + a.age * 1000 AS cutoff FROM mints m,
 
 def oracle(body: str, *extra: str) -> str:
     """SQL text: the table expressions above, optional further ones, then the body."""
-    return "WITH " + ",\n".join([PRELUDE.strip(), *extra]) + "\n" + body
+    return nudge_rounding("WITH " + ",\n".join([PRELUDE.strip(), *extra]) + "\n" + body)
+
+
+def nudge_rounding(sql: str) -> str:
+    """round(x, 6) becomes round((x) + 1e-9, 6), as `rounded` does.
+
+    Averages of two-digit amounts often end exactly in a 5 at the seventh digit; the last bit of the
+    sum would then decide the rounding. Off the tie, both engines agree.
+    """
+    out, at = [], 0
+    while (i := sql.find("round(", at)) >= 0:
+        depth, j, comma = 1, i + 6, None
+        while depth:
+            c = sql[j]
+            depth += (c in "([{") - (c in ")]}")
+            if c == "," and depth == 1:
+                comma = j
+            j += 1
+        inner = nudge_rounding(sql[i + 6 : comma])
+        digits = sql[comma + 1 : j - 1].strip()
+        out.append(sql[at:i] + (f"round(({inner}) + 1e-9, 6)" if digits == "6" else f"round({inner}, {digits})"))
+        at = j
+    return "".join(out) + sql[at:]
