@@ -26,11 +26,11 @@ def _(spark, sf):
 
 
 @query("f2_due_snapshots", t.oracle(f"""SELECT c.mint_address, a.age AS snapshot_age_sec FROM ({F1_SQL}) c, ages a
-WHERE ({NOW} - created_ms) / 1000.0 >= a.age AND ({NOW} - created_ms) / 1000.0 <= a.age + 90 AND NOT (c.mint_address % 2 = 0 AND a.age = 300)"""))
+WHERE ({NOW} - created_ms) / 1000.0 >= a.age AND ({NOW} - created_ms) / 1000.0 <= a.age + 90 AND NOT (a.age = CASE WHEN c.mint_address % 2 = 0 THEN 300 ELSE 120 END)"""))
 def _(spark, sf):
     m = t.mints(spark, sf)
     cand = filters.snapshot_candidates(m, NOW, [5, 15, 30, 60, 120, 300])
-    have = m.filter("mint_address % 2 = 0").select("mint_address", F.lit(300).alias("snapshot_age_sec"))
+    have = m.select("mint_address", F.when(F.col("mint_address") % 2 == 0, 300).otherwise(120).alias("snapshot_age_sec"))
     return filters.due_snapshots(cand, have, NOW, t.AGES)
 
 
@@ -81,9 +81,9 @@ def _(spark, sf):
     return filters.cap_outliers(t.trades(spark, sf).select("trade_id", "sol_amount"), "sol_amount", 100.0)
 
 
-@query("f10_impute_missing", t.oracle("SELECT trade_id, coalesce(y, -1.0::double) AS y FROM targeted WHERE y IS NULL OR NOT isinf(y)", TARGETS))
+@query("f10_impute_missing", t.oracle("SELECT trade_id, coalesce(y, -1.0::double) AS y FROM targeted", TARGETS))
 def _(spark, sf):
-    return filters.impute_missing(targeted(spark, sf).filter(F.coalesce(F.col("y"), F.lit(0.0)) != float("inf")), ["y"])
+    return filters.impute_missing(targeted(spark, sf), ["y"])
 
 
 @query("f12_to_usd", t.oracle("SELECT mint_address, round(last_price_sol * 145, 6) AS last_price_usd, round(current_market_cap_sol * 145, 2) AS current_market_cap_usd FROM mints"))

@@ -102,7 +102,9 @@ def curve_rows(spark, sf):
         F.lit("00" * 8), binary.le_hex((k + 1) * 1_000_000), binary.le_hex((k + 80) * 1_000_000_000), binary.le_hex(k * 1_000_000),
         binary.le_hex((k % 4) * 200_000_000), binary.le_hex(F.lit(10**15).cast("long")), F.when(k % 2 == 0, F.lit("01")).otherwise(F.lit("00")),
     )
-    return m.filter("mint_address % 30 <> 0").select(F.col("bonding_curve_key").alias("account"), F.base64(F.unhex(body)).alias("data"))
+    # closed accounts come back empty
+    data = F.when(k % 30 == 0, F.lit("")).otherwise(F.base64(F.unhex(body)))
+    return m.select(F.col("bonding_curve_key").alias("account"), data.alias("data"))
 
 
 CURVES = """curves AS (SELECT 'curve-' || mint_address AS account, (mint_address + 1)::double AS v_tokens, (mint_address + 80)::double AS v_sol,
