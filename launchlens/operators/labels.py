@@ -29,10 +29,13 @@ def forward_windows(
     edges = sorted({a for a in ages} | {a + h for a in ages for h in horizons.values()})
     at = {e: i for i, e in enumerate(edges)}
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = (
+    later = (
         trades.select("mint_address", "ts_ms", "trade_id", "price_sol", "sol_amount", "is_buy")
         .join(anchors.select("mint_address", "anchor_ms"), "mint_address")
         .filter(rel > min(ages) * 1000)
+    )
+    rows = (
+        later.filter(rel <= edges[-1] * 1000)
         .withColumn("iv", _bin_of(rel, edges))
         .withColumn("chunk", F.floor(F.col("ts_ms") / chunk_ms).cast("long"))
     )
@@ -49,6 +52,11 @@ def forward_windows(
             F.min(F.when(F.col("top") > 0, price / F.col("top") - 1)).alias("dd"),
         )
     )
+    # after the last edge only the highest price matters: one row per token
+    beyond = later.filter(rel > edges[-1] * 1000).groupBy("mint_address").agg(
+        F.max(F.struct(price.alias("p"), (-F.col("ts_ms")).alias("neg_ts"))).alias("hi")
+    ).withColumn("iv", F.lit(len(edges)))
+    pieces = pieces.unionByName(beyond, allowMissingColumns=True)
     spec = F.array(
         *[
             F.struct(
