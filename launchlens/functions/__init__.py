@@ -1,5 +1,5 @@
 from launchlens.functions.columns import (  # noqa: F401
-    clamp, clip01, nz, ratio, rounded, std_from_integer_sums, std_from_parts,
+    bound, clamp, clip01, nz, ratio, rounded, std_from_integer_sums, std_from_parts,
 )
 from launchlens.functions.ranks import floor_quantile_rank, median_from, order_statistics  # noqa: F401
 from launchlens.functions.ordered import asof_join, running_total, top_rows, totals_before  # noqa: F401

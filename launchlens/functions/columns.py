@@ -15,8 +15,14 @@ def clamp(x, lo, hi) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
+def bound(x, lo, hi) -> Column:
+    """Limit a value that is never NULL to [lo, hi]; uses its argument once."""
+    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x)))
+
+
 def clip01(x) -> Column:
-    return clamp(x, 0.0, 1.0)
+    """Limit a value that is never NULL to [0, 1]."""
+    return bound(x, 0.0, 1.0)
 
 
 def nz(x, default=0.0) -> Column:

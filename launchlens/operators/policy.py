@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from launchlens.functions import asof_join, clamp, clip01, nz, top_rows
+from launchlens.functions import asof_join, bound, clamp, clip01, nz, top_rows
 
 # Fixed values of the policy.
 ENTRY_THRESHOLD, HOLD_FLOOR = 0.10, -0.15
@@ -42,7 +42,7 @@ def predicted_peak(is_migrated: Column, mult: float | Column = 1.0) -> Column:
     m = F.lit(mult) if isinstance(mult, (int, float)) else mult
     p4, p24 = F.col("post_mig_peak_pct_4h"), nz("post_mig_peak_pct_24h")
     post = F.when(p4.isNotNull(), clamp(F.greatest(p4, p24) * 100 * m, 20.0, 500.0)).otherwise(60 * m)
-    pre = clamp((10 + 85 * clip01(nz("peaked_100")) + 35 * clip01(nz("peaked_300"))) * m, 10.0, 200.0)
+    pre = bound((10 + 85 * clip01(nz("peaked_100")) + 35 * clip01(nz("peaked_300"))) * m, 10.0, 200.0)
     return F.when(is_migrated, post).otherwise(pre)
 
 
@@ -104,11 +104,11 @@ def position_size(score: Column, threshold: Column, cash: Column) -> Column:
 
 def adaptive_tiers(predicted: Column) -> dict[str, Column]:
     """Tier triggers in percent and sold shares of the remainder, from the expected peak."""
-    pp = clamp(F.when(nz(predicted) != 0, predicted).otherwise(18.0), 10.0, 300.0)
-    t1 = clamp(pp * 0.40, 10.0, 60.0)
+    pp = bound(F.when(nz(predicted) != 0, predicted).otherwise(18.0), 10.0, 300.0)
+    t1 = bound(pp * 0.40, 10.0, 60.0)
     return {
-        "t1_trig": t1, "t1_sell": F.lit(0.40), "t2_trig": clamp(pp * 0.75, 20.0, 150.0), "t2_sell": F.lit(0.30),
-        "t3_trig": clamp(pp * 1.2, 45.0, 300.0), "t3_sell": F.lit(0.30), "trail_arm": t1, "trail_pct": F.lit(20.0),
+        "t1_trig": t1, "t1_sell": F.lit(0.40), "t2_trig": bound(pp * 0.75, 20.0, 150.0), "t2_sell": F.lit(0.30),
+        "t3_trig": bound(pp * 1.2, 45.0, 300.0), "t3_sell": F.lit(0.30), "trail_arm": t1, "trail_pct": F.lit(20.0),
     }
 
 
@@ -128,7 +128,9 @@ def select_entries(
     x = scored.withColumn("size", position_size(F.col("score"), F.lit(threshold), F.lit(cash))).withColumn("_e", e)
     ok = (F.col("score") >= threshold) & (F.col("size") >= SIZE_LEAST) & (F.lit(cash) >= CASH_LEAST)
     room = (F.col("_e.n") < max_open) & (F.col("_e.exposure") < max_exposure)
-    return top_rows(x.filter(ok & room).drop("_e"), [tick], [F.col(order)], PER_TICK)
+    # acceptable rows sort first, so that no filter with the long score expression sits below the window
+    x = x.withColumn("_ok", nz(ok & room, False)).drop("_e")
+    return top_rows(x, [tick], [F.col("_ok").desc(), F.col(order)], PER_TICK).filter("_ok").drop("_ok")
 
 
 def classify_exit() -> Column:

@@ -202,7 +202,7 @@ changes AS (SELECT l.*, e.was, coalesce(e.old_tiers, []) AS old_tiers, CASE WHEN
 
 @query("p15_position_events", t.oracle("""
 SELECT id, mint_address, 'open' AS event, NULL AS reason, NULL::int AS is_notable, NULL::int AS gave_back FROM changes WHERE now_status = 'open' AND was IS NULL
-UNION ALL SELECT id, mint_address, 'tier:' || unnest(list_filter(tiers_hit, x -> NOT list_contains(old_tiers, x))), NULL, NULL, NULL FROM changes WHERE now_status = 'open'
+UNION ALL SELECT id, mint_address, 'tier:' || unnest(list_filter(tiers_hit, lambda x: NOT list_contains(old_tiers, x))), NULL, NULL, NULL FROM changes WHERE now_status = 'open'
 UNION ALL SELECT id, mint_address, 'close', CASE WHEN exit_reason LIKE 'HARD_STOP%' THEN 'HARD_STOP' ELSE exit_reason END, (abs(realized_pnl_pct) >= 5 OR highest_pct >= 30)::int, (highest_pct > 50 AND realized_pnl_pct < 20)::int
 FROM changes WHERE now_status = 'closed' AND coalesce(was, 'open') = 'open'""", LEDGERS))
 def _(spark, sf):
