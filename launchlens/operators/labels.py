@@ -326,7 +326,7 @@ def migration_snapshots(
         )
     )
     state = over_ages(win, ages).groupBy(*KEY).agg(F.max("hi").alias("hi"), F.max("last")["price_sol"].alias("now"))
-    at_age = F.element_at(_age_array(ages), F.col("bin") + 1).alias("snapshot_age_sec")
+    at_age = F.get(_age_array(ages), F.col("bin")).alias("snapshot_age_sec")
     win = win.join(who, ["mint_address", "bin"], "left").select("mint_address", at_age, *[c for c in ("window_buys", "window_sells")], "window_unique_buyers", "window_tracked_buyers", "window_kol_buyers")
     pre = before.groupBy("mint_address").agg(
         F.count(F.lit(1)).alias("pre_mig_trade_count"), F.count(F.when(buy, 1)).alias("pre_mig_buy_count"),
