@@ -91,90 +91,117 @@ def replay_exits(
     return rows.mapInPandas(_replay_batches, OUT_SCHEMA)
 
 
+OUT_COLUMNS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+
+
 def _replay_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
     for pdf in batches:
-        yield pd.DataFrame([_replay(r) for r in pdf.to_dict("records")], columns=cols)
+        yield pd.DataFrame([_replay(r) for r in pdf.to_dict("records")], columns=OUT_COLUMNS)
 
 
-def _replay(r: dict) -> tuple:
-    """Ordered fold over one position's ticks; waiting rules may fire between two ticks."""
-    entry, t_in, tokens, cost = r["entry_price"], int(r["entered_ms"]), r["token_amount"], r["entry_sol"]
-    none = lambda x: x is None or (isinstance(x, float) and x != x)
-    trig, sells, trail = list(r["tier_triggers"]), list(r["tier_sells"]), r["trail_pct"]
-    if not trig and r["own_tiers"] is not None:
-        *trig, trail = list(r["own_tiers"])
-        sells = [0.4, 0.3, 0.3]
-    trail = None if none(trail) else trail
-    steps = [list(s) for s in r["trail_steps"]]
-    dip = None if none(r["reentry_dip_pct"]) else r["reentry_dip_pct"]
-    stop, hold_ms, reserve = r["stop_loss_pct"], r["max_hold_min"] * 60_000, r["reserve_share"] * tokens
-    left, realized, peak, hit, price, last_ms, seen, reloaded = tokens, 0.0, 0.0, [], entry, t_in, 0, False
-    end = min(int(r["as_of_ms"]), int(t_in + hold_ms))
-
-    def sell(n: float, at: float) -> float:
-        return max(0.0, n * at * (1 - FEE) - NETWORK_SOL)
-
-    def waiting(until: int):
-        """Earliest waiting rule that fires before `until`, with price and peak unchanged."""
-        out = []
-        cur = (price / entry - 1) * 100
-        m = lambda x: t_in + int(x * 60_000)
-        if r["timeouts"]:
-            if peak < 10:
-                out.append((max(last_ms + (10 if seen < 50 else 15) * 60_000, m(10)) + 1, 0, "STALE_DATA"))
-            if peak < 5 and abs(cur) < 15:
-                out.append((max(m(60) + 1, last_ms), 1, "STALE_FLAT"))
-            if peak < 10:
-                out.append((max(m(90) + 1, last_ms), 2, "NO_PUMP_TIMEOUT"))
-            if 10 <= peak < 30 and cur < -10:
-                out.append((max(m(90) + 1, last_ms), 3, "STALLED_PUMP"))
-        out.append((t_in + int(hold_ms), 4, "TIME_EXIT"))
-        first = min(out)
-        return first if first[0] < until else None
-
-    def done(at: int, why: str) -> tuple:
-        total = realized + (sell(left - reserve, price) if why != "OPEN" and left > reserve else 0.0)
-        rest = reserve if why != "OPEN" and left > reserve else left
-        pnl = total - cost
+def _missing(x) -> bool:
+    return x is None or (isinstance(x, float) and x != x)
+
+
+class PositionFold:
+    """Small state machine of one position under one rule set: feed ticks in order, read the outcome.
+
+    Used per row by the batch replay and per group by the streaming version.
+    """
+
+    STATE = ("left", "realized", "cost", "peak", "price", "last_ms", "seen", "reloaded", "n_hit")
+
+    def __init__(self, r: dict, state: tuple | None = None):
+        self.id, self.rule_set, self.token = int(r["id"]), r["rule_set"], int(r["mint_address"])
+        self.entry, self.t_in, self.stake, self.tokens = r["entry_price"], int(r["entered_ms"]), r["entry_sol"], r["token_amount"]
+        self.trig, self.sells = list(r["tier_triggers"]), list(r["tier_sells"])
+        trail = r["trail_pct"]
+        if not self.trig and r.get("own_tiers") is not None:
+            *self.trig, trail = list(r["own_tiers"])
+            self.sells = [0.4, 0.3, 0.3]
+        self.trail = None if _missing(trail) else trail
+        self.steps = [list(x) for x in r["trail_steps"]]
+        self.dip = None if _missing(r["reentry_dip_pct"]) else r["reentry_dip_pct"]
+        self.reentry, self.stop, self.hold_ms = r["reentry_share"], r["stop_loss_pct"], int(r["max_hold_min"] * 60_000)
+        self.lock, self.timeouts, self.reserve = bool(r["realized_lock"]), bool(r["timeouts"]), r["reserve_share"] * self.tokens
+        start = (self.tokens, 0.0, self.stake, 0.0, self.entry, self.t_in, 0, False, 0)
+        for name, value in zip(self.STATE, state or start):
+            setattr(self, name, value)
+
+    def state(self) -> tuple:
+        return tuple(getattr(self, n) for n in self.STATE)
+
+    @property
+    def hit(self) -> list[str]:
+        return [f"T{i + 1}" for i in range(len(self.trig)) if self.n_hit >> i & 1]
+
+    def _sell(self, n: float) -> float:
+        return max(0.0, n * self.price * (1 - FEE) - NETWORK_SOL)
+
+    def outcome(self, at: int, why: str) -> tuple:
+        closing = why != "OPEN" and self.left > self.reserve
+        total = self.realized + (self._sell(self.left - self.reserve) if closing else 0.0)
+        pnl = total - self.cost
         return (
-            int(r["id"]), r["rule_set"], int(r["mint_address"]), at, why, total, cost, pnl, pnl / cost * 100 if cost > 0 else 0.0, peak, rest, hit,
+            self.id, self.rule_set, self.token, int(at), why, total, self.cost, pnl, pnl / self.cost * 100 if self.cost > 0 else 0.0, self.peak,
+            self.reserve if closing else self.left, self.hit,
         )
 
-    ts = r["path_ts"] if r["path_ts"] is not None else []
-    if entry is None or entry <= 0:
-        return done(t_in, "OPEN")
-    for now, p, n in zip(ts, r["path_price"] if len(ts) else [], r["path_n"] if len(ts) else []):
-        late = waiting(int(now))
+    def waiting(self, until: int) -> tuple | None:
+        """Outcome of the earliest waiting rule that fires before `until`, with price and peak unchanged."""
+        cur = (self.price / self.entry - 1) * 100
+        minute = lambda x: self.t_in + x * 60_000 + 1
+        out = [(self.t_in + self.hold_ms, 4, "TIME_EXIT")]
+        if self.timeouts:
+            if self.peak < 10:
+                out.append((max(self.last_ms + (10 if self.seen < 50 else 15) * 60_000 + 1, minute(10)), 0, "STALE_DATA"))
+                out.append((max(minute(90), self.last_ms), 2, "NO_PUMP_TIMEOUT"))
+            if self.peak < 5 and abs(cur) < 15:
+                out.append((max(minute(60), self.last_ms), 1, "STALE_FLAT"))
+            if 10 <= self.peak < 30 and cur < -10:
+                out.append((max(minute(90), self.last_ms), 3, "STALLED_PUMP"))
+        at, _, why = min(out)
+        return self.outcome(at, why) if at < until else None
+
+    def step(self, now: int, price: float, n: int) -> tuple | None:
+        """One tick; returns the outcome when the position closes."""
+        late = self.waiting(now)
         if late:
-            return done(late[0], late[2])
-        price, last_ms, seen = float(p), int(now), seen + int(n)
-        cur = (price / entry - 1) * 100
-        peak = max(peak, cur)
-        if cur < -stop:
-            return done(last_ms, "STOP_LOSS")
-        if dip is not None and not reloaded and peak >= 1 and cur <= -dip and last_ms - t_in <= 1_800_000:
-            reloaded = True
-            add = r["reentry_share"] * r["entry_sol"]
-            left += max(0.0, add - NETWORK_SOL) * (1 - FEE) / price
-            cost += add
-            continue
-        nxt = next((i for i, t in enumerate(trig) if f"T{i + 1}" not in hit and cur >= t), None)
-        if nxt is not None:
-            part = (left - reserve) * sells[nxt] if sells[nxt] < 1 else left - reserve
-            realized += sell(part, price)
-            left -= part
-            hit = [*hit, f"T{nxt + 1}"]
-            if left <= reserve + 1e-12:
-                return done(last_ms, "TIERED_FULL")
-            continue
-        if r["realized_lock"] and realized >= 0.5 * cost and cur <= 20:
-            return done(last_ms, "REALIZED_LOCK")
-        give = next((s[1] for s in reversed(steps) if peak >= s[0]), None) if steps else (trail if hit else None)
-        if give is not None and cur < peak - give:
-            return done(last_ms, "TRAIL_STOP")
-    late = waiting(end + 1)
-    return done(late[0], late[2]) if late else done(end, "OPEN")
+            return late
+        self.price, self.last_ms, self.seen = price, now, self.seen + n
+        cur = (price / self.entry - 1) * 100
+        self.peak = max(self.peak, cur)
+        if cur < -self.stop:
+            return self.outcome(now, "STOP_LOSS")
+        if self.dip is not None and not self.reloaded and self.peak >= 1 and cur <= -self.dip and now - self.t_in <= 1_800_000:
+            add = self.reentry * self.stake
+            self.reloaded, self.cost = True, self.cost + add
+            self.left += max(0.0, add - NETWORK_SOL) * (1 - FEE) / price
+            return None
+        due = next((i for i, x in enumerate(self.trig) if not self.n_hit >> i & 1 and cur >= x), None)
+        if due is not None:
+            free = self.left - self.reserve
+            part = free * min(1.0, self.sells[due])
+            self.realized += self._sell(part)
+            self.left, self.n_hit = self.left - part, self.n_hit | 1 << due
+            return self.outcome(now, "TIERED_FULL") if self.left <= self.reserve + 1e-12 else None
+        if self.lock and self.realized >= 0.5 * self.cost and cur <= 20:
+            return self.outcome(now, "REALIZED_LOCK")
+        give = next((s[1] for s in reversed(self.steps) if self.peak >= s[0]), None) if self.steps else (self.trail if self.n_hit else None)
+        return self.outcome(now, "TRAIL_STOP") if give is not None and cur < self.peak - give else None
+
+
+def _replay(r: dict) -> tuple:
+    fold = PositionFold(r)
+    if _missing(fold.entry) or fold.entry <= 0:
+        return fold.outcome(fold.t_in, "OPEN")
+    if r["path_ts"] is not None:
+        for now, price, n in zip(r["path_ts"], r["path_price"], r["path_n"]):
+            closed = fold.step(int(now), float(price), int(n))
+            if closed:
+                return closed
+    end = min(int(r["as_of_ms"]), fold.t_in + fold.hold_ms)
+    return fold.waiting(end + 1) or fold.outcome(end, "OPEN")
 
 
 def ladder_value(trades: DataFrame, anchors: DataFrame, rules: DataFrame, as_of_ms: int, tick_ms: int, max_hold_ms: int, stake_sol: float = 0.1) -> DataFrame:

@@ -1 +1,126 @@
+"""Streaming queries: the event table is replayed as a stream in time-ordered files and drained."""
 
+from pyspark.sql import functions as F
+
+from launchlens.functions import rounded
+from launchlens.functions.columns import round_off_tie
+from launchlens.operators import exits, features
+from launchlens.plans import query
+from launchlens.sources import files, tables as t
+from launchlens.streaming import streams as ops
+
+COLS = ["trade_id", "mint_address", "wallet", "is_buy", "sol_amount", "token_amount", "price_sol", "market_cap_sol", "ts_ms"]
+PARTS = 3
+CLOSE_MS = 10**10
+
+
+def replayed(spark, sf, twice=False, closing_row=False, parts=PARTS):
+    """Trades as a file stream, one file set per time slice. `twice` repeats every fourth trade; the
+    closing row lies far ahead and lets all windows end."""
+    rows = t.trades(spark, sf).select(*COLS)
+    if twice:
+        rows = rows.withColumn("_c", F.explode(F.when(F.col("trade_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_c")
+    root = files.work_dir(spark, "replay")
+    width = (t.AS_OF_MS + parts - 1) // parts
+    for i in range(parts):
+        rows.filter((F.col("ts_ms") >= i * width) & (F.col("ts_ms") < (i + 1) * width)).coalesce(1).write.mode("append").parquet(root)
+    if closing_row:
+        for k in (1, 2):
+            rows.orderBy("trade_id").limit(1).withColumn("ts_ms", F.lit(CLOSE_MS * k).cast("long")).withColumn("mint_address", F.lit(-1)).write.mode("append").parquet(root)
+    schema = rows.schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def drain(spark, stream, mode="append", sink=None, name="stream"):
+    """Run until the input is used up; results of the batches are read back from their folders."""
+    out = files.work_dir(spark, name)
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True)
+    q = w.foreachBatch(sink or ops.append_versions(out)).start()
+    q.awaitTermination()
+    return spark.read.parquet(out) if sink is None else None
+
+
+KEYS = ["trade_id", "mint_address", "wallet", "is_buy", "sol_amount", "token_amount"]
+LATE = "20 minutes"
+
+
+@query("st1_stream_trades", t.oracle("SELECT trade_id, mint_address, wallet, is_buy, sol_amount, token_amount, ts_ms FROM trades"))
+def _(spark, sf):
+    # a stream starts with its watermark at the epoch, where the compressed clock also starts
+    s = replayed(spark, sf, twice=True).withColumn("ts_ms", F.col("ts_ms") + CLOSE_MS)
+    return drain(spark, ops.stream_trades(s, KEYS, LATE)).select(*KEYS, (F.col("ts_ms") - CLOSE_MS).alias("ts_ms"))
+
+
+@query("st2_stream_mint_state", t.oracle("""SELECT mint_address, max(ts_ms) AS last_trade_ms, round(arg_max(price_sol, ts_ms * 1000000000 + trade_id), 6) AS last_price_sol, max(market_cap_sol) AS peak_market_cap_sol, count(*) AS trade_count FROM trades GROUP BY 1"""))
+def _(spark, sf):
+    v = drain(spark, ops.stream_mint_state(replayed(spark, sf)), "update")
+    out = ops.latest_versions(v, ["mint_address"])
+    return out.withColumn("last_price_sol", round_off_tie(F.col("last_price_sol")))
+
+
+@query("st3_stream_snapshots")
+def _(spark, sf):
+    ages = [60, 120, 300]
+    out, table = files.work_dir(spark, "snapshots"), files.work_dir(spark, "trades")
+
+    def mints_of(trades):
+        return trades.groupBy("mint_address").agg(F.min("ts_ms").alias("created_ms")).withColumn("creator_wallet", F.lit(None).cast("long"))
+
+    def feats(trades, mints):
+        return features.core_features(features.trades_as_of(trades, mints, ages), ages).drop("trade_price_sol", "peak_price_sol")
+
+    drain(spark, replayed(spark, sf, parts=6), sink=ops.snapshot_sink(table, out, mints_of, feats, ages, grace_sec=120))
+    return rounded(spark.read.parquet(out))
+
+
+@query("st4_ingest_rate", t.oracle("""SELECT ts_ms // 60000 * 60000 AS minute_ms, cast(sum(CASE WHEN trade_id % 4 = 0 THEN 2 ELSE 1 END) AS bigint) AS parsed, count(*) AS new, count(*) FILTER (trade_id % 4 = 0) AS duplicates FROM trades GROUP BY 1"""))
+def _(spark, sf):
+    return drain(spark, ops.ingest_rate(replayed(spark, sf, twice=True, closing_row=True), KEYS, LATE)).filter(F.col("minute_ms") < CLOSE_MS - 60_000).drop("batch")
+
+
+@query("st5_stream_flow", t.oracle("""SELECT mint_address, s AS start_ms, round(sum(CASE WHEN is_buy = 1 THEN sol_amount ELSE 0.0 END), 6) AS buy_sol, count(*) FILTER (is_buy = 1) AS buys,
+  round(sum(CASE WHEN is_buy = 0 THEN sol_amount ELSE 0.0 END), 6) AS sell_sol, count(*) FILTER (is_buy = 0) AS sells
+FROM (SELECT *, cast(floor(unnest(range(ts_ms - 20000, ts_ms + 1, 10000)) / 10000) AS bigint) * 10000 AS s FROM trades) GROUP BY 1, 2"""))
+def _(spark, sf):
+    s = ops.flow_windows(replayed(spark, sf, closing_row=True), LATE, "30 seconds", "10 seconds")
+    return rounded(drain(spark, s).filter("mint_address >= 0").drop("batch", "sellers"))
+
+
+@query("st6_stream_quiet_tokens", t.oracle("""
+SELECT mint_address, min(ts_ms) AS start_ms, max(ts_ms) AS last_trade_ms, count(*) AS trades FROM (
+  SELECT *, sum(brk) OVER (PARTITION BY mint_address ORDER BY ts_ms, trade_id) AS s FROM (
+    SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY mint_address ORDER BY ts_ms, trade_id) > 15000 THEN 1 ELSE 0 END AS brk FROM trades)) GROUP BY mint_address, s"""))
+def _(spark, sf):
+    return drain(spark, ops.quiet_tokens(replayed(spark, sf, closing_row=True), "15 seconds", LATE)).filter("mint_address >= 0").drop("batch")
+
+
+@query("st7_stream_positions")
+def _(spark, sf):
+    p = t.positions(spark, sf).select("id", "mint_address", "entered_ms", "entry_price", "entry_sol", "token_amount")
+    # a file set of its own, so that the ledger is a plain table for the stream
+    p = files.replace_table(p, files.work_dir(spark, "ledger"))
+    rules = exits.exit_rule_sets(spark, [exits.ExitRules("barrier", [35.0], [1.0], stop_loss_pct=30.0, max_hold_min=1.0)])
+    return rounded(drain(spark, ops.stream_positions(replayed(spark, sf), p, rules)).drop("batch"))
+
+
+@query("st8_stream_scoring")
+def _(spark, sf):
+    out = files.work_dir(spark, "scores")
+    snaps = replayed(spark, sf).withColumnRenamed("ts_ms", "snapshot_ts")
+
+    def score(rows):
+        return rows.select(F.col("snapshot_ts").alias("ts_ms"), "mint_address", F.lit("flow").alias("target"), (F.col("sol_amount") / (F.col("sol_amount") + 50)).alias("prob"))
+
+    drain(spark, snaps, sink=ops.scoring_sink(out, score))
+    return rounded(spark.read.parquet(out).drop("batch"))
+
+
+@query("st9_stream_call_dedup", t.oracle("SELECT DISTINCT mint_address FROM trades"))
+def _(spark, sf):
+    return drain(spark, ops.call_dedup(replayed(spark, sf).select("mint_address", "ts_ms"))).select("mint_address")
+
+
+@query("st10_late_rows", t.oracle("""SELECT ts_ms // 60000 * 60000 AS minute_ms, count(*) AS rejected FROM trades WHERE NOT (sol_amount BETWEEN 0 AND 1000 AND token_amount BETWEEN 0 AND 1e15 AND ts_ms BETWEEN 86700000 - 86400000 AND 86700000 + 60000) GROUP BY 1"""))
+def _(spark, sf):
+    v = drain(spark, ops.late_rows(replayed(spark, sf), 86_700_000).select(F.unix_millis("window.start").alias("minute_ms"), "rejected"), "update")
+    return ops.latest_versions(v, ["minute_ms"])
