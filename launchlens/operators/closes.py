@@ -60,7 +60,7 @@ def equity_curve(positions: DataFrame, mints: DataFrame, starting: float, starte
 
 
 def post_exit_path(
-    closes: DataFrame, trades: DataFrame, as_of_ms: int, marks_min: list[int] = POST_EXIT_MARKS, unit_ms: int = 1
+    closes: DataFrame, trades: DataFrame, as_of_ms: int, marks_min: list[int] = POST_EXIT_MARKS, unit_ms: int = 1, base: int = 8
 ) -> DataFrame:
     """Per close and due mark: last price, peak since the exit, trades, and both as percentages.
 
@@ -85,7 +85,7 @@ def post_exit_path(
             "peak": (F.col("price_sol"), "max"), "n": (F.lit(1).cast("long"), "sum"),
             "last": (F.struct("ts_ms", "trade_id", "price_sol"), "last"),
         },
-        max(b - a for a, b in zip(edges, edges[1:])) * 60_000, unit_ms,
+        max(b - a for a, b in zip(edges, edges[1:])) * 60_000, unit_ms, base,
     )
     w = W.partitionBy("position_id").orderBy("mark").rowsBetween(W.unboundedPreceding, 0)
     x = got.select(

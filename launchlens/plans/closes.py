@@ -21,7 +21,7 @@ PATH = f"""path AS (SELECT p.id AS position_id, p.mint_address, k.mark AS milest
 
 def path(spark, sf):
     c = t.positions(spark, sf).filter("status = 'closed'")
-    return ops.post_exit_path(c, t.trades(spark, sf), NOW, MARKS, unit_ms=1000)
+    return ops.post_exit_path(c, t.trades(spark, sf), NOW, MARKS, unit_ms=1000, base=4)
 
 
 @query("w7_post_exit_path", t.oracle("""SELECT position_id, mint_address, milestone_min, due_ms, round(exit_price, 6) AS exit_price, round(price_at_mark, 6) AS price_at_mark, round(peak_price, 6) AS peak_price, trades_in_win,

@@ -37,7 +37,8 @@ def pairs(spark, sf):
 
 
 def stats(spark, sf):
-    return ops.wallet_skill(pairs(spark, sf), NOW)
+    """The skill table as other jobs read it."""
+    return t.stored(spark, sf, "wallet_stats", lambda: ops.wallet_skill(pairs(spark, sf), NOW))
 
 
 def r(*cols):
@@ -54,7 +55,7 @@ def _(spark, sf):
     f"SELECT wallet, mints_completed, mints_profitable, {r('win_rate','skill_score','total_sol_in','total_sol_out','total_pnl_sol','median_pnl_pct','median_hold_sec','trades_per_day')}, "
     "is_high_freq, is_flipper, is_unprofitable, computed_ms, window_days FROM wallet_stats", PAIRS, STATS))
 def _(spark, sf):
-    return rounded(stats(spark, sf))
+    return rounded(ops.wallet_skill(pairs(spark, sf), NOW))
 
 
 @query("a17_wallet_skill_uncapped", t.oracle(f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from base64 import b64encode
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the two layouts.
@@ -12,8 +14,13 @@ LOG_PREFIX = "Program data: "
 SOL_UNITS = 1e9
 TOKEN_UNITS = 1e6
 
-_PAIRS = "(..)(..)(..)(..)(..)(..)(..)(..)"
-_SWAPPED = "$8$7$6$5$4$3$2$1"
+# The first ten base64 characters depend on the tag alone: other payloads are skipped without decoding.
+_TEXT_PREFIX = LOG_PREFIX + b64encode(bytes.fromhex(TRADE_EVENT_TAG)).decode()[:10]
+
+
+def _swap(hexed: Column) -> Column:
+    """Reverse the byte order of eight bytes in hexadecimal."""
+    return F.concat(*[F.substring(hexed, i, 2) for i in range(15, 0, -2)])
 
 
 def _hex_at(hexed: Column, start: int, size: int) -> Column:
@@ -22,7 +29,7 @@ def _hex_at(hexed: Column, start: int, size: int) -> Column:
 
 def u64_at(hexed: Column, start: int) -> Column:
     """Little-endian unsigned 64-bit integer at a byte offset, as decimal(20,0)."""
-    big_endian = F.regexp_replace(_hex_at(hexed, start, 8), _PAIRS, _SWAPPED)
+    big_endian = F.concat(*[_hex_at(hexed, start + i, 1) for i in range(7, -1, -1)])
     return F.conv(big_endian, 16, 10).cast("decimal(20,0)")
 
 
@@ -36,7 +43,7 @@ def decode_trade_events(logs: DataFrame) -> DataFrame:
     """Rows (signature, err, logs array) to trades. Failed transactions, other lines, short payloads
     and other tags give no row."""
     lines = logs.filter(F.col("err").isNull()).select("signature", F.explode("logs").alias("_line"))
-    lines = lines.filter(F.startswith("_line", F.lit(LOG_PREFIX)))
+    lines = lines.filter(F.startswith("_line", F.lit(_TEXT_PREFIX)))
     h = lines.withColumn("_b", F.try_to_binary(F.substring("_line", len(LOG_PREFIX) + 1, 1 << 20), F.lit("base64")))
     h = h.filter(F.length("_b") >= TRADE_EVENT_BYTES).withColumn("_h", F.hex("_b"))
     x = F.col("_h")
@@ -69,4 +76,4 @@ def decode_curve_state(accounts: DataFrame) -> DataFrame:
 
 def le_hex(value: Column) -> Column:
     """Little-endian hexadecimal text of a long, the inverse of u64_at."""
-    return F.regexp_replace(F.lpad(F.hex(value), 16, "0"), _PAIRS, _SWAPPED)
+    return _swap(F.lpad(F.hex(value), 16, "0"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from launchlens.functions import asof_join
+from launchlens.sources.files import work_dir
 
 # Fixed values of the test mapping.
 CLOCK_ZERO_MS = 473_352_000
@@ -28,6 +29,19 @@ EXIT_REASONS = [
 ]
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A derived table, written once per application and read from there, as the platform's own tables are."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = work_dir(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def _pick(items: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(i) for i in items]), (index + 1).cast("int"))
 
@@ -56,6 +70,10 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mints(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "mints", lambda: _mints(spark, sf))
+
+
+def _mints(spark: SparkSession, sf: str) -> DataFrame:
     t = trades(spark, sf)
     k = F.col("mint_address")
     order = F.struct("ts_ms", "trade_id")
@@ -117,6 +135,10 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
     """One position per buy. Two thirds are closed, the exit price is the last price at or before the exit."""
+    return stored(spark, sf, "positions", lambda: _positions(spark, sf))
+
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
     t = trades(spark, sf)
     i = F.col("id")
     entered = t.filter("is_buy = 1").select(
