@@ -55,7 +55,7 @@ PEAK = f"""CASE WHEN migrated = 1 THEN CASE WHEN post_mig_peak_pct_4h IS NOT NUL
 MIGRATED = F.col("migrated") == 1
 
 def dbl(sql):
-    """Decimal literals as doubles, as in the reference rules."""
+    """Decimal literals as doubles, so that DuckDB does not compute in decimals."""
     import re
 
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?!::|\d)", r"\1::double", sql)

@@ -42,10 +42,11 @@ def i64_at(hexed: Column, start: int) -> Column:
 def decode_trade_events(logs: DataFrame) -> DataFrame:
     """Rows (signature, err, logs array) to trades. Failed transactions, other lines, short payloads
     and other tags give no row."""
-    lines = logs.filter(F.col("err").isNull()).select("signature", F.explode("logs").alias("_line"))
-    lines = lines.filter(F.startswith("_line", F.lit(_TEXT_PREFIX)))
-    h = lines.withColumn("_b", F.try_to_binary(F.substring("_line", len(LOG_PREFIX) + 1, 1 << 20), F.lit("base64")))
-    h = h.filter(F.length("_b") >= TRADE_EVENT_BYTES).withColumn("_h", F.hex("_b"))
+    # decoding happens inside the generator: every later expression reads its result, none repeats it
+    lines = F.filter("logs", lambda x: F.startswith(x, F.lit(_TEXT_PREFIX)))
+    payload = F.transform(lines, lambda x: F.hex(F.try_to_binary(F.substring(x, len(LOG_PREFIX) + 1, 1 << 20), F.lit("base64"))))
+    h = logs.filter(F.col("err").isNull()).select("signature", F.explode(payload).alias("_h"))
+    h = h.filter(F.length("_h") >= 2 * TRADE_EVENT_BYTES)
     x = F.col("_h")
     return h.filter(_hex_at(x, 0, 8) == TRADE_EVENT_TAG).select(
         "signature",
