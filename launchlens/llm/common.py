@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -58,3 +59,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * _MIX2
     return x ^ (x >> np.uint64(31))
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, worker, columns: str, rows_at_once: int = 512) -> DataFrame:
+    """doc_id plus the columns that worker() computes from texts, one row per row of docs, in Arrow batches.
+
+    worker() is called once per task and returns a function from a list of texts (null as "") to a list of columns;
+    it sees at most rows_at_once texts at a time. Only the two named columns of docs are read."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    id_type = picked.schema["doc_id"].dataType.simpleString()
+    schema = T._parse_datatype_string(f"doc_id {id_type}, {columns}")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        step = worker()
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows_at_once):
+                part = whole.slice(at, rows_at_once)
+                out = step(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0)] + [pa.array(v, type=f.type) for v, f in zip(out, list(arrow)[1:], strict=True)],
+                    schema=arrow)
+
+    return picked.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from launchlens.llm.bpe import encoding_digests
 from launchlens.llm.common import read
 from launchlens.llm.exact import exact_dedup
 
@@ -19,7 +20,18 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def load() -> dict:
     return {
+        "op10_bpe": (op10_bpe, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     }
