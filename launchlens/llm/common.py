@@ -61,11 +61,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, worker, columns: str, rows_at_once: int = 512) -> DataFrame:
+def map_texts(docs: DataFrame, id_col: str, text_col: str, worker, columns: str, rows_at_once: int = 512,
+              chars_at_once: int = 1 << 21) -> DataFrame:
     """doc_id plus the columns that worker() computes from texts, one row per row of docs, in Arrow batches.
 
     worker() is called once per task and returns a function from a list of texts (null as "") to a list of columns;
-    it sees at most rows_at_once texts at a time. Only the two named columns of docs are read."""
+    it sees at most rows_at_once texts at a time, and no more than chars_at_once characters unless one text is longer. Only the two named columns of docs are read."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -77,11 +78,34 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, worker, columns: str,
     def run(batches):
         step = worker()
         for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                part = whole.slice(at, rows_at_once)
-                out = step(part.column(1).to_pylist())
+            texts = whole.column(1).to_pylist()
+            for start, end in cuts(texts, rows_at_once, chars_at_once):
+                part = whole.slice(start, end - start)
+                out = step(texts[start:end])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0)] + [pa.array(v, type=f.type) for v, f in zip(out, list(arrow)[1:], strict=True)],
                     schema=arrow)
 
     return picked.mapInArrow(run, schema)
+
+
+def cuts(texts: list[str], rows: int, chars: int):
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= rows or held + len(t) > chars):
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+FILTER_CELLS = 1 << 20
+
+
+def semi_filter(df: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+    """The rows of df whose hash cell also holds a value of wanted: all wanted rows, and few others as long as wanted is
+    small. At most FILTER_CELLS numbers are broadcast, whatever the input; an exact join has to follow."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
+    cells = stored(wanted.select(cell(wanted_col).alias("cell")).distinct())
+    return df.join(F.broadcast(cells), cell(col) == F.col("cell"), "left_semi")

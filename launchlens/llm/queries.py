@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from launchlens.llm.bpe import encoding_digests
 from launchlens.llm.common import read
 from launchlens.llm.exact import exact_dedup
+from launchlens.llm.jaccard import ngram_components
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -32,6 +37,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> dict:
     return {
+        "op6_ngram_jaccard": (op6_ngram_jaccard, None),
         "op10_bpe": (op10_bpe, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     }
