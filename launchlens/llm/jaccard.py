@@ -1,13 +1,14 @@
 """Jaccard join on word n-grams as a blocked product of the document by n-gram incidence matrix.
 
 1. Documents with the same n-gram set become one row of the matrix (128-bit set key, combined per task).
-2. Two sets can only be similar enough if they share one of the first n - ceil(t n) + 1 n-grams of each in any common
-   order. The order puts rare n-grams first: every task counts documents per hash cell and sends its outstanding cells
-   only, so lines and passages of many documents come last. The order decides the cost, never the result. Rows that
-   share such an n-gram are joined to the smallest row that has it, and components of these edges are the diagonal
-   blocks outside which the product is zero or below the bound.
-3. Within a block, overlaps are accumulated over chunks of columns by a dense product; pairs whose overlap so far plus
-   what is left of the smaller row is below the needed overlap are discarded. A block of many rows is cut by
+2. Column blocks. Two sets of sizes a and b that are similar enough differ in at most a bounded number of n-grams, which
+   follows from a and b. A hash cuts the columns into more blocks than that, so similar sets agree on a whole column
+   block that is not empty. The number of blocks depends on the size class of the smaller set; a set takes part in its
+   own class and in those of sets that may be the smaller partner. Rows that agree on a block are chained to each other,
+   first within each batch, then across, so no list of rows is formed. Components of these edges are the diagonal
+   blocks outside which the product is below the bound.
+3. Within a diagonal block, overlaps are accumulated over chunks of columns by a dense product; pairs whose overlap so
+   far plus what is left of the smaller row is below the needed overlap are discarded. A block of many rows is cut by
    size class and hash, and only classes whose sizes can meet are multiplied. Each product returns a spanning forest of
    its links and the number of links per row, so pairs never leave the task.
 4. Components of the forests are the result.
@@ -15,20 +16,21 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from launchlens.llm.common import cuts, map_texts, semi_filter, stored
+from launchlens.llm.common import cuts, map_texts, mix, semi_filter, stored
 from launchlens.llm.components import components
 from launchlens.llm.shingles import Words, set_keys
 
-#: Hash cells of the frequency order.
-CELLS = 1 << 20
 #: Rows, and n-grams, of one side of a product.
 BLOCK_ROWS = 512
 BLOCK_GRAMS = 1 << 19
@@ -36,46 +38,126 @@ BLOCK_GRAMS = 1 << 19
 COLUMNS = 4096
 
 
-def _levels(docs: DataFrame, k: int, id_col: str, text_col: str) -> np.ndarray:
-    """log2 of the documents per hash cell, 0 for cells that stand out in no task."""
-    picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def count(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, end in cuts(texts, 256, 1 << 21):
-                for grams in Words(texts[start:end]).shingles(k):
-                    cells[(grams & np.uint64(CELLS - 1)).astype(np.int64)] += 1  # distinct within a document, nearly
-        hot = np.flatnonzero(cells > 8 + 4 * cells.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int64()), pa.array(cells[hot], pa.int64())], names=["cell", "n"])
-
-    found = picked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    levels = np.zeros(CELLS, np.uint8)
-    levels[found["cell"].to_numpy(np.int64)] = np.log2(found["n"].to_numpy(np.float64)).astype(np.uint8)
-    return levels
+class Schemes:
+    """Size classes and their column blocks. Scheme c holds the pairs whose smaller set is in class c."""
+
+    def __init__(self, percent: int):
+        self.bounds, self.top, self.blocks, self.spare = [1], [], [], []
+        while self.bounds[-1] < 1 << 40:
+            lo = self.bounds[-1]
+            self.bounds.append(lo * 10_000 // (percent * percent) + 1)
+            hi = self.bounds[-1] - 1
+            top = hi * 100 // percent
+            differ = max(s - 2 * -(-percent * s // (100 + percent)) for s in (hi + top - 1, hi + top))
+            # blocks that are empty in both sets agree too: keep more agreeing blocks than a set has empty ones
+            d = max(0, differ)
+            log_odds = lambda g, d=d, n=lo: (  # noqa: E731  that a set of the class has g empty blocks
+                math.lgamma(d + g + 1) - math.lgamma(g + 1) - math.lgamma(d + 1) + n * math.log(d / (d + g)) if d else -99)
+            rare = -5.5 if lo < 28 else -9 if lo < 100 else -14  # small sets need blocks of more than one n-gram
+            spare = next((g for g in range(1, 64) if log_odds(g) < rare), 64)
+            self.top.append(top)
+            self.blocks.append(d + spare)
+            self.spare.append(spare)
+
+    def of(self, n: int) -> list[int]:
+        c = bisect.bisect_right(self.bounds, n) - 1
+        out = [c]
+        while c > 0 and n <= self.top[c - 1]:
+            c -= 1
+            out.append(c)
+        return out
+
+
+def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of every column block that is not empty, for all schemes of each set. A set with so
+    many empty blocks that they could be all it shares gets one more signature, common to such sets of the scheme."""
+    signatures, owners = [], []
+    work = [(i, c) for i, s in enumerate(sets) if len(s) for c in schemes.of(len(s))]
+    if not work:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blocks = np.array([schemes.blocks[c] for _, c in work], np.int64)
+    scheme = np.array([c for _, c in work], np.uint64)
+    start = np.concatenate([[0], np.cumsum(blocks)])
+    sizes = [len(sets[i]) for i, _ in work]
+    grams = np.concatenate([sets[i] for i, _ in work])
+    which = np.repeat(np.arange(len(work)), sizes)
+    drawn = mix(grams + (scheme[which] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    slot = start[which] + ((drawn >> np.uint64(32)) * blocks[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(slot, kind="stable")
+    slot, value = slot[by], mix(grams[by] ^ np.uint64(0x5DEECE66D))
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    sums = np.add.reduceat(value, first)
+    slot = slot[first]
+    at = which[by][first]
+    signatures.append(mix(sums * np.uint64(0xD6E8FEB86659FD93) + (scheme[at] << np.uint64(40)) + (slot - start[at]).astype(np.uint64)))
+    owners.append(at)
+    empty = blocks - np.bincount(at, minlength=len(work))
+    odd = np.flatnonzero(empty >= np.array([schemes.spare[c] for _, c in work]))
+    signatures.append(mix(scheme[odd] + np.uint64(0x7F4A7C15)))
+    owners.append(odd)
+    to_set = np.array([i for i, _ in work])
+    return np.concatenate(signatures), to_set[np.concatenate(owners)]
+
+
+def _set_keys(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    def worker():
+        def step(texts):
+            sets = Words(texts).shingles(k)
+            keys = [set_keys(s) for s in sets]
+            return [[len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys]]
+        return step
 
+    return map_texts(docs, id_col, text_col, worker, "n long, k1 long, k2 long", rows_at_once=256)
 
-def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def worker():
-        level = shared.value
+def _candidate_edges(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): ids of documents that agree on a column block, as chains."""
+    picked = docs.select(F.col(id_col).alias("a"), F.col(text_col).alias("text")).filter("a IS NOT NULL AND text IS NOT NULL")
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("a", picked.schema["a"].dataType),
+                           T.StructField("b", picked.schema["a"].dataType)])
+    arrow = to_arrow_schema(schema)
+    schemes = Schemes(percent)
 
-        def step(texts):
-            out = ([], [], [], [])
-            for grams in Words(texts).shingles(k):
-                n = len(grams)
-                k1, k2 = set_keys(grams)
-                order = (level[(grams & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (grams >> np.uint64(7))
-                order.sort()
-                first = n - (percent * n + 99) // 100 + 1 if n else 0
-                for column, value in zip(out, (n, k1, k2, order[:first].astype(np.int64)), strict=True):
-                    column.append(value)
-            return out
-        return step
+    def sign(batches):
+        """Per batch one row for each signature, and edges between the rows of the batch that have it."""
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, end in cuts(texts, 1024, 1 << 21):
+                sig, at = block_signatures(schemes, Words(texts[start:end]).shingles(k))
+                by = np.argsort(sig, kind="stable")
+                sig, at = sig[by].astype(np.int64), at[by]
+                first = np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0) != 0
+                hub = at[first][np.cumsum(first) - 1] if len(sig) else at
+                inner = np.unique(np.stack([at, hub])[:, at != hub], axis=1)
+                ids = batch.column(0).slice(start, end - start)
+                edge_key = mix(np.arange(inner.shape[1], dtype=np.uint64) + np.uint64(start)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([sig[first], edge_key])),
+                    pa.concat_arrays([ids.take(pa.array(at[first])), ids.take(pa.array(inner[0]))]),
+                    pa.concat_arrays([pa.nulls(int(first.sum()), ids.type), ids.take(pa.array(inner[1]))]),
+                ], schema=arrow)
+
+    def chain(batches):
+        """Edges as they are, and one between neighbours that have the same signature."""
+        last_sig = last_a = None
+        for batch in batches:
+            inner = pc.is_valid(batch.column(2))
+            sig = batch.filter(pc.invert(inner))
+            n, edges = sig.num_rows, batch.filter(inner)
+            pairs = [(edges.column(1), edges.column(2))]
+            if n:
+                code = sig.column(0).to_numpy(zero_copy_only=False)
+                if last_sig == code[0]:
+                    pairs.append((sig.column(1).slice(0, 1), last_a))
+                same = np.flatnonzero(code[1:] == code[:-1])
+                pairs.append((sig.column(1).take(pa.array(same + 1)), sig.column(1).take(pa.array(same))))
+                last_sig, last_a = code[-1], sig.column(1).slice(n - 1, 1)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([p[i] for p in pairs]) for i in (0, 1)], names=["a", "b"])
 
-    return map_texts(docs, id_col, text_col, worker, "n long, k1 long, k2 long, prefix array<long>", rows_at_once=256)
+    return (
+        picked.mapInArrow(sign, schema).repartition("sig").sortWithinPartitions("sig")
+        .mapInArrow(chain, T.StructType(schema.fields[1:])).filter("a <> b").distinct()
+    )
 
 
 def _links(sets: list[np.ndarray], sizes: np.ndarray, split: int, percent: int):
@@ -155,19 +237,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     (null or empty text) it has none and links with nothing. component_id is the smallest id reachable. Ids are the
     nodes: rows that repeat an id belong together. A row without id links with nothing and has no component. n_links
     counts the linked documents, copies included. An empty table gives an empty result; other columns are not read."""
-    levels = _levels(docs, k, id_col, text_col)
-    signed = stored(_signatures(docs, levels, k, percent, id_col, text_col))
+    signed = stored(_set_keys(docs, k, id_col, text_col))
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(
-        usable.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "prefix")).alias("x"), F.count(F.lit(1)).alias("copies"))
-        .select("n", "k1", "k2", F.col("x.doc_id").alias("rep"), "x.prefix", "copies")
-    )
-    postings = classes.select("rep", F.explode("prefix").alias("gram"))
-    hubs = stored(
-        postings.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        .select("gram", "hub")
-    )
-    blocks = stored(components(postings.join(hubs, "gram").filter("rep <> hub").select("rep", "hub").distinct(), "rep", "hub"))
+    classes = stored(usable.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    blocks = stored(components(_candidate_edges(docs, k, percent, id_col, text_col), "a", "b"))
     forest = stored(_products(docs, classes, blocks, k, percent, id_col, text_col))
     linked = forest.groupBy("doc").agg(F.sum("links").alias("links"))
     joined = components(forest, "doc", "root")
@@ -215,7 +288,7 @@ def _products(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, pe
             return [[a for a, _ in keys], [b for _, b in keys], [s.astype(np.int64) for s in sets]]
         return step
 
-    sets = stored(map_texts(wanted, "doc_id", "text", worker, "k1 long, k2 long, grams array<long>", rows_at_once=256))
+    sets = map_texts(wanted, "doc_id", "text", worker, "k1 long, k2 long, grams array<long>", rows_at_once=256)
     id_type = T._parse_datatype_string(f"doc {classes.schema['rep'].dataType.simpleString()}")[0].dataType
     schema = T.StructType([T.StructField("doc", id_type), T.StructField("root", id_type), T.StructField("links", T.LongType())])
 
@@ -242,8 +315,6 @@ def _products(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, pe
 
 
 def _forest(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays(
         [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)], schema=arrow)

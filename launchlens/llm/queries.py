@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from launchlens.llm import langid
 from launchlens.llm.bpe import encoding_digests
-from launchlens.llm.common import read
+from launchlens.llm.common import fold, read
 from launchlens.llm.exact import exact_dedup
 from launchlens.llm.jaccard import ngram_components
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = langid.train(docs, fold("doc_id", 4) != 2)
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return langid.identify(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -37,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> dict:
     return {
+        "op1_language_id": (op1_language_id, None),
         "op6_ngram_jaccard": (op6_ngram_jaccard, None),
         "op10_bpe": (op10_bpe, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),

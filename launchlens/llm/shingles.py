@@ -56,10 +56,10 @@ class Words:
             if b - a >= k:
                 out.append(np.unique(runs[a:b - k + 1]))
             elif b > a:
-                x = np.uint64(b - a)
-                for v in h[a:b]:
-                    x = mix(x * _STEP + v)
-                out.append(np.atleast_1d(x))
+                x = np.array([b - a], np.uint64)
+                for i in range(a, b):
+                    x = mix(x * _STEP + h[i:i + 1])
+                out.append(x)
             else:
                 out.append(np.zeros(0, np.uint64))
         return out

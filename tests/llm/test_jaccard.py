@@ -85,3 +85,19 @@ def test_query_against_all_pairs_on_documents(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in jaccard.ngram_components(docs, 4, 85).collect()), key=str)
     assert got == brute(rows, 4, 85)
+
+
+def test_similar_sets_share_a_signature():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        schemes = jaccard.Schemes(percent)
+        for _ in range(300):
+            n = int(rng.integers(1, 120))
+            base = rng.integers(0, 2**63, n).astype(np.uint64)
+            other = np.concatenate([base[int(rng.integers(0, max(1, n // 7))):], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
+            a, b = set(base.tolist()), set(other.tolist())
+            if 100 * len(a & b) >= percent * len(a | b):
+                sig, at = jaccard.block_signatures(schemes, [np.unique(base), np.unique(other)])
+                assert set(sig[at == 0].tolist()) & set(sig[at == 1].tolist())
