@@ -5,11 +5,11 @@
    follows from a and b. A hash cuts the columns into more blocks than that, so similar sets agree on a whole column
    block that is not empty. The number of blocks depends on the size class of the smaller set; a set takes part in its
    own class and in those of sets that may be the smaller partner. Rows that agree on a block are chained to each other,
-   first within each batch, then across, so no list of rows is formed. Components of these edges are the diagonal
-   blocks outside which the product is below the bound.
+   first within each batch, then across, so no list of rows is formed. Per size class, components of these edges are
+   the diagonal blocks outside which the product is below the bound.
 3. Within a diagonal block, overlaps are accumulated over chunks of columns by a dense product; pairs whose overlap so
    far plus what is left of the smaller row is below the needed overlap are discarded. A block of many rows is cut by
-   size class and hash, and only classes whose sizes can meet are multiplied. Each product returns a spanning forest of
+   hash into parts that are multiplied pairwise. Each product returns a spanning forest of
    its links and the number of links per row, so pairs never leave the task.
 4. Components of the forests are the result.
 """
@@ -68,13 +68,13 @@ class Schemes:
         return out
 
 
-def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of every column block that is not empty, for all schemes of each set. A set with so
+def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of the set, scheme) of every column block that is not empty, for all schemes of each set. A set with so
     many empty blocks that they could be all it shares gets one more signature, common to such sets of the scheme."""
     signatures, owners = [], []
     work = [(i, c) for i, s in enumerate(sets) if len(s) for c in schemes.of(len(s))]
     if not work:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     blocks = np.array([schemes.blocks[c] for _, c in work], np.int64)
     scheme = np.array([c for _, c in work], np.uint64)
     start = np.concatenate([[0], np.cumsum(blocks)])
@@ -96,72 +96,80 @@ def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarr
     signatures.append(mix(scheme[odd] + np.uint64(0x7F4A7C15)))
     owners.append(odd)
     to_set = np.array([i for i, _ in work])
-    return np.concatenate(signatures), to_set[np.concatenate(owners)]
+    at = np.concatenate(owners)
+    return np.concatenate(signatures), to_set[at], scheme[at]
 
 
-def _set_keys(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def _set_keys(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    schemes = Schemes(percent)
+
     def worker():
         def step(texts):
             sets = Words(texts).shingles(k)
             keys = [set_keys(s) for s in sets]
-            return [[len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys]]
+            return [[len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys],
+                    [schemes.of(len(s)) if len(s) else [] for s in sets]]
         return step
 
-    return map_texts(docs, id_col, text_col, worker, "n long, k1 long, k2 long", rows_at_once=256)
+    return map_texts(docs, id_col, text_col, worker, "n long, k1 long, k2 long, schemes array<int>", rows_at_once=256)
+
+
+def _node(id_col: str, scheme: str):
+    """A document in a scheme, as a number. Two that share a number only make a block larger."""
+    return F.xxhash64(id_col).bitwiseXOR(F.shiftleft(F.col(scheme).cast("long"), 56))
 
 
 def _candidate_edges(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): ids of documents that agree on a column block, as chains."""
-    picked = docs.select(F.col(id_col).alias("a"), F.col(text_col).alias("text")).filter("a IS NOT NULL AND text IS NOT NULL")
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("a", picked.schema["a"].dataType),
-                           T.StructField("b", picked.schema["a"].dataType)])
-    arrow = to_arrow_schema(schema)
+    """(a, b): nodes that agree on a column block, as chains."""
+    picked = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text"))
     schemes = Schemes(percent)
 
     def sign(batches):
         """Per batch one row for each signature, and edges between the rows of the batch that have it."""
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
             for start, end in cuts(texts, 1024, 1 << 21):
-                sig, at = block_signatures(schemes, Words(texts[start:end]).shingles(k))
+                sig, at, scheme = block_signatures(schemes, Words(texts[start:end]).shingles(k))
                 by = np.argsort(sig, kind="stable")
-                sig, at = sig[by].astype(np.int64), at[by]
-                first = np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0) != 0
-                hub = at[first][np.cumsum(first) - 1] if len(sig) else at
-                inner = np.unique(np.stack([at, hub])[:, at != hub], axis=1)
-                ids = batch.column(0).slice(start, end - start)
-                edge_key = mix(np.arange(inner.shape[1], dtype=np.uint64) + np.uint64(start)).astype(np.int64)
+                sig, node = sig[by].view(np.int64), (ids[start:end][at] ^ (scheme << np.uint64(56)))[by].view(np.int64)
+                first = np.concatenate([[True] * min(1, len(sig)), sig[1:] != sig[:-1]])
+                hub = node[first][np.cumsum(first) - 1] if len(sig) else node
+                inner = np.unique(np.stack([node, hub])[:, node != hub], axis=1)
+                spread = mix(inner[0].view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([sig[first], edge_key])),
-                    pa.concat_arrays([ids.take(pa.array(at[first])), ids.take(pa.array(inner[0]))]),
-                    pa.concat_arrays([pa.nulls(int(first.sum()), ids.type), ids.take(pa.array(inner[1]))]),
-                ], schema=arrow)
+                    pa.array(np.concatenate([sig[first], spread])), pa.array(np.concatenate([node[first], inner[0]])),
+                    pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(inner[1])]),
+                ], names=["sig", "a", "b"])
 
     def chain(batches):
         """Edges as they are, and one between neighbours that have the same signature."""
         last_sig = last_a = None
         for batch in batches:
             inner = pc.is_valid(batch.column(2))
-            sig = batch.filter(pc.invert(inner))
-            n, edges = sig.num_rows, batch.filter(inner)
-            pairs = [(edges.column(1), edges.column(2))]
-            if n:
-                code = sig.column(0).to_numpy(zero_copy_only=False)
-                if last_sig == code[0]:
-                    pairs.append((sig.column(1).slice(0, 1), last_a))
-                same = np.flatnonzero(code[1:] == code[:-1])
-                pairs.append((sig.column(1).take(pa.array(same + 1)), sig.column(1).take(pa.array(same))))
-                last_sig, last_a = code[-1], sig.column(1).slice(n - 1, 1)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([p[i] for p in pairs]) for i in (0, 1)], names=["a", "b"])
+            rows, edges = batch.filter(pc.invert(inner)), batch.filter(inner)
+            a, b = [edges.column(1).to_numpy()], [edges.column(2).to_numpy()]
+            if rows.num_rows:
+                sig, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                if last_sig == sig[0]:
+                    a.append(node[:1])
+                    b.append(np.array([last_a]))
+                same = np.flatnonzero(sig[1:] == sig[:-1])
+                a.append(node[same + 1])
+                b.append(node[same])
+                last_sig, last_a = sig[-1], node[-1]
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
     return (
-        picked.mapInArrow(sign, schema).repartition("sig").sortWithinPartitions("sig")
-        .mapInArrow(chain, T.StructType(schema.fields[1:])).filter("a <> b").distinct()
+        picked.mapInArrow(sign, "sig long, a long, b long").repartition("sig").sortWithinPartitions("sig")
+        .mapInArrow(chain, "a long, b long").distinct()
     )
 
 
-def _links(sets: list[np.ndarray], sizes: np.ndarray, split: int, percent: int):
-    """Yield (row, array of linked rows). split > 0: only pairs of the first split rows with the others."""
+def _links(sets: list[np.ndarray], sizes: np.ndarray, big: np.ndarray, split: int, percent: int):
+    """Yield (row, array of linked rows). split > 0: only pairs of the first split rows with the others. Pairs of two
+    sets above the size class belong to another product."""
     m = len(sets)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
     names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -174,7 +182,7 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, split: int, percent: int):
     need = -((-percent * (sizes[a][:, None] + sizes[b][None, :])) // (100 + percent))
     left = np.bincount(row, minlength=m)
     overlap = np.zeros(need.shape, np.int64)
-    alive = np.minimum(left[a][:, None], left[b][None, :]) >= need
+    alive = (np.minimum(left[a][:, None], left[b][None, :]) >= need) & ~(big[a][:, None] & big[b][None, :])
     if not split:
         alive &= a[:, None] < b[None, :]
     n_columns = int(column[-1]) + 1 if len(column) else 0
@@ -199,15 +207,15 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, split: int, percent: int):
 
 def _product(rows: list[tuple], percent: int):
     """(doc, smallest doc that its links of this product reach, number of linked documents) of each row."""
-    rows = list({(r[4], r[6], r[7]): r for r in rows}.values())  # an id that is repeated with its text
-    lo, hi = rows[0][1], rows[0][2]
+    rows = list({r[5:9]: r for r in rows}.values())  # an id may be repeated with its text
+    _, lo, hi = rows[0][:3]
     if lo != hi:
         rows.sort(key=lambda r: r[3] != lo)
     split = sum(r[3] == lo for r in rows) if lo != hi else 0
     if len(rows) < 2 or (lo != hi and split in (0, len(rows))):
         return
-    docs, copies = [r[4] for r in rows], np.array([r[5] for r in rows])
-    sets = [r[8] for r in rows]
+    big, docs, copies = np.array([r[4] for r in rows]), [r[5] for r in rows], np.array([r[6] for r in rows])
+    sets = [r[9] for r in rows]
     parent = list(range(len(rows)))
     links = np.zeros(len(rows), np.int64)
 
@@ -217,7 +225,7 @@ def _product(rows: list[tuple], percent: int):
             i = parent[i]
         return i
 
-    for i, js in _links(sets, np.array([len(s) for s in sets]), split, percent):
+    for i, js in _links(sets, np.array([len(s) for s in sets]), big, split, percent):
         links[i] += copies[js].sum()
         links[js] += copies[i]
         for j in js.tolist():
@@ -237,9 +245,9 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     (null or empty text) it has none and links with nothing. component_id is the smallest id reachable. Ids are the
     nodes: rows that repeat an id belong together. A row without id links with nothing and has no component. n_links
     counts the linked documents, copies included. An empty table gives an empty result; other columns are not read."""
-    signed = stored(_set_keys(docs, k, id_col, text_col))
+    signed = stored(_set_keys(docs, k, percent, id_col, text_col))
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(usable.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = stored(usable.groupBy("n", "k1", "k2", "schemes").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     blocks = stored(components(_candidate_edges(docs, k, percent, id_col, text_col), "a", "b"))
     forest = stored(_products(docs, classes, blocks, k, percent, id_col, text_col))
     linked = forest.groupBy("doc").agg(F.sum("links").alias("links"))
@@ -259,23 +267,27 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def _products(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, root, links) of every product of the blocks."""
-    rows = classes.join(blocks, F.col("rep") == F.col("node")).select("rep", "n", "k1", "k2", "copies", "component")
-    rows = stored(rows)
+    spread = classes.withColumn("scheme", F.explode("schemes")).withColumn("node", _node("rep", "scheme"))
+    rows = stored(spread.join(blocks, "node").select(
+        "rep", "n", "k1", "k2", "copies", "component", (F.col("scheme") != F.col("schemes")[0]).alias("big")))
+    cut = lambda m, grams: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS)).cast("long")
+    small = lambda x: F.sum(F.when(~F.col("big"), x).otherwise(0))
+    sizes = rows.groupBy("component").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"), small(F.lit(1)).alias("small"), small(F.col("n")).alias("small_grams"))
     parts = stored(
-        rows.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
-        .select("component", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
+        sizes.filter("m > 1 AND small > 0").withColumn("whole", cut(F.col("m"), F.col("grams")) <= 1)
+        .select("component", "whole", cut(F.col("small"), F.col("small_grams")).alias("p"),
+                cut(F.col("m") - F.col("small"), F.col("grams") - F.col("small_grams")).alias("q"))
     )
-    # sizes of linked rows are at most one class apart
-    size_class = F.when(F.col("parts") == 1, 0).otherwise(F.floor(F.log("n") / math.log(100 / percent) + 1e-9)).cast("long")
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("long")
-    code = lambda c, p: c * F.lit(1 << 40) + p
-    partners = F.when(F.col("parts") == 1, F.array(F.col("own"))).otherwise(F.flatten(F.transform(
-        F.array(F.lit(-1), F.lit(0), F.lit(1)),
-        lambda d: F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda p: code(F.col("cls") + d, p)))))
+    # parts 0 to p-1 hold the sets of the size class, parts p to p+q-1 larger ones, which meet the former only
+    hashed = F.xxhash64("rep", F.lit("part"))
+    own = F.when(F.col("whole"), 0).when(F.col("big"), F.col("p") + F.pmod(hashed, F.col("q"))).otherwise(F.pmod(hashed, F.col("p")))
+    others = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.when(F.col("big"), F.col("p")).otherwise(F.col("p") + F.col("q")) - 1))
     planned = (
-        rows.join(parts, "component").withColumn("cls", size_class).withColumn("own", code(F.col("cls"), part))
-        .select("rep", "k1", "k2", "copies", "component", "own", F.explode(partners).alias("other"))
-        .select("rep", "k1", "k2", "copies", "component", F.least("own", "other").alias("lo"),
+        rows.join(parts, "component").withColumn("own", own.cast("long"))
+        .select("rep", "k1", "k2", "copies", "big", "component", "own", F.explode(others).alias("other"))
+        .select("rep", "k1", "k2", "copies", "big", "component", F.least("own", "other").alias("lo"),
                 F.greatest("own", "other").alias("hi"), "own")
     )
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
@@ -309,7 +321,7 @@ def _products(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, pe
 
     return (
         planned.join(sets.withColumnRenamed("doc_id", "rep"), ["rep", "k1", "k2"])
-        .select("component", "lo", "hi", "own", "rep", "copies", "k1", "k2", "grams")
+        .select("component", "lo", "hi", "own", "big", "rep", "copies", "k1", "k2", "grams")
         .repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(multiply, schema)
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlens.llm import langid
+from launchlens.llm import langid, quality, toxicity
 from launchlens.llm.bpe import encoding_digests
 from launchlens.llm.common import fold, read
 from launchlens.llm.exact import exact_dedup
@@ -15,8 +15,7 @@ from launchlens.llm.jaccard import ngram_components
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = langid.train(docs, fold("doc_id", 4) != 2)
-    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    return langid.identify(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +29,21 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return quality.quality(docs, *model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -47,6 +61,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load() -> dict:
     return {
         "op1_language_id": (op1_language_id, None),
+        "op4_quality": (op4_quality, None),
+        "op5_toxicity": (op5_toxicity, None),
         "op6_ngram_jaccard": (op6_ngram_jaccard, None),
         "op10_bpe": (op10_bpe, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
