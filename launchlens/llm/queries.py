@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchlens.llm import langid, quality, toxicity
+from launchlens.llm import langid, pii, quality, toxicity
 from launchlens.llm.bpe import encoding_digests
 from launchlens.llm.common import fold, read
 from launchlens.llm.exact import exact_dedup
@@ -48,6 +48,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_personal_data(read(spark, sf_dir, "documents")))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -64,6 +68,7 @@ def load() -> dict:
         "op4_quality": (op4_quality, None),
         "op5_toxicity": (op5_toxicity, None),
         "op6_ngram_jaccard": (op6_ngram_jaccard, None),
+        "op9_pii": (op9_pii, None),
         "op10_bpe": (op10_bpe, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     }
