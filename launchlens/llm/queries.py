@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from launchlens.llm import langid, pii, quality, toxicity
 from launchlens.llm.bpe import encoding_digests
 from launchlens.llm.common import fold, read
+from launchlens.llm.contamination import contaminated
 from launchlens.llm.exact import exact_dedup
 from launchlens.llm.jaccard import ngram_components
 
@@ -48,6 +49,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", F.round("cover", 6).alias("cover"), "changed")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_personal_data(read(spark, sf_dir, "documents")))
 
@@ -68,6 +74,7 @@ def load() -> dict:
         "op4_quality": (op4_quality, None),
         "op5_toxicity": (op5_toxicity, None),
         "op6_ngram_jaccard": (op6_ngram_jaccard, None),
+        "op8_decontamination": (op8_decontamination, None),
         "op9_pii": (op9_pii, None),
         "op10_bpe": (op10_bpe, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
