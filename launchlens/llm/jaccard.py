@@ -133,7 +133,7 @@ def _candidate_edges(docs: DataFrame, k: int, percent: int, id_col: str, text_co
                 sig, at, scheme = block_signatures(schemes, Words(texts[start:end]).shingles(k))
                 by = np.argsort(sig, kind="stable")
                 sig, node = sig[by].view(np.int64), (ids[start:end][at] ^ (scheme << np.uint64(56)))[by].view(np.int64)
-                first = np.concatenate([[True] * min(1, len(sig)), sig[1:] != sig[:-1]])
+                first = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
                 hub = node[first][np.cumsum(first) - 1] if len(sig) else node
                 inner = np.unique(np.stack([node, hub])[:, node != hub], axis=1)
                 spread = mix(inner[0].view(np.uint64)).view(np.int64)

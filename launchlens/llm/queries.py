@@ -11,6 +11,7 @@ from launchlens.llm.common import fold, read
 from launchlens.llm.contamination import contaminated
 from launchlens.llm.exact import exact_dedup
 from launchlens.llm.jaccard import ngram_components
+from launchlens.llm.passages import repeated_passages
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", F.round("cover", 6).alias("cover"), "changed")
@@ -74,6 +79,7 @@ def load() -> dict:
         "op4_quality": (op4_quality, None),
         "op5_toxicity": (op5_toxicity, None),
         "op6_ngram_jaccard": (op6_ngram_jaccard, None),
+        "op7_passages": (op7_passages, None),
         "op8_decontamination": (op8_decontamination, None),
         "op9_pii": (op9_pii, None),
         "op10_bpe": (op10_bpe, None),

@@ -22,6 +22,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k word hashes in a row."""
+    n = max(0, len(h) - k + 1)
+    runs = np.zeros(n, np.uint64)
+    for i in range(k):
+        runs = runs * _STEP + h[i:n + i]
+    return mix(runs)
+
+
 class Words:
     """Hashes of the words of several texts: `hashes`, and `bounds` with the first word of each text (and the end).
 
@@ -45,12 +54,7 @@ class Words:
     def shingles(self, k: int) -> list[np.ndarray]:
         """Sorted distinct k-word shingles of each text; with fewer words the whole sequence is one, without words none."""
         h = self.hashes
-        runs = np.zeros(0, np.uint64)
-        if len(h) >= k:
-            runs = np.zeros(len(h) - k + 1, np.uint64)
-            for i in range(k):
-                runs = runs * _STEP + h[i:len(h) - k + 1 + i]
-            runs = mix(runs)
+        runs = run_hashes(h, k)
         out = []
         for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
             if b - a >= k:
