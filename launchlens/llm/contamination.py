@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from launchlens.llm.common import map_texts, mix, stored
+from launchlens.llm.common import drop_rows, map_texts, mix, stored
 
 WORDS = 5
 LEAST_COVER = 0.8
@@ -201,5 +201,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns. Rows with a null id are kept."""
-    bad = stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad_id"), "text_key").distinct())
-    return docs.join(bad, (docs[id_col] == F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("text_key")), "left_anti")
+    bad = stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")).distinct())
+    return drop_rows(docs, id_col, bad, "_bad_id", F.xxhash64(docs[text_col]) == bad["_bad_text"])

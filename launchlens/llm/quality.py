@@ -214,3 +214,18 @@ def quality(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str = "d
         return lambda texts: [model.score(pool(texts).astype(np.float64))]
 
     return map_texts(docs, id_col, text_col, worker, "score double", chars_at_once=1 << 20)
+
+
+def filter_documents(docs: DataFrame, vectors: np.ndarray, net: Network, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least `least`, with all their columns, in one pass and without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
+
+    def keep(batches):
+        pool, model = Pooler(shared.value[0]), shared.value[1]
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            good = [np.zeros(0, bool)]
+            good += [model.score(pool(texts[a:b]).astype(np.float64)) >= least for a, b in cuts(texts, 512, 1 << 20)]
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(keep, docs.schema)

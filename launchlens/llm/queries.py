@@ -10,6 +10,7 @@ from launchlens.llm.bpe import encoding_digests
 from launchlens.llm.common import fold, read
 from launchlens.llm.contamination import contaminated
 from launchlens.llm.exact import exact_dedup
+from launchlens.llm.htmltext import extract
 from launchlens.llm.jaccard import ngram_components
 from launchlens.llm.passages import repeated_passages
 
@@ -20,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -83,5 +88,6 @@ def load() -> dict:
         "op8_decontamination": (op8_decontamination, None),
         "op9_pii": (op9_pii, None),
         "op10_bpe": (op10_bpe, None),
+        "op2_html_text": (op2_html_text, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     }
