@@ -4,3 +4,4 @@ from launchlens.functions.columns import (  # noqa: F401
 from launchlens.functions.ranks import floor_quantile_rank, median_from, order_statistics  # noqa: F401
 from launchlens.functions.ordered import asof_join, running_total, top_rows, totals_before  # noqa: F401
 from launchlens.functions.ranges import range_aggregate  # noqa: F401
+from launchlens.functions.tokens import token_join  # noqa: F401

@@ -33,8 +33,8 @@ def binary_metrics(scored: DataFrame, label: str = "label", prob: str = "prob")
     """One row: areas, precision at the top decile, baseline, lift, Brier score, confusion at 0.5 (M6)."""
     x = scored.select(F.col(label).cast("double").alias("y"), F.col(prob).cast("double").alias("p"), F.lit(1).alias("k"))
     pos = lambda n: (n - 1) * F.lit(0.9)
-    q = order_statistics(x, ["k"], "p", {"lo": lambda n: F.floor(pos(n)), "hi": lambda n: F.ceil(pos(n))})
-    q = q.join(x.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+    q = order_statistics(x, ["k"], "p", {"lo": lambda n: F.floor(pos(n)), "hi": lambda n: F.ceil(pos(n))}, refine=2)
+    q = q.withColumn("n", x.agg(F.count(F.lit(1)).alias("n")).scalar())
     part = pos(F.col("n")) - F.floor(pos(F.col("n")))
     cut = q.select(F.when(F.col("n") > 10, F.col("lo") + (F.col("hi") - F.col("lo")) * part).otherwise(0.5).alias("cut"))
     x = x.withColumn("cut", cut.scalar())
@@ -57,7 +57,7 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
     x = scored.select(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"), F.lit(1).alias("k")).withColumn(
         "e", F.abs(F.col("y") - F.col("p"))
     )
-    med = order_statistics(x, ["k"], "e", {"lo": MEDIAN_LOW, "hi": MEDIAN_HIGH}).select(((F.col("lo") + F.col("hi")) / 2).alias("m"))
+    med = order_statistics(x, ["k"], "e", {"lo": MEDIAN_LOW, "hi": MEDIAN_HIGH}, refine=2).select(((F.col("lo") + F.col("hi")) / 2).alias("m"))
     s = x.agg(
         F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), F.sum(F.col("e") * F.col("e")).alias("_res"), (F.var_pop("y") * F.count(F.lit(1))).alias("_tot")
     )

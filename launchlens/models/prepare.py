@@ -6,46 +6,60 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from launchlens.functions import nz, order_statistics
 from launchlens.operators.filters import cap_outliers
-from launchlens.operators.joins import forward_fill_anchor
+from launchlens.operators.joins import STACKED_TARGETS, forward_fill_anchor
 
 # Feature names by model family.
-_TOKEN = """initial_buy_sol creator_launch_count creator_migrated_count has_twitter has_telegram has_website name_length symbol_length
-created_hour_utc created_dow last_price_sol last_mcap_sol peak_mcap_sol_so_far v_sol_in_curve sol_inflow sol_outflow buy_count sell_count
-buy_sell_ratio unique_buyers""".split()
-_LABELLED = "tracked_buyers kol_buyers bundle_buyers".split()
-_AMOUNTS = [f"{s}_{side}_sol" for side in ("buy", "sell") for s in ("avg", "median", "p90", "max", "std")]
-_SHARES = [c for side in ("buyer", "seller") for c in [*[f"top{k}_{side}_sol_pct" for k in (1, 3, 5)], f"{side}_hhi"]]
-_EARLY = """sniper_buyer_count pct_sniper_buys first_block_buyer_count pct_first_block_buys avg_buyer_rank median_buyer_rank pct_buyers_in_first_10""".split()
-_PATH = """seconds_to_5_unique_buyers seconds_to_10_unique_buyers n_reversals_in_window longest_up_run_pct longest_down_run_pct max_30s_buy_sol
-max_30s_buy_count max_30s_buy_sell_ratio creator_buys_post_launch creator_sells_post_launch""".split()
-_FLOW = """inflow_accel_pct buy_count_accel_pct top10_buy_timing_std_sec max_30s_sell_sol max_30s_sell_count max_30s_unique_sellers
-creator_recent_launch_siblings""".split()
-_END = "trade_count trades_per_min volatility_pct".split()
-_SKILL = """top_buyer_skill_p90 smart_buyer_count whale_buyer_count avg_buyer_hold_sec top_seller_skill_p90 smart_seller_count""".split()
-_PRE_MIG = """pre_mig_age_min pre_mig_peak_mcap_sol pre_mig_unique_buyers pre_mig_trade_count pre_mig_buy_count pre_mig_sell_count
-pre_mig_buy_sell_ratio pre_mig_tracked_buyers pre_mig_kol_buyers pre_mig_bundle_buyers pre_mig_volatility_pct pre_mig_sandwich_risk
-pre_mig_creator_launches pre_mig_creator_migrations""".split()
-_POST_STATIC = """has_twitter has_telegram has_website name_length symbol_length migration_hour_utc migration_dow
-amm_initial_liquidity_usd""".split()
-FEATURES = {
-    "pre": ["snapshot_age_sec", *_TOKEN, *_LABELLED, "top10_buyers", "top50_buyers", "weighted_buyer_quality", *_AMOUNTS, *_SHARES, *_EARLY,
-            "tracked_first_seen_sec", "kol_first_seen_sec", *_PATH, "creator_sol_to_sidewallets", "creator_sidewallet_buyer_count", *_FLOW,
-            "trend_signal_match", "narrative_match_count", "pressure_60_buy_pct", "pressure_60_net", "telegram_member_count", "buyer_hhi_delta",
-            "seller_hhi_delta", "bot_sniper_buyer_count", "fast_human_sniper_count", "seconds_since_prev_creator_death", *_END, "sandwich_risk",
-            "reaction_speed_ms", "rpc_latency_p90_ms", "priority_fee_p90"],
-    "lean": ["snapshot_age_sec", *_TOKEN, "top10_buyers", "top50_buyers", *_AMOUNTS, *_SHARES, *_EARLY, *_PATH, *_FLOW, "pressure_60_buy_pct",
-             "pressure_60_net", "seconds_since_prev_creator_death", *_END, "migrated", *_SKILL],
-    "post": ["snapshot_age_min", "current_mcap_sol", "current_price_sol", "liquidity_usd", "amm_volume_h1_usd", "amm_volume_h24_usd", "amm_buys_h24",
-             "amm_sells_h24", "amm_price_change_h1", "amm_price_change_h24", "window_buys", "window_sells", "window_unique_buyers",
-             "window_tracked_buyers", "window_kol_buyers", "pct_from_migration", "peak_pct_so_far", *_PRE_MIG, *_POST_STATIC,
-             *[f"pre_pred_{t}" for t in ("will_migrate", "peak_pct_max", "will_rug", "hits_2x_within_1h", "buy_pressure_continues_60s", "peaked_100",
-                                        "peaked_300", "local_top_60s", "drawdown_20pct_300s")]],
-}
+_PRE_FEATURES = [
+    "snapshot_age_sec", "initial_buy_sol", "creator_launch_count", "creator_migrated_count", "has_twitter", "has_telegram", "has_website", "name_length",
+    "symbol_length", "created_hour_utc", "created_dow", "last_price_sol", "last_mcap_sol", "peak_mcap_sol_so_far", "v_sol_in_curve", "sol_inflow",
+    "sol_outflow", "buy_count", "sell_count", "buy_sell_ratio", "unique_buyers", "tracked_buyers", "kol_buyers", "bundle_buyers", "top10_buyers",
+    "top50_buyers", "weighted_buyer_quality", "avg_buy_sol", "median_buy_sol", "p90_buy_sol", "max_buy_sol", "std_buy_sol", "avg_sell_sol",
+    "median_sell_sol", "p90_sell_sol", "max_sell_sol", "std_sell_sol", "top1_buyer_sol_pct", "top3_buyer_sol_pct", "top5_buyer_sol_pct", "buyer_hhi",
+    "top1_seller_sol_pct", "top3_seller_sol_pct", "top5_seller_sol_pct", "seller_hhi", "sniper_buyer_count", "pct_sniper_buys", "first_block_buyer_count",
+    "pct_first_block_buys", "avg_buyer_rank", "median_buyer_rank", "pct_buyers_in_first_10", "tracked_first_seen_sec", "kol_first_seen_sec",
+    "seconds_to_5_unique_buyers", "seconds_to_10_unique_buyers", "n_reversals_in_window", "longest_up_run_pct", "longest_down_run_pct", "max_30s_buy_sol",
+    "max_30s_buy_count", "max_30s_buy_sell_ratio", "creator_buys_post_launch", "creator_sells_post_launch", "creator_sol_to_sidewallets",
+    "creator_sidewallet_buyer_count", "inflow_accel_pct", "buy_count_accel_pct", "top10_buy_timing_std_sec", "max_30s_sell_sol", "max_30s_sell_count",
+    "max_30s_unique_sellers", "creator_recent_launch_siblings", "trend_signal_match", "narrative_match_count", "pressure_60_buy_pct", "pressure_60_net",
+    "telegram_member_count", "buyer_hhi_delta", "seller_hhi_delta", "bot_sniper_buyer_count", "fast_human_sniper_count",
+    "seconds_since_prev_creator_death", "trade_count", "trades_per_min", "volatility_pct", "sandwich_risk", "reaction_speed_ms", "rpc_latency_p90_ms",
+    "priority_fee_p90",
+]
+_LEAN_FEATURES = [
+    "snapshot_age_sec", "initial_buy_sol", "creator_launch_count", "creator_migrated_count", "has_twitter", "has_telegram", "has_website", "name_length",
+    "symbol_length", "created_hour_utc", "created_dow", "last_price_sol", "last_mcap_sol", "peak_mcap_sol_so_far", "v_sol_in_curve", "sol_inflow",
+    "sol_outflow", "buy_count", "sell_count", "buy_sell_ratio", "unique_buyers", "top10_buyers", "top50_buyers", "avg_buy_sol", "median_buy_sol",
+    "p90_buy_sol", "max_buy_sol", "std_buy_sol", "avg_sell_sol", "median_sell_sol", "p90_sell_sol", "max_sell_sol", "std_sell_sol", "top1_buyer_sol_pct",
+    "top3_buyer_sol_pct", "top5_buyer_sol_pct", "buyer_hhi", "top1_seller_sol_pct", "top3_seller_sol_pct", "top5_seller_sol_pct", "seller_hhi",
+    "sniper_buyer_count", "pct_sniper_buys", "first_block_buyer_count", "pct_first_block_buys", "avg_buyer_rank", "median_buyer_rank",
+    "pct_buyers_in_first_10", "seconds_to_5_unique_buyers", "seconds_to_10_unique_buyers", "n_reversals_in_window", "longest_up_run_pct",
+    "longest_down_run_pct", "max_30s_buy_sol", "max_30s_buy_count", "max_30s_buy_sell_ratio", "creator_buys_post_launch", "creator_sells_post_launch",
+    "inflow_accel_pct", "buy_count_accel_pct", "top10_buy_timing_std_sec", "max_30s_sell_sol", "max_30s_sell_count", "max_30s_unique_sellers",
+    "creator_recent_launch_siblings", "pressure_60_buy_pct", "pressure_60_net", "seconds_since_prev_creator_death", "trade_count", "trades_per_min",
+    "volatility_pct", "migrated", "top_buyer_skill_p90", "smart_buyer_count", "whale_buyer_count", "avg_buyer_hold_sec", "top_seller_skill_p90",
+    "smart_seller_count",
+]
+_POST_FEATURES = [
+    "snapshot_age_min", "current_mcap_sol", "current_price_sol", "liquidity_usd", "amm_volume_h1_usd", "amm_volume_h24_usd", "amm_buys_h24",
+    "amm_sells_h24", "amm_price_change_h1", "amm_price_change_h24", "window_buys", "window_sells", "window_unique_buyers", "window_tracked_buyers",
+    "window_kol_buyers", "pct_from_migration", "peak_pct_so_far", "pre_mig_age_min", "pre_mig_peak_mcap_sol", "pre_mig_unique_buyers",
+    "pre_mig_trade_count", "pre_mig_buy_count", "pre_mig_sell_count", "pre_mig_buy_sell_ratio", "pre_mig_tracked_buyers", "pre_mig_kol_buyers",
+    "pre_mig_bundle_buyers", "pre_mig_volatility_pct", "pre_mig_sandwich_risk", "pre_mig_creator_launches", "pre_mig_creator_migrations", "has_twitter",
+    "has_telegram", "has_website", "name_length", "symbol_length", "migration_hour_utc", "migration_dow", "amm_initial_liquidity_usd",
+    *[f"pre_pred_{t}" for t in STACKED_TARGETS],
+]
+# What stays as it was at migration, besides the pre_mig_ columns.
+STATIC_AFTER_MIGRATION = [
+    "has_twitter", "has_telegram", "has_website", "name_length", "symbol_length", "migration_hour_utc", "migration_dow", "amm_initial_liquidity_usd",
+]
+FEATURES = {"pre": _PRE_FEATURES, "lean": _LEAN_FEATURES, "post": _POST_FEATURES}
 SIGNED_LOG_TARGETS = {"hold_1h_pct", "hold_4h_pct", "hold_24h_pct", "pnl_pct_60s", "pnl_pct_300s", "post_mig_ev_with_ladder_sol"}
+#: Falls given as negative numbers.
+NEGATIVE_TARGETS = {"max_drawdown_within_24h_pct"}
 POISSON_TARGETS = {"unique_buyers_next_60s", "unique_sellers_next_60s"}
 REGRESSION_TARGETS = SIGNED_LOG_TARGETS | POISSON_TARGETS | {
     "drawdown_from_peak_pct", "peak_pct_within_24h", "max_drawdown_within_24h_pct", "pump_durability_5min", "peak_pct_max", "time_to_peak_sec",
-    "time_to_peak_5x_sec", "post_mig_peak_pct", "post_mig_peak_pct_4h", "post_mig_peak_pct_24h",
+    "time_to_peak_5x_sec", "post_mig_peak_pct", "post_mig_peak_pct_4h", "post_mig_peak_pct_24h", "post_mig_time_to_peak_min",
 }
 ACTIVE_TARGETS = {
     "post_mig_hits_2x": 50, "post_mig_peak_pct": 100, "post_mig_rugs_1h": 50, "post_mig_hits_130pct_4h": 50, "post_mig_hits_186pct_4h": 50,
@@ -79,7 +93,7 @@ def export_training_set(
 
 
 def anchor_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.startswith("pre_mig_") or c in _POST_STATIC]
+    return [c for c in columns if c.startswith("pre_mig_") or c in STATIC_AFTER_MIGRATION]
 
 
 def export_postmig_training_set(
@@ -119,7 +133,7 @@ def dataset_summary(df: DataFrame, labels: list[str], features: list[str], age:
 
 
 def take_by_time(df: DataFrame, n: int, oldest: bool = False, ts: str = "snapshot_ts", tie: str = "row_key") -> DataFrame:
-    """The newest n rows (or, as the old script did, the oldest n)."""
+    """The newest, or the oldest, n rows in order of time."""
     order = [F.col(ts), F.col(tie)] if oldest else [F.col(ts).desc(), F.col(tie).desc()]
     return df.orderBy(*order).limit(n)
 
@@ -135,7 +149,7 @@ def time_split(
     """
     one = df.select(F.lit(1).alias("_k"), ts, F.col(tie).cast("double").alias("_tie"))
     # the wanted rank is the first validation row
-    head = order_statistics(one, ["_k"], ts, {"at": lambda n: F.floor(n * F.lit(frac))}).first()
+    head = order_statistics(one, ["_k"], ts, {"at": lambda n: F.floor(n * F.lit(frac))}, refine=2).first()
     if head is None:
         return df.withColumn("split", F.lit(None).cast("string"))
     at = head["at"]
@@ -147,7 +161,7 @@ def time_split(
     last_train = at if take > 0 else counts["last_below"]
     is_train = F.col(ts) < at
     if 0 < take < counts["same"]:
-        edge = order_statistics(one.filter(F.col(ts) == at), ["_k"], "_tie", {"at": lambda n: F.lit(take)}).first()["at"]
+        edge = order_statistics(one.filter(F.col(ts) == at), ["_k"], "_tie", {"at": lambda n: F.lit(take)}, refine=2).first()["at"]
         is_train = is_train | ((F.col(ts) == at) & (F.col(tie).cast("double") < edge))
     elif take >= counts["same"]:
         is_train = F.col(ts) <= at
@@ -170,6 +184,8 @@ def inverse_target(col: Column, target: str) -> Column:
     """Back to the original scale; targets that cannot be negative are clipped at 0."""
     if target in SIGNED_LOG_TARGETS:
         return F.signum(col) * F.expm1(F.abs(col))
+    if target in NEGATIVE_TARGETS:
+        return F.least(col, F.lit(0.0))
     return F.greatest(col, F.lit(0.0))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from launchlens.functions import asof_join, nz, range_aggregate, running_total
 
 # Marks after an exit, in minutes.
+#: Sizes the block levels of price paths; longer paths are cut into more blocks, none is shortened.
+LONGEST_HOLD_MS = 400 * 86_400_000
 POST_EXIT_MARKS = [5, 15, 30, 60, 120, 240, 480]
 
 
@@ -22,12 +24,12 @@ def mark_positions(positions: DataFrame, mints: DataFrame) -> DataFrame:
     )
 
 
-def highest_since_entry(positions: DataFrame, trades: DataFrame, as_of_ms: int, max_hold_ms: int, unit_ms: int = 1) -> DataFrame:
-    """Highest percentage over entry on the price path (entry, exit or as_of], at most max_hold long (path form of W4)."""
-    end = F.least(F.coalesce("exited_ms", F.lit(as_of_ms)), F.col("entered_ms") + max_hold_ms)
+def highest_since_entry(positions: DataFrame, trades: DataFrame, as_of_ms: int, unit_ms: int = 1) -> DataFrame:
+    """Highest percentage over entry on the whole price path (entry, exit or as_of] (path form of W4)."""
+    end = F.coalesce("exited_ms", F.lit(as_of_ms))
     p = positions.select("id", "mint_address", "entered_ms", "entry_price", end.alias("_end"))
     x = range_aggregate(
-        p, trades, ["mint_address"], ["id"], "entered_ms", "_end", "ts_ms", {"top": (F.col("price_sol"), "max")}, max_hold_ms, unit_ms
+        p, trades, ["mint_address"], ["id"], "entered_ms", "_end", "ts_ms", {"top": (F.col("price_sol"), "max")}, LONGEST_HOLD_MS, unit_ms
     )
     pct = F.when(F.col("entry_price") > 0, (F.col("top") / F.col("entry_price") - 1) * 100)
     return x.select("id", F.greatest(F.lit(0.0), nz(pct)).alias("path_highest_pct"))

@@ -58,13 +58,14 @@ def price_path(trades: DataFrame, tick_ms: int) -> DataFrame:
 
 
 def replay_exits(
-    positions: DataFrame, trades: DataFrame, rules: DataFrame, as_of_ms: int, tick_ms: int = 5_000, max_hold_ms: int = 480 * 60_000
+    positions: DataFrame, trades: DataFrame, rules: DataFrame, as_of_ms: int, tick_ms: int = 5_000
 ) -> DataFrame:
     """Outcome of every (position, rule set): exit time and reason, realised SOL, peak, tiers.
 
-    A position meets only the ticks of its own holding time, at most max_hold / tick of them. Columns
+    A position meets only the ticks of its own holding time, which is the longest of the rule table. Columns
     tier1..tier3 triggers and trail of the position (P6) are used by rule sets without tiers of their own.
     """
+    max_hold_ms = int((rules.agg(F.max("max_hold_min")).first()[0] or 0) * 60_000)  # a handful of rules
     slot = max(tick_ms, max_hold_ms // 16)
     per_slot = max(1, slot // tick_ms)
     path = price_path(trades, tick_ms).withColumn("_slot", F.floor(F.col("tick") / per_slot).cast("long"))
@@ -204,12 +205,43 @@ def _replay(r: dict) -> tuple:
     return fold.waiting(end + 1) or fold.outcome(end, "OPEN")
 
 
-def ladder_value(trades: DataFrame, anchors: DataFrame, rules: DataFrame, as_of_ms: int, tick_ms: int, max_hold_ms: int, stake_sol: float = 0.1) -> DataFrame:
+def first_barrier(
+    positions: DataFrame, trades: DataFrame, take_profit_pct: float, stop_loss_pct: float, max_hold_ms: int, as_of_ms: int, tick_ms: int = 5_000
+) -> DataFrame:
+    """id, reason, exit_ms, realized_sol under one take-profit, one stop and one time limit: the barrier reached first decides.
+
+    Positions meet the ticks of their holding time slot by slot; each task keeps the first tick beyond a barrier and the
+    last tick, so no path is gathered."""
+    slot = max(tick_ms, max_hold_ms // 16)
+    per_slot = max(1, slot // tick_ms)
+    path = price_path(trades, tick_ms).withColumn("_slot", F.floor(F.col("tick") / per_slot).cast("long"))
+    slot_of = lambda ms: F.floor(F.floor(ms / tick_ms) / per_slot).cast("long")
+    usable = positions.filter("entry_price > 0").select("id", "mint_address", "entered_ms", "entry_price")
+    span = usable.withColumn("_slot", F.explode(F.sequence(slot_of(F.col("entered_ms")), slot_of(F.col("entered_ms") + max_hold_ms))))
+    inside = (F.col("ts_ms") > F.col("entered_ms")) & (F.col("ts_ms") <= F.col("entered_ms") + max_hold_ms) & (F.col("ts_ms") <= as_of_ms)
+    pct = (F.col("price") / F.col("entry_price") - 1) * 100
+    at = F.struct("ts_ms", "price", pct.alias("pct"))
+    met = span.join(path, ["mint_address", "_slot"]).filter(inside).groupBy("id").agg(
+        F.min(F.when((pct < -stop_loss_pct) | (pct >= take_profit_pct), at)).alias("hit"), F.max(at).alias("last")
+    )
+    x = positions.select("id", "entered_ms", "entry_price", "token_amount").join(met, "id", "left")
+    end = F.col("entered_ms") + max_hold_ms
+    reason = (
+        F.when(nz("entry_price") <= 0, "OPEN").when(F.col("hit").isNotNull(), F.when(F.col("hit.pct") < -stop_loss_pct, "STOP_LOSS").otherwise("TIERED_FULL"))
+        .when(end <= as_of_ms, "TIME_EXIT").otherwise("OPEN")
+    )
+    exit_ms = F.when(nz("entry_price") <= 0, F.col("entered_ms")).otherwise(F.coalesce("hit.ts_ms", F.least(end, F.lit(as_of_ms))))
+    price = F.coalesce("hit.price", "last.price", "entry_price")
+    sold = F.greatest(F.lit(0.0), F.col("token_amount") * price * (1 - FEE) - NETWORK_SOL)
+    return x.select("id", reason.alias("reason"), exit_ms.cast("long").alias("exit_ms"), F.when(reason == "OPEN", 0.0).otherwise(sold).alias("realized_sol"))
+
+
+def ladder_value(trades: DataFrame, anchors: DataFrame, rules: DataFrame, as_of_ms: int, tick_ms: int, stake_sol: float = 0.1) -> DataFrame:
     """SOL gained per migrated token by entering at migration under an exit ladder."""
     p = anchors.filter("p > 0").select(
         F.col("mint_address").cast("long").alias("id"), "mint_address", F.col("anchor_ms").alias("entered_ms"), F.col("p").alias("entry_price"),
         F.lit(stake_sol).alias("entry_sol"), ((F.lit(stake_sol) - NETWORK_SOL) * (1 - FEE) / F.col("p")).alias("token_amount"),
     )
-    out = replay_exits(p, trades, rules, as_of_ms, tick_ms, max_hold_ms)
+    out = replay_exits(p, trades, rules, as_of_ms, tick_ms)
     due = F.col("exit_ms").isNotNull() & (F.col("reason") != "OPEN")
     return out.select("mint_address", "rule_set", F.when(due, F.col("pnl_sol")).alias("post_mig_ev_with_ladder_sol"), "reason", nz("exit_ms", 0).alias("exit_ms"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from launchlens.functions import (
-    floor_quantile_rank, nz, order_statistics, ratio, std_from_integer_sums, std_from_parts, top_rows,
+    floor_quantile_rank, nz, order_statistics, ratio, std_from_integer_sums, std_from_parts, token_join, top_rows,
 )
 from launchlens.operators.creators import (
     creator_history, creator_previous_launch, creator_siblings, creator_stats_unbounded,
@@ -62,7 +62,7 @@ def snapshot_grid(mints: DataFrame, ages: list[int], as_of_ms: int | None = None
 
 def trades_as_of(trades: DataFrame, mints: DataFrame, ages: list[int]) -> DataFrame:
     """Trades at or before the last cutoff of their token, with the bin and the seconds since creation."""
-    joined = trades.join(mints.select("mint_address", "created_ms", "creator_wallet"), "mint_address")
+    joined = token_join(trades, mints.select("mint_address", "created_ms", "creator_wallet"))
     since = F.col("ts_ms") - F.col("created_ms")
     return (
         joined.filter(since <= max(ages) * 1000)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from launchlens.functions import nz, top_rows
+from launchlens.functions import nz, token_join, top_rows
 
 SUPPLY = 1_000_000_000
 
@@ -79,7 +79,7 @@ def enrich_trades(trades: DataFrame, mints: DataFrame) -> DataFrame:
     price = F.when(F.col("token_amount") > 0, F.col("sol_amount") / F.col("token_amount")).otherwise(0.0)
     secs = F.greatest(F.lit(0), F.floor((F.col("ts_ms") - F.col("created_ms")) / 1000))
     return (
-        trades.drop("price_sol", "market_cap_sol").join(mints.select("mint_address", "created_ms"), "mint_address", "left")
+        token_join(trades.drop("price_sol", "market_cap_sol"), mints.select("mint_address", "created_ms"), "left")
         .withColumn("price_sol", price).withColumn("market_cap_sol", F.col("price_sol") * SUPPLY)
         .withColumn("seconds_from_creation", F.when(F.col("created_ms").isNotNull(), secs)).drop("created_ms")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from launchlens.functions import nz, ratio
+from launchlens.functions import nz, ratio, token_join
 from launchlens.operators.features import KEY, SUPPLY, _age_array, _bin_of, labelled_buyers, over_ages, path_features
 
 # Label horizons in seconds.
@@ -30,9 +30,9 @@ def forward_windows(
     at = {e: i for i, e in enumerate(edges)}
     rel = F.col("ts_ms") - F.col("anchor_ms")
     later = (
-        trades.select("mint_address", "ts_ms", "trade_id", "price_sol", "sol_amount", "is_buy")
-        .join(anchors.select("mint_address", "anchor_ms"), "mint_address")
-        .filter(rel > min(ages) * 1000)
+        token_join(
+            trades.select("mint_address", "ts_ms", "trade_id", "price_sol", "sol_amount", "is_buy"), anchors.select("mint_address", "anchor_ms")
+        ).filter(rel > min(ages) * 1000)
     )
     rows = (
         later.filter(rel <= edges[-1] * 1000)
@@ -97,7 +97,7 @@ def first_time_at_multiple(
     (token, age) is read again.
     """
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = trades.select("mint_address", "ts_ms", "price_sol").join(anchors.select("mint_address", "anchor_ms", "price_at"), "mint_address")
+    rows = token_join(trades.select("mint_address", "ts_ms", "price_sol"), anchors.select("mint_address", "anchor_ms"))
     bins = [*ages]
     slot = F.floor(F.col("ts_ms") / slot_ms).cast("long")
     # splitting slots at the cutoffs keeps a slot on one side of every cutoff
@@ -105,8 +105,8 @@ def first_time_at_multiple(
         (rel > min(ages) * 1000) & (rel <= (max(ages) + horizon_sec) * 1000)
     )
     tops = rows.groupBy("mint_address", "slot", "side").agg(
-        F.max("price_sol").alias("top"), F.first("anchor_ms").alias("anchor_ms"), F.first("price_at").alias("price_at")
-    )
+        F.max("price_sol").alias("top")
+    ).join(anchors.select("mint_address", "price_at"), "mint_address")
     spec = F.array(*[F.struct(F.lit(a).alias("age"), F.lit(i).alias("i")) for i, a in enumerate(ages)])
     goal = F.element_at("price_at", F.col("s.age")) * multiple
     want = (
@@ -124,7 +124,7 @@ def first_time_at_multiple(
 def next_minute_wallets(trades: DataFrame, anchors: DataFrame, ages: list[int], sec: int = 60) -> DataFrame:
     """Distinct buyers and sellers in the minute after each cutoff."""
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = trades.join(anchors.select("mint_address", "anchor_ms"), "mint_address").withColumn(
+    rows = token_join(trades, anchors.select("mint_address", "anchor_ms")).withColumn(
         "snapshot_age_sec", F.explode(F.filter(_age_array(ages), lambda a: (rel > a * 1000) & (rel <= (a + sec) * 1000)))
     )
     per = rows.groupBy(*KEY, "wallet").agg(F.max("is_buy").alias("b"), F.min("is_buy").alias("s"))
@@ -134,14 +134,13 @@ def next_minute_wallets(trades: DataFrame, anchors: DataFrame, ages: list[int],
 def pump_durability(trades: DataFrame, anchors: DataFrame, ages: list[int], sec: int = 300, bin_sec: int = 10) -> DataFrame:
     """Share of the traded 10 s bins of the next five minutes whose last price is at least p."""
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = trades.join(anchors.select("mint_address", "anchor_ms", "price_at"), "mint_address").withColumn(
+    rows = token_join(trades.select("mint_address", "ts_ms", "trade_id", "price_sol"), anchors.select("mint_address", "anchor_ms")).withColumn(
         "snapshot_age_sec", F.explode(F.filter(_age_array(ages), lambda a: (rel > a * 1000) & (rel <= (a + sec) * 1000)))
     )
     slot = F.floor((rel - F.col("snapshot_age_sec") * 1000 - 1) / (bin_sec * 1000))
     last = rows.groupBy(*KEY, slot.alias("slot")).agg(
-        F.max(F.struct("ts_ms", "trade_id", "price_sol"))["price_sol"].alias("c"),
-        F.first(F.element_at("price_at", F.col("snapshot_age_sec"))).alias("p"),
-    )
+        F.max(F.struct("ts_ms", "trade_id", "price_sol"))["price_sol"].alias("c")
+    ).join(anchors.select("mint_address", "price_at"), "mint_address").withColumn("p", F.element_at("price_at", F.col("snapshot_age_sec")))
     return last.groupBy(*KEY).agg(F.avg((F.col("c") >= F.col("p")).cast("int")).alias("durability"))
 
 
@@ -248,7 +247,7 @@ def migration_anchors(trades: DataFrame, mints: DataFrame) -> DataFrame:
     """Migrated tokens with their price at migration."""
     m = mints.filter("migrated = 1 AND migrated_ms IS NOT NULL").select("mint_address", F.col("migrated_ms").alias("anchor_ms"))
     last = (
-        trades.join(m, "mint_address").filter(F.col("ts_ms") <= F.col("anchor_ms")).groupBy("mint_address")
+        token_join(trades, m).filter(F.col("ts_ms") <= F.col("anchor_ms")).groupBy("mint_address")
         .agg(F.max(F.struct("ts_ms", "trade_id", "price_sol"))["price_sol"].alias("p"))
     )
     return m.join(last, "mint_address", "left").withColumn("price_at", F.create_map(F.lit(0), nz("p")))
@@ -306,7 +305,7 @@ def migration_snapshots(
     ages = [a * 60 for a in ages_min]
     a = migration_anchors(trades, mints)
     m = a.join(mints.select("mint_address", "created_ms", "creator_wallet", "name", "symbol", "twitter", "telegram", "website"), "mint_address")
-    joined = trades.join(m.select("mint_address", "anchor_ms", "created_ms", "creator_wallet"), "mint_address")
+    joined = token_join(trades, m.select("mint_address", "anchor_ms", "created_ms", "creator_wallet"))
     rel = F.col("ts_ms") - F.col("anchor_ms")
     after = joined.filter((rel > 0) & (rel <= max(ages) * 1000)).withColumn("bin", _bin_of(rel, ages)).withColumn(
         "secs", F.floor(rel / 1000).cast("long")

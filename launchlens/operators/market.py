@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from launchlens.functions import nz, top_rows
+from launchlens.functions import nz, token_join, top_rows
 
 DAY_MS = 86_400_000
 
@@ -94,7 +94,7 @@ def lifecycle_outcome(end_ms: int, dead_below: float = 28.0) -> Column:
 def first_peak_time(mints: DataFrame, trades: DataFrame) -> DataFrame:
     """First time the market cap reached the token's peak, in whole seconds from creation."""
     m = mints.select("mint_address", "created_ms", nz("peak_market_cap_sol").alias("_peak"))
-    hit = trades.select("mint_address", "ts_ms", "market_cap_sol").join(m, "mint_address").filter(
+    hit = token_join(trades.select("mint_address", "ts_ms", "market_cap_sol"), m).filter(
         F.col("market_cap_sol") >= F.col("_peak")
     )
     return hit.groupBy("mint_address").agg(F.min("ts_ms").alias("peak_ms"), F.min("created_ms").alias("_c")).select(
@@ -105,12 +105,12 @@ def first_peak_time(mints: DataFrame, trades: DataFrame) -> DataFrame:
 def mint_lifecycle(mints: DataFrame, trades: DataFrame, start_ms: int, dead_below: float = 28.0, top: int = 5) -> DataFrame:
     """One row per token created on the day, most valuable first.
 
-    n_unique_buyers counts the wallets of buys and sells, as the daily summary always did.
+    n_unique_buyers counts the wallets of buys and sells, not only of buys.
     """
     m = mints.filter(_in_day("created_ms", start_ms))
     buy = F.col("is_buy") == 1
     per_wallet = (
-        trades.join(m.select("mint_address"), "mint_address", "left_semi").groupBy("mint_address", "wallet")
+        token_join(trades, m.select("mint_address"), "left_semi").groupBy("mint_address", "wallet")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(buy, F.col("sol_amount"))).alias("bought"))
     )
     agg = per_wallet.groupBy("mint_address").agg(

@@ -263,56 +263,39 @@ def position_events(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def _fold_calls(dedup_ms: int, window_ms: int, limit: int | None):
-    """Streaming fold over opens sorted by time: keep a call when its token was not called within
-    dedup_ms and fewer than `limit` calls were kept within window_ms. State holds recent calls only."""
+def _fold_calls(dedup_ms: int):
+    """Streaming fold over opens sorted by token and time: keep a call when its token was not called within dedup_ms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
-        last: dict[int, int] = {}
-        recent: deque[tuple[int, int]] = deque()
+        token = last = None
         for pdf in batches:
             keep = []
-            for token, ts in zip(pdf["mint_address"].to_numpy(), pdf["ts_ms"].to_numpy()):
-                if limit is not None:
-                    while recent and recent[0][0] <= ts - max(dedup_ms, window_ms):
-                        at, old = recent.popleft()
-                        if last.get(old) == at:
-                            del last[old]
-                    busy = sum(1 for at, _ in recent if at >= ts - window_ms) if len(recent) >= limit else 0
-                else:
-                    busy = 0
-                    if token not in last:
-                        last.clear()  # sorted by token: earlier tokens are finished
-                ok = (token not in last or ts - last[token] >= dedup_ms) and (limit is None or busy < limit)
+            for t, ts in zip(pdf["mint_address"].to_numpy(), pdf["ts_ms"].to_numpy()):
+                ok = t != token or ts - last >= dedup_ms
                 keep.append(ok)
                 if ok:
-                    last[token] = ts
-                    if limit is not None:
-                        recent.append((ts, token))
+                    token, last = t, ts
             yield pdf[keep]
 
     return run
 
 
+def deduplicated_calls(opens: DataFrame, dedup_ms: int = 86_400_000) -> DataFrame:
+    """Opens that are announced: a token's next call is its first open at least dedup_ms after the last one."""
+    rows = opens.groupBy(F.col("mint_address").cast("int").alias("mint_address"), F.col("ts_ms").cast("long").alias("ts_ms")).agg(
+        F.min("id").cast("long").alias("id")
+    )
+    return rows.repartition("mint_address").sortWithinPartitions("mint_address", "ts_ms").mapInPandas(
+        _fold_calls(dedup_ms), "mint_address int, ts_ms long, id long"
+    )
+
+
 def rate_limited_calls(opens: DataFrame, dedup_ms: int = 86_400_000, window_ms: int = 3_600_000, limit: int = 30) -> DataFrame:
-    """Opens that are announced: each token once per day, at most 30 per rolling hour.
+    """Each token once per day, and of these calls the first `limit` of every clock window.
 
-    Tokens are folded independently, each as a sorted stream. The hourly cap is only a guard: when no
-    hour exceeds it the result is already exact. When one does, skipped calls change later decisions
-    of all tokens, and the narrow, thinned list is folded once in time order.
-    """
-    thin = opens.groupBy("mint_address", "ts_ms").agg(F.min("id").alias("id"))
-    schema = "mint_address int, ts_ms long, id long"
-    rows = thin.select(F.col("mint_address").cast("int"), F.col("ts_ms").cast("long"), F.col("id").cast("long"))
-    alone = rows.repartition("mint_address").sortWithinPartitions("mint_address", "ts_ms").mapInPandas(_fold_calls(dedup_ms, window_ms, None), schema)
-    per_slot = alone.groupBy(F.floor(F.col("ts_ms") / window_ms).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    # a rolling window spans at most two slots: cheap sufficient test
-    two = per_slot.withColumn("n2", F.col("n") + nz(F.lag("n").over(W.orderBy("slot")), 0)).filter(F.col("n2") > limit)
-    if two.isEmpty():
-        return alone
-    return rows.coalesce(1).sortWithinPartitions("ts_ms", "id").mapInPandas(_fold_calls(dedup_ms, window_ms, limit), schema)
+    Windows are fixed and a call that the cap drops still counts for its token, so tokens and windows are decided apart."""
+    calls = deduplicated_calls(opens, dedup_ms).withColumn("_window", F.floor(F.col("ts_ms") / window_ms))
+    return top_rows(calls, ["_window"], [F.col("ts_ms"), F.col("id")], limit).select("mint_address", "ts_ms", "id")
 
 
 def wallet_pool_gate(trades: DataFrame, pool: DataFrame, as_of_ms: int, window_ms: int, n: int) -> DataFrame:

@@ -110,7 +110,7 @@ def pool_medians(pool: DataFrame) -> DataFrame:
     long = pool.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])).alias("m")
     ).select("m.metric", "m.v")
-    med = order_statistics(long, ["metric"], "v", {"lo": MEDIAN_LOW, "hi": MEDIAN_HIGH}).withColumn(
+    med = order_statistics(long, ["metric"], "v", {"lo": MEDIAN_LOW, "hi": MEDIAN_HIGH}, refine=2).withColumn(
         "median", median_from("lo", "hi")
     )
     one = med.agg(*[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(f"median_{c}") for c in cols])

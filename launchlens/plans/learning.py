@@ -12,13 +12,16 @@ from launchlens.plans.labels import FWD, GROUPING, LABELS, MGRID, MIG, NOW, POST
 from launchlens.sources import files, tables as t
 
 KEY = features.KEY
-ROW_KEY = F.col("mint_address").cast("long") * 10_000 + F.col("snapshot_age_sec")
+
+def row_key():
+    return F.col("mint_address").cast("long") * 10_000 + F.col("snapshot_age_sec")
+
 
 
 def labelled(spark, sf):
     m = t.mints(spark, sf).select("mint_address", "created_ms")
     x = snapshot_inputs(spark, sf).join(resolved(spark, sf), KEY).join(m, "mint_address")
-    return x.withColumn("snapshot_ts", F.col("created_ms") + F.col("snapshot_age_sec") * 1000).withColumn("row_key", ROW_KEY)
+    return x.withColumn("snapshot_ts", F.col("created_ms") + F.col("snapshot_age_sec") * 1000).withColumn("row_key", row_key())
 
 
 @query("s14_export_training_set", t.oracle(f"""
@@ -77,7 +80,7 @@ def _(spark, sf):
 
 
 def grid_rows(spark, sf):
-    return features.snapshot_grid(t.mints(spark, sf), t.AGES).select("mint_address", "snapshot_age_sec", F.col("cutoff_ms").alias("snapshot_ts")).withColumn("row_key", ROW_KEY)
+    return features.snapshot_grid(t.mints(spark, sf), t.AGES).select("mint_address", "snapshot_age_sec", F.col("cutoff_ms").alias("snapshot_ts")).withColumn("row_key", row_key())
 
 
 def split_sql(frac, gap):
@@ -96,8 +99,7 @@ def _(spark, sf):
 
 @query("m2_time_split_lean", split_sql(0.85, 0))
 def _(spark, sf):
-    rows = prepare.take_by_time(grid_rows(spark, sf), 300_000)
-    return prepare.time_split(rows, 0.85, 0).select(*KEY, "split")
+    return prepare.time_split(grid_rows(spark, sf), 0.85, 0).select(*KEY, "split")
 
 
 @query("m3_transform_target", t.oracle("""
@@ -177,7 +179,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = training_rows(spark, sf)
     m = training.train_target(rows, "peaked_100", MODEL_FEATURES, gap_ms=GAP, **SMALL)
-    return training.permutation_importance(m, rows, "peaked_100", ["buy_count", "last_price_sol"], repeats=1)
+    return training.permutation_importance(m, rows, "peaked_100", gap_ms=GAP)
 
 
 @query("m9_score_all")

@@ -52,9 +52,9 @@ def _(spark, sf):
 
 
 @query("w4_highest_since_entry", t.oracle(f"""SELECT p.id, round(greatest(0.0, coalesce(max(CASE WHEN p.entry_price > 0 THEN (x.price_sol / p.entry_price - 1) * 100 END), 0.0)), 6) AS path_highest_pct
-FROM positions p LEFT JOIN trades x ON x.mint_address = p.mint_address AND x.ts_ms > p.entered_ms AND x.ts_ms <= least(coalesce(p.exited_ms, {NOW}), p.entered_ms + 120000) GROUP BY 1"""))
+FROM positions p LEFT JOIN trades x ON x.mint_address = p.mint_address AND x.ts_ms > p.entered_ms AND x.ts_ms <= coalesce(p.exited_ms, {NOW}) GROUP BY 1"""))
 def _(spark, sf):
-    return rounded(ops.highest_since_entry(t.positions(spark, sf), t.trades(spark, sf), NOW, 120_000, unit_ms=1000))
+    return rounded(ops.highest_since_entry(t.positions(spark, sf), t.trades(spark, sf), NOW, unit_ms=1000))
 
 
 @query("w5_equity_curve", t.oracle(f"""

@@ -52,7 +52,10 @@ HOLD = f"""CASE WHEN migrated = 1 THEN 0.30*{C('post_mig_peak_pct_4h/2')} + 0.20
   + CASE WHEN drawdown_from_peak_pct < 12 THEN 0.6*(0.50*migrates_within_15min + 0.30*will_migrate) ELSE 0.0 END END"""
 PEAK = f"""CASE WHEN migrated = 1 THEN CASE WHEN post_mig_peak_pct_4h IS NOT NULL THEN greatest(20.0, least(500.0, greatest(post_mig_peak_pct_4h, coalesce(post_mig_peak_pct_24h, 0.0)) * 100 * 1.1)) ELSE 60 * 1.1 END
   ELSE greatest(10.0, least(200.0, (10 + 85 * {C('coalesce(peaked_100, 0.0)')} + 35 * {C('coalesce(peaked_300, 0.0)')}) * 1.1)) END"""
-MIGRATED = F.col("migrated") == 1
+
+def is_migrated():
+    return F.col("migrated") == 1
+
 
 def dbl(sql):
     """Decimal literals as doubles, so that DuckDB does not compute in decimals."""
@@ -62,7 +65,7 @@ def dbl(sql):
 
 @query("p1_predicted_peak", t.oracle(dbl(f"SELECT trade_id, round({PEAK}, 6) AS predicted_peak_pct FROM scores"), SCORES))
 def _(spark, sf):
-    return rounded(scores(spark, sf).select("trade_id", ops.predicted_peak(MIGRATED, 1.1).alias("predicted_peak_pct")))
+    return rounded(scores(spark, sf).select("trade_id", ops.predicted_peak(is_migrated(), 1.1).alias("predicted_peak_pct")))
 
 @query("p2_entry_score_pre", t.oracle(dbl(f"SELECT trade_id, round({PRE}, 6) AS score FROM z"), SCORES))
 def _(spark, sf):
@@ -74,7 +77,7 @@ def _(spark, sf):
 
 @query("p4_hold_score", t.oracle(dbl(f"SELECT trade_id, round({HOLD}, 6) + 0.0 AS score FROM z"), SCORES))
 def _(spark, sf):
-    return rounded(scores(spark, sf).select("trade_id", ops.hold_score(MIGRATED, (F.col("trade_id") % 6).cast("double")).alias("score")))
+    return rounded(scores(spark, sf).select("trade_id", ops.hold_score(is_migrated(), (F.col("trade_id") % 6).cast("double")).alias("score")))
 
 SIZE = "greatest(0.01, least(0.10 + 0.10 * least(1.0, (score - 0.10) / (1 - 0.10)), {cash} * 0.30))"
 
@@ -125,19 +128,17 @@ LADDER = exits.ExitRules("ladder", [20.0, 60.0, 200.0], [0.5, 0.3, 0.2], trail_p
 LOCK = exits.ExitRules("lock", [20.0, 60.0, 200.0], [0.5, 0.3, 1.0], realized_lock=True, stop_loss_pct=30.0, max_hold_min=2.0)
 STEPPED = exits.ExitRules("stepped", trail_steps=[[20.0, 10.0], [50.0, 15.0], [150.0, 20.0], [500.0, 25.0]], stop_loss_pct=30.0, max_hold_min=2.0)
 RUNNER = exits.ExitRules("runner", [40.0, 200.0, 500.0], [0.3, 0.3, 0.4], stop_loss_pct=60.0, max_hold_min=2.0, reserve_share=0.05, reentry_dip_pct=30.0, reentry_share=0.28)
-BARRIER = exits.ExitRules("barrier", [35.0], [1.0], stop_loss_pct=30.0, max_hold_min=1.0)
 
 def replay(spark, sf, *rules):
     p = t.positions(spark, sf).select("id", "mint_address", "entered_ms", "entry_price", "entry_sol", "token_amount")
-    hold = int(max(r.max_hold_min for r in rules) * 60_000)
-    return exits.replay_exits(p, t.trades(spark, sf), exits.exit_rule_sets(spark, list(rules)), NOW, tick_ms=1000, max_hold_ms=hold)
+    return exits.replay_exits(p, t.trades(spark, sf), exits.exit_rule_sets(spark, list(rules)), NOW, tick_ms=1000)
 
 @query("p9_replay_exits")
 def _(spark, sf):
     p = t.positions(spark, sf)
     p = p.select("id", "mint_address", "entered_ms", "entry_price", "entry_sol", "token_amount", *[c.alias(n) for n, c in ops.adaptive_tiers(F.col("predicted_peak_pct")).items() if n in ("t1_trig", "t2_trig", "t3_trig", "trail_pct")])
     rules = exits.exit_rule_sets(spark, [exits.ExitRules("adaptive", max_hold_min=2.0)])
-    return rounded(exits.replay_exits(p, t.trades(spark, sf), rules, NOW, tick_ms=1000, max_hold_ms=120_000))
+    return rounded(exits.replay_exits(p, t.trades(spark, sf), rules, NOW, tick_ms=1000))
 
 # One take-profit, one stop, one time limit: the first barrier decides, which SQL can express.
 @query("p9_first_barrier", t.oracle(f"""
@@ -149,7 +150,7 @@ FROM (SELECT p.id, p.entry_price, p.entered_ms, p.token_amount, min(x.ts_ms) FIL
     FROM positions p JOIN (SELECT mint_address, ts_ms, arg_max(price_sol, trade_id) AS price FROM trades WHERE price_sol > 0 GROUP BY 1, 2) l ON l.mint_address = p.mint_address AND l.ts_ms > p.entered_ms AND l.ts_ms <= p.entered_ms + 60000 AND l.ts_ms <= {NOW} WHERE p.entry_price > 0) x USING (id)
   GROUP BY 1, 2, 3, 4)"""))
 def _(spark, sf):
-    return rounded(replay(spark, sf, BARRIER).select("id", "reason", "exit_ms", "realized_sol"))
+    return rounded(exits.first_barrier(t.positions(spark, sf), t.trades(spark, sf), 35.0, 30.0, 60_000, NOW, tick_ms=1000))
 
 @query("p21_exit_rule_sets")
 def _(spark, sf):
@@ -161,7 +162,7 @@ def _(spark, sf):
     tr = t.trades(spark, sf)
     a = labels.migration_anchors(tr, t.mints(spark, sf))
     rules = exits.exit_rule_sets(spark, [exits.ExitRules("ladder", [130.0, 186.0], [0.5, 1.0], stop_loss_pct=50.0, max_hold_min=4.0)])
-    return rounded(exits.ladder_value(tr, a, rules, NOW, 1000, 240_000))
+    return rounded(exits.ladder_value(tr, a, rules, NOW, 1000))
 
 @query("p10_curve_quote", t.oracle(dbl("""SELECT trade_id, round(CASE WHEN m.migrated = 0 THEN greatest(0.0, vt - vs * vt / (vs + net)) ELSE net / price END, 6) AS tokens_out,
   round(greatest(0.0, CASE WHEN m.migrated = 0 THEN greatest(0.0, vs - vs * vt / (vt + token_amount)) ELSE token_amount * price END * (1 - 0.01) - 0.0003), 6) AS sol_out
@@ -211,19 +212,21 @@ def _(spark, sf):
     before = p.filter("entered_ms <= 400000").select("id", state(400_000).alias("status"), F.when(F.col("id") % 8 == 0, F.array(F.lit("T1"))).otherwise(F.array().cast("array<string>")).alias("tiers_hit"))
     return ops.position_events(before, p.filter("entered_ms <= 500000").withColumn("status", state(500_000)))
 
-@query("p16_rate_limited_calls")
+CHAIN = ("""opens AS (SELECT mint_address, entered_ms AS ts_ms, min(id) AS id FROM positions GROUP BY 1, 2)""",
+    """chain AS (SELECT mint_address, min(ts_ms) AS ts_ms, arg_min(id, ts_ms) AS id FROM opens GROUP BY 1
+  UNION ALL SELECT c.mint_address, n.ts_ms, n.id FROM chain c, LATERAL (SELECT ts_ms, id FROM opens o WHERE o.mint_address = c.mint_address AND o.ts_ms >= c.ts_ms + 100000 ORDER BY ts_ms LIMIT 1) n)""")
+
+@query("p16_rate_limited_calls", t.oracle("""SELECT mint_address, ts_ms, id FROM (SELECT *, row_number() OVER (PARTITION BY ts_ms // 10000 ORDER BY ts_ms, id) AS rn FROM chain) WHERE rn <= 5""", *CHAIN).replace("WITH trades", "WITH RECURSIVE trades", 1))
 def _(spark, sf):
     opens = t.positions(spark, sf).select("id", "mint_address", F.col("entered_ms").alias("ts_ms"))
     return ops.rate_limited_calls(opens, dedup_ms=100_000, window_ms=10_000, limit=5)
 
 # Dedup alone has a closed form: the next call of a token is its first open at least 100 s later.
 @query("p16_calls_without_cap", t.oracle("""
-SELECT mint_address, ts_ms, id FROM chain""", """opens AS (SELECT mint_address, entered_ms AS ts_ms, min(id) AS id FROM positions GROUP BY 1, 2)""",
-    """chain AS (SELECT mint_address, min(ts_ms) AS ts_ms, arg_min(id, ts_ms) AS id FROM opens GROUP BY 1
-  UNION ALL SELECT c.mint_address, n.ts_ms, n.id FROM chain c, LATERAL (SELECT ts_ms, id FROM opens o WHERE o.mint_address = c.mint_address AND o.ts_ms >= c.ts_ms + 100000 ORDER BY ts_ms LIMIT 1) n)""").replace("WITH trades", "WITH RECURSIVE trades", 1))
+SELECT mint_address, ts_ms, id FROM chain""", *CHAIN).replace("WITH trades", "WITH RECURSIVE trades", 1))
 def _(spark, sf):
     opens = t.positions(spark, sf).select("id", "mint_address", F.col("entered_ms").alias("ts_ms"))
-    return ops.rate_limited_calls(opens, dedup_ms=100_000, window_ms=10_000, limit=10**9)
+    return ops.deduplicated_calls(opens, dedup_ms=100_000)
 
 POOL = "pool AS (SELECT wallet FROM wallet_stats WHERE is_high_freq = 0 AND is_unprofitable = 0)"
 

@@ -44,7 +44,7 @@ def decode_trade_events(logs: DataFrame) -> DataFrame:
     and other tags give no row."""
     # decoding happens inside the generator: every later expression reads its result, none repeats it
     lines = F.filter("logs", lambda x: F.startswith(x, F.lit(_TEXT_PREFIX)))
-    payload = F.transform(lines, lambda x: F.hex(F.try_to_binary(F.substring(x, len(LOG_PREFIX) + 1, 1 << 20), F.lit("base64"))))
+    payload = F.transform(lines, lambda x: F.hex(F.try_to_binary(F.substr(x, F.lit(len(LOG_PREFIX) + 1)), F.lit("base64"))))
     h = logs.filter(F.col("err").isNull()).select("signature", F.explode(payload).alias("_h"))
     h = h.filter(F.length("_h") >= 2 * TRADE_EVENT_BYTES)
     x = F.col("_h")

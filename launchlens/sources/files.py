@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DAY_MS = 86_400_000
@@ -9,9 +12,7 @@ DAY_MS = 86_400_000
 
 def day_start_ms(day: str) -> int:
     """Milliseconds of the start of a UTC day given as YYYY-MM-DD."""
-    from datetime import datetime, timezone
-
-    return int(datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=timezone.utc).timestamp() * 1000)
+    return (date.fromisoformat(day) - date(1970, 1, 1)).days * DAY_MS
 
 
 def on_day(df: DataFrame, day: str, ts: str = "ts_ms") -> DataFrame:
@@ -64,10 +65,14 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """Folder for written tables: inside the cluster's checkpoint folder when one is set."""
+    """Folder for written tables: inside spark.checkpoint.dir, which all executors reach; a temporary one in local mode only."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     leaf = f"{name}-{uuid.uuid4().hex}"
-    return f"{root.rstrip('/')}/{leaf}" if root else f"{tempfile.mkdtemp(prefix='launchlens-')}/{leaf}"
+    if root:
+        return f"{root.rstrip('/')}/{leaf}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.mkdtemp(prefix='launchlens-')}/{leaf}"

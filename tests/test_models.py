@@ -1,21 +1,22 @@
 from pyspark.sql import functions as F
 
 from launchlens.models import metrics, prepare, training
+from snapshots import snapshots
 
 
 def test_training_beats_chance_and_calibration_is_monotone(spark):
-    df = training.synthetic_snapshots(spark, 3000, 42).persist()
-    cols = ["initial_buy_sol", "unique_buyers", "kol_buyers", "creator_migrated_count", "sandwich_risk"]
-    m = training.train_target(df, "peaked_30", cols, iters=5, depth=3)
+    df = snapshots(spark, 3000, 42).persist()
+    cols = ["unique_buyers", "kol_buyers", "sandwich_risk"]
+    m = training.train_target(df, "peaked_30", cols, gap_ms=60_000, iters=5, depth=3)
     assert m.metrics["auc_roc"] > 0.6 and m.metrics["n_train"] > 2000
     knots = [r["p"] for r in m.score(df, "p").groupBy("p").agg(F.count(F.lit(1))).collect()]
     assert all(0 <= p <= 1 for p in knots)
-    drop = {r["feature"]: r["importance"] for r in training.permutation_importance(m, df, "peaked_30", ["kol_buyers", "sandwich_risk"], repeats=1).collect()}
-    assert drop["kol_buyers"] > drop["sandwich_risk"] - 0.05
+    drop = {r["feature"]: r["importance"] for r in training.permutation_importance(m, df, "peaked_30", ["unique_buyers", "sandwich_risk"], repeats=1, gap_ms=60_000).collect()}
+    assert drop["unique_buyers"] > drop["sandwich_risk"] - 0.05
 
 
 def test_few_positives_are_not_trained(spark):
-    df = training.synthetic_snapshots(spark, 200, 1).withColumn("migrated", (F.col("row_key") < 3).cast("int"))
+    df = snapshots(spark, 200, 1).withColumn("migrated", (F.col("row_key") < 3).cast("int"))
     assert training.train_target(df, "migrated", ["unique_buyers"], iters=2) is None
 
 
