@@ -11,24 +11,27 @@ from launchlens.streaming import streams as ops
 
 COLS = ["trade_id", "mint_address", "wallet", "is_buy", "sol_amount", "token_amount", "price_sol", "market_cap_sol", "ts_ms"]
 PARTS = 3
+FILES = 4
 CLOSE_MS = 10**10
 
 
 def replayed(spark, sf, twice=False, closing_row=False, parts=PARTS):
-    """Trades as a file stream, one file set per time slice. `twice` repeats every fourth trade; the
+    """Trades as a file stream, FILES files per time slice over the whole time range. `twice` repeats every fourth trade; the
     closing row lies far ahead and lets all windows end."""
     rows = t.trades(spark, sf).select(*COLS)
     if twice:
         rows = rows.withColumn("_c", F.explode(F.when(F.col("trade_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_c")
     root = files.work_dir(spark, "replay")
-    width = (t.AS_OF_MS + parts - 1) // parts
+    first, last = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    width = ((last or 0) - (first or 0)) // parts + 1
     for i in range(parts):
-        rows.filter((F.col("ts_ms") >= i * width) & (F.col("ts_ms") < (i + 1) * width)).coalesce(1).write.mode("append").parquet(root)
+        slot = F.floor((F.col("ts_ms") - F.lit(first or 0)) / width)
+        rows.filter(slot == i).repartition(FILES).write.mode("append").parquet(root)
     if closing_row:
         for k in (1, 2):
             rows.orderBy("trade_id").limit(1).withColumn("ts_ms", F.lit(CLOSE_MS * k).cast("long")).withColumn("mint_address", F.lit(-1)).write.mode("append").parquet(root)
     schema = rows.schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(root)
 
 
 def drain(spark, stream, mode="append", sink=None, name="stream"):

@@ -64,6 +64,11 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """Folder for written tables: inside spark.checkpoint.dir, which all executors reach; a temporary one in local mode only."""
     import tempfile

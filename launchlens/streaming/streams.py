@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from launchlens.operators.exits import OUT_COLUMNS, OUT_SCHEMA, PositionFold
 from launchlens.operators.ingest import TRADE_KEY, sane
+from launchlens.sources.files import folder_exists
 
 LATE = "1 day"
 
@@ -138,8 +139,9 @@ def snapshot_sink(
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that captures due snapshots (ST3).
 
-    Each batch is added to the trade table; ages that were crossed at most `grace_sec` before the
-    newest event time and were not captured yet are computed from the trades of those tokens only.
+    Each batch is added to the trade table; ages that were crossed since `grace_sec` before the newest event time of the
+    batches so far, however much time this batch spans, and were not captured yet are computed from the trades of those
+    tokens only.
     """
     from launchlens.operators.filters import due_snapshots
 
@@ -147,15 +149,16 @@ def snapshot_sink(
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{trades_path}/batch={batch_id}")
         trades = spark.read.parquet(trades_path).filter(F.col("batch") <= batch_id)
-        now = trades.agg(F.max("ts_ms")).first()[0]
+        now, before, start = trades.agg(F.max("ts_ms"), F.max(F.when(F.col("batch") < batch_id, F.col("ts_ms"))), F.min("ts_ms")).first()
         if now is None:
             return
         mints = mints_of(trades)
-        try:
+        if folder_exists(spark, out_path):
             have = spark.read.parquet(out_path).filter(F.col("batch") < batch_id).select("mint_address", "snapshot_age_sec")
-        except Exception:  # noqa: BLE001  first batch: nothing captured yet
+        else:  # first batch: nothing captured yet
             have = spark.createDataFrame([], "mint_address int, snapshot_age_sec int")
-        due = due_snapshots(mints, have, now, ages, grace_sec)
+        since = start if before is None else min(before, now)
+        due = due_snapshots(mints, have, now, ages, grace_sec + (now - since + 999) // 1000)
         tokens = due.select("mint_address").distinct()
         rows = features(trades.join(tokens, "mint_address", "left_semi"), mints.join(tokens, "mint_address", "left_semi"))
         rows.join(due, ["mint_address", "snapshot_age_sec"], "left_semi").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
@@ -169,11 +172,9 @@ def scoring_sink(out_path: str, score: Callable[[DataFrame], DataFrame], fresh_m
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("mint_address").agg(F.max_by(F.struct(*batch.columns), "snapshot_ts").alias("s")).select("s.*")
-        try:
+        if folder_exists(spark, out_path):
             have = spark.read.parquet(out_path).filter(F.col("batch") < batch_id).groupBy("mint_address").agg(F.max("ts_ms").alias("_last"))
             newest = newest.join(have, "mint_address", "left").filter(F.col("_last").isNull() | (F.col("snapshot_ts") - F.col("_last") >= fresh_ms)).drop("_last")
-        except Exception:  # noqa: BLE001  first batch: nothing scored yet
-            pass
         score(newest).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return write

@@ -293,3 +293,16 @@ def test_falls_are_not_clipped_at_zero(spark):
     got = spark.createDataFrame([(-0.5,), (0.2,)], "x double").select(prepare.inverse_target(F.col("x"), "max_drawdown_within_24h_pct").alias("y")).collect()
     assert [r["y"] for r in got] == [-0.5, 0.0]
     assert "post_mig_time_to_peak_min" in prepare.REGRESSION_TARGETS
+
+
+@pytest.mark.parametrize("slices", [1, 2, 6])
+def test_snapshots_do_not_depend_on_the_batches(spark, tmp_path, slices):
+    rows = trades(spark, [(ms, 1, 1, 1.0, ms) for ms in range(0, 720_000, 10_000)])
+    out = str(tmp_path / "snapshots")
+    mints_of = lambda t: t.groupBy("mint_address").agg(F.min("ts_ms").alias("created_ms")).withColumn("creator_wallet", F.lit(None).cast("long"))
+    feats = lambda t, m: features.core_features(features.trades_as_of(t, m, [60, 300]), [60, 300]).select("mint_address", "snapshot_age_sec", "trade_count")
+    sink = streams.snapshot_sink(str(tmp_path / "trades"), out, mints_of, feats, [60, 300], grace_sec=30)
+    for i in range(slices):
+        sink(rows.filter(F.floor(F.col("ts_ms") * slices / 720_000) == i), i)
+    got = {(r["snapshot_age_sec"], r["trade_count"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(60, 7), (300, 31)}
