@@ -14,7 +14,9 @@ BASIC = "trade_id, mint_address, wallet, is_buy, sol_amount"
 
 @query("s1_read_trades_day", t.oracle(f"SELECT {BASIC}, ts_real_ms FROM trades WHERE {DAY_FILTER}"))
 def _(spark, sf):
-    rows = files.on_day(t.trades(spark, sf), t.DAY, "ts_real_ms")
+    archive = files.work_dir(spark, "archive")
+    files.archive_day(t.trades(spark, sf, t.DAY), t.DAY, archive, "ts_real_ms")
+    rows = files.read_trades(spark, archive, t.DAY, "ts_real_ms")
     return rows.select("trade_id", "mint_address", "wallet", "is_buy", "sol_amount", "ts_real_ms")
 
 
@@ -173,7 +175,7 @@ def _(spark, sf):
 @query("s12_archive_day", t.oracle(f"SELECT count(*) AS rows, min(ts_real_ms) AS min_ms, max(ts_real_ms) AS max_ms FROM trades WHERE {DAY_FILTER}"))
 def _(spark, sf):
     out = files.work_dir(spark, "archive")
-    return files.archive_day(t.trades(spark, sf), t.DAY, out, "ts_real_ms").select("rows", "min_ms", "max_ms")
+    return files.archive_day(t.trades(spark, sf, t.DAY), t.DAY, out, "ts_real_ms").select("rows", "min_ms", "max_ms")
 
 
 @query("s13_drop_ignored", t.oracle(f"SELECT {BASIC} FROM trades WHERE mint_address NOT IN (3, 17, 42) AND is_junk = 0"))

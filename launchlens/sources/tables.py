@@ -6,6 +6,8 @@ DataFrames, PRELUDE holds the same tables as SQL common table expressions for th
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from launchlens.functions import asof_join
@@ -51,10 +53,16 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
 
 
-def trades(spark: SparkSession, sf: str) -> DataFrame:
+def trades(spark: SparkSession, sf: str, day: str | None = None) -> DataFrame:
+    """The trade table, optionally of one UTC day; the day is compared with the stored time, so the scan prunes by it."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     tokens = (F.lit(1) + F.col("event_id") % 7).cast("double")
-    return events(spark, sf).select(
+    source = events(spark, sf)
+    if day:
+        kind = source.schema["ts"].dataType.simpleString()
+        edge = lambda text: F.lit(text).cast(kind)
+        source = source.filter((F.col("ts") >= edge(f"{day} 00:00:00")) & (F.col("ts") < edge(f"{date.fromisoformat(day) + timedelta(1)} 00:00:00")))
+    return source.select(
         F.col("event_id").alias("trade_id"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("mint_address"),
         F.col("user_id").alias("wallet"),

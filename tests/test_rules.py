@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from launchlens.functions import asof_join, floor_quantile_rank, order_statistics, range_aggregate, running_total
 from launchlens.models import prepare
 from launchlens.operators import closes, creators, exits, features, labels, policy
+from launchlens.sources import files, tables
 from launchlens.streaming import streams
 
 TRADE = "trade_id long, mint_address int, wallet long, is_buy int, sol_amount double, token_amount double, price_sol double, market_cap_sol double, ts_ms long"
@@ -306,3 +307,13 @@ def test_snapshots_do_not_depend_on_the_batches(spark, tmp_path, slices):
         sink(rows.filter(F.floor(F.col("ts_ms") * slices / 720_000) == i), i)
     got = {(r["snapshot_age_sec"], r["trade_count"]) for r in spark.read.parquet(out).collect()}
     assert got == {(60, 7), (300, 31)}
+
+
+def test_day_filter_reaches_the_scan(spark, tmp_path):
+    plan = tables.trades(spark, "/root/testdata/sf0.001", tables.DAY)._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[([^\n]*)", plan)[1]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
+    out = str(tmp_path / "archive")
+    files.archive_day(tables.trades(spark, "/root/testdata/sf0.001", tables.DAY), tables.DAY, out, "ts_real_ms")
+    plan = files.read_trades(spark, out, tables.DAY, "ts_real_ms")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day", plan)
