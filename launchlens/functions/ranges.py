@@ -71,6 +71,13 @@ def range_aggregate(
     rows = points.select(
         *keys, F.floor(F.col(ts) / F.lit(unit_ms)).cast("long").alias("_u"), *[e.alias(n) for n, (e, _) in aggs.items()]
     )
+    lo = (F.floor(F.col(start) / F.lit(unit_ms)) + 1).cast("long")
+    hi = F.floor(F.col(end) / F.lit(unit_ms)).cast("long")
+    # points outside the largest blocks that any range of their key touches are never copied to the levels
+    largest = F.lit(base ** (levels - 1))
+    whole = lambda u: F.floor(u / largest).cast("long")
+    touched = ranges.select(*dict.fromkeys(keys), F.explode(F.sequence(whole(lo), F.greatest(whole(lo), whole(hi)))).alias("_top")).distinct()
+    rows = rows.withColumn("_top", whole(F.col("_u"))).join(touched, [*keys, "_top"], "left_semi").drop("_top")
     first = rows.groupBy(*keys, "_u").agg(*[merge[k](n).alias(n) for n, (_, k) in aggs.items()])
     tree = (
         first.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
@@ -78,8 +85,6 @@ def range_aggregate(
         .groupBy(*keys, "level", "block")
         .agg(*[merge[k](n).alias(n) for n, (_, k) in aggs.items()])
     )
-    lo = (F.floor(F.col(start) / F.lit(unit_ms)) + 1).cast("long")
-    hi = F.floor(F.col(end) / F.lit(unit_ms)).cast("long")
     cut = (
         ranges.select(*dict.fromkeys([*keys, *range_id]), lo.alias("_lo"), hi.alias("_hi"))
         .withColumn("_blk", F.explode(_blocks(F.col("_lo"), F.col("_hi"), levels, base)))
