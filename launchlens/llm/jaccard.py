@@ -2,8 +2,8 @@
 
 1. Documents with the same n-gram set become one row of the matrix (128-bit set key, combined per task).
 2. Column blocks. Two sets of sizes a and b that are similar enough differ in at most a bounded number of n-grams, which
-   follows from a and b. A hash cuts the columns into more blocks than that, so similar sets agree on a whole column
-   block that is not empty. The number of blocks depends on the size class of the smaller set; a set takes part in its
+   follows from a and b. A hash cuts the columns into more blocks than that, so similar sets agree on several whole column
+   blocks that are not empty; a set with fewer blocks in common with all others together has no partner. The number of blocks depends on the size class of the smaller set; a set takes part in its
    own class and in those of sets that may be the smaller partner. Rows that agree on a block are chained to each other,
    first within each batch, then across, so no list of rows is formed. Per size class, components of these edges are
    the diagonal blocks outside which the product is below the bound.
@@ -68,13 +68,13 @@ class Schemes:
         return out
 
 
-def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, index of the set, scheme) of every column block that is not empty, for all schemes of each set. A set with so
+def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of the set, scheme, signatures that a similar set shares at least) of every column block that is not empty, for all schemes of each set. A set with so
     many empty blocks that they could be all it shares gets one more signature, common to such sets of the scheme."""
     signatures, owners = [], []
     work = [(i, c) for i, s in enumerate(sets) if len(s) for c in schemes.of(len(s))]
     if not work:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blocks = np.array([schemes.blocks[c] for _, c in work], np.int64)
     scheme = np.array([c for _, c in work], np.uint64)
     start = np.concatenate([[0], np.cumsum(blocks)])
@@ -92,12 +92,14 @@ def block_signatures(schemes: Schemes, sets: list[np.ndarray]) -> tuple[np.ndarr
     signatures.append(mix(sums * np.uint64(0xD6E8FEB86659FD93) + (scheme[at] << np.uint64(40)) + (slot - start[at]).astype(np.uint64)))
     owners.append(at)
     empty = blocks - np.bincount(at, minlength=len(work))
-    odd = np.flatnonzero(empty >= np.array([schemes.spare[c] for _, c in work]))
+    # all but `differ` blocks agree, and of these no more than the set's own empty ones have no signature
+    shared = np.array([schemes.spare[c] for _, c in work]) - empty
+    odd = np.flatnonzero(shared <= 0)
     signatures.append(mix(scheme[odd] + np.uint64(0x7F4A7C15)))
     owners.append(odd)
     to_set = np.array([i for i, _ in work])
     at = np.concatenate(owners)
-    return np.concatenate(signatures), to_set[at], scheme[at]
+    return np.concatenate(signatures), to_set[at], scheme[at], np.maximum(shared, 1)[at]
 
 
 def _set_keys(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -119,18 +121,88 @@ def _node(id_col: str, scheme: str):
     return F.xxhash64(id_col).bitwiseXOR(F.shiftleft(F.col(scheme).cast("long"), 56))
 
 
+def _nodes_with_partners(picked: DataFrame, k: int, percent: int) -> DataFrame:
+    """node: those that have as many signatures in common with other nodes, whichever, as two similar sets have at least.
+
+    A document that only shares a passage with others has a few such signatures and drops out here."""
+    schemes = Schemes(percent)
+
+    def sign(batches):
+        """meta >= 0: a signature, 2 * needed + whether it is counted; meta < 0: -(128 * counted signatures + needed)."""
+        for batch in batches:
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
+            for start, end in cuts(texts, 1024, 1 << 21):
+                sig, at, scheme, need = block_signatures(schemes, Words(texts[start:end]).shingles(k))
+                by = np.argsort(sig, kind="stable")
+                sig, need = sig[by].view(np.int64), np.minimum(need[by], 127)
+                node = (ids[start:end][at] ^ (scheme << np.uint64(56)))[by].view(np.int64)
+                first = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
+                more = np.concatenate([sig[1:] == sig[:-1], np.zeros(min(1, len(sig)), bool)]) | ~first
+                names, place, count = np.unique(node[more], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([sig[first], mix(names.view(np.uint64)).view(np.int64)])),
+                    pa.array(np.concatenate([node[first], names])),
+                    pa.array(np.concatenate([2 * need[first] + more[first], -(128 * count + need[more][place])])),
+                ], names=["sig", "node", "meta"])
+
+    def count(batches):
+        """(node, needed, counted) of count rows, and of signatures that have a neighbour with the same one."""
+        held = None
+        for batch in batches:
+            sig, node, meta = (batch.column(i).to_numpy() for i in range(3))
+            direct, own = meta < 0, meta >= 0
+            out = [(node[direct], -meta[direct] % 128, -meta[direct] // 128)]
+            if own.any():
+                sig, node, meta = sig[own], node[own], meta[own]
+                if held is not None:
+                    sig, node, meta = (np.concatenate([[h], x]) for h, x in zip(held[:3], (sig, node, meta), strict=True))
+                same = sig[1:] == sig[:-1]
+                twice = np.zeros(len(sig), bool)
+                twice[1:] |= same
+                twice[:-1] |= same
+                last = bool(twice[-1])
+                if held is not None:
+                    last = last or (len(sig) == 1 and held[3])
+                    twice[0] &= not held[3]
+                held = (sig[-1], node[-1], meta[-1], last)
+                new = twice & (meta % 2 == 0)
+                out.append((node[new], meta[new] // 2, np.ones(int(new.sum()), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["node", "need", "n"])
+
+    return (
+        picked.mapInArrow(sign, "sig long, node long, meta long").repartition("sig").sortWithinPartitions("sig")
+        .mapInArrow(count, "node long, need long, n long").groupBy("node").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        .filter("n >= need").select("node")
+    )
+
+
+#: Hash cells of the table of remaining nodes.
+NODE_BITS = 20
+
+
 def _candidate_edges(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): nodes that agree on a column block, as chains."""
+    """(a, b): nodes that agree on a column block, as chains. Nodes without enough signatures in common are left out: a bit table
+    of fixed size tells the tasks which remain, and lets a few others pass."""
     picked = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text"))
     schemes = Schemes(percent)
+    nodes = stored(_nodes_with_partners(picked, k, percent).withColumn("cell", F.col("node").bitwiseAND((1 << NODE_BITS) - 1)))
+    bits = np.zeros(1 << NODE_BITS, bool)
+    bits[nodes.select("cell").distinct().toPandas()["cell"].to_numpy(np.int64)] = True
+    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    # a document's bits differ from its node's in the upper eight only
+    cells = nodes.select("cell").distinct()
+    picked = picked.join(F.broadcast(cells), F.col("id").bitwiseAND((1 << NODE_BITS) - 1) == F.col("cell"), "left_semi")
 
     def sign(batches):
         """Per batch one row for each signature, and edges between the rows of the batch that have it."""
+        kept = np.unpackbits(table.value).astype(bool)
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
             for start, end in cuts(texts, 1024, 1 << 21):
-                sig, at, scheme = block_signatures(schemes, Words(texts[start:end]).shingles(k))
+                sig, at, scheme, _ = block_signatures(schemes, Words(texts[start:end]).shingles(k))
+                stays = kept[((ids[start:end][at] ^ (scheme << np.uint64(56))) & np.uint64((1 << NODE_BITS) - 1)).astype(np.int64)]
+                sig, at, scheme = sig[stays], at[stays], scheme[stays]
                 by = np.argsort(sig, kind="stable")
                 sig, node = sig[by].view(np.int64), (ids[start:end][at] ^ (scheme << np.uint64(56)))[by].view(np.int64)
                 first = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])

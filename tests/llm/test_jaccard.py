@@ -99,5 +99,6 @@ def test_similar_sets_share_a_signature():
             other = np.concatenate([base[int(rng.integers(0, max(1, n // 7))):], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
             a, b = set(base.tolist()), set(other.tolist())
             if 100 * len(a & b) >= percent * len(a | b):
-                sig, at, _ = jaccard.block_signatures(schemes, [np.unique(base), np.unique(other)])
-                assert set(sig[at == 0].tolist()) & set(sig[at == 1].tolist())
+                sig, at, _, need = jaccard.block_signatures(schemes, [np.unique(base), np.unique(other)])
+                common = len(set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()))
+                assert common and all(min(need[at == i]) <= common for i in (0, 1))
