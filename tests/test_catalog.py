@@ -6,7 +6,12 @@ import pytest
 from launchlens import plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a16_wallet_token_pnl", "a17_wallet_skill", "a3_concentration", "w1_price_runs", "w2_max_rolling", "j8_entry_predictions", "l14_drawdowns", "w7_post_exit_path", "p2_entry_score_pre", "s4_decode_trade_events", "m6_binary_metrics"]
+NAMES = [
+    "a1_flow_features", "a16_wallet_token_pnl", "a17_wallet_skill", "a3_concentration", "w1_price_runs", "w2_max_rolling", "w4_highest_since_entry",
+    "w7_post_exit_path", "j8_entry_predictions", "l0_resolve_labels", "l14_drawdowns", "m1_time_split", "m2_time_split_lean", "m6_binary_metrics",
+    "m7_regression_metrics", "p2_entry_score_pre", "p9_first_barrier", "p16_rate_limited_calls", "s1_read_trades_day", "s4_decode_trade_events",
+    "s7_enrich_trades", "s12_archive_day", "st2_stream_mint_state",
+]
 
 
 @pytest.fixture(scope="module")
