@@ -45,7 +45,7 @@ class Schemes:
         self.bounds, self.top, self.blocks, self.spare = [1], [], [], []
         while self.bounds[-1] < 1 << 40:
             lo = self.bounds[-1]
-            self.bounds.append(lo * 10_000 // (percent * percent) + 1)
+            self.bounds.append(lo * 100 // percent + 1)
             hi = self.bounds[-1] - 1
             top = hi * 100 // percent
             differ = max(s - 2 * -(-percent * s // (100 + percent)) for s in (hi + top - 1, hi + top))
@@ -53,7 +53,7 @@ class Schemes:
             d = max(0, differ)
             log_odds = lambda g, d=d, n=lo: (  # noqa: E731  that a set of the class has g empty blocks
                 math.lgamma(d + g + 1) - math.lgamma(g + 1) - math.lgamma(d + 1) + n * math.log(d / (d + g)) if d else -99)
-            rare = -5.5 if lo < 28 else -9 if lo < 100 else -14  # small sets need blocks of more than one n-gram
+            rare = -5.5 if lo < 28 else -7  # blocks should hold more than one n-gram
             spare = next((g for g in range(1, 64) if log_odds(g) < rare), 64)
             self.top.append(top)
             self.blocks.append(d + spare)
