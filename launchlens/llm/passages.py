@@ -3,13 +3,14 @@
 A passage is WINDOW words long and begins at an anchor: a word whose shingle hash is the smallest of some ANCHOR_SPAN
 words in a row. Anchors depend on the words alone, so a text of WINDOW + ANCHOR_SPAN words that stands in two
 documents, in whatever surroundings, gives both the same passage; a shorter document is one passage. Each
-passage has BANDS signatures of ROWS minima over its five-word shingles. Passages that agree on a band are joined to the
-first and to the previous one with other words, the exact Jaccard similarity of these pairs is computed, and
-components of similar ones are clusters. All passages of a cluster but the first are removals; removals of a
-document that overlap are one span.
+passage has BANDS signatures of ROWS minima over its five-word shingles. Passages with a band in common form a bucket. The
+exact Jaccard similarity is computed first against the first and the previous passage of the bucket; in buckets that do
+not become one cluster by that, all passages are compared with each other. Components of similar passages are
+clusters, and every place of their passages is looked up in the documents by key. All passages of a cluster but the first are
+removals.
 
-Recall: identical passages always collide. One at similarity s does with 1 - (1 - s^ROWS)^BANDS, 0.65 at 0.8 and 0.88
-at 0.9, but a repeated text of n words holds about n / 10 overlapping passages, each of which has its chance.
+Recall: identical passages always collide. One at similarity s does with 1 - (1 - s^ROWS)^BANDS, 0.97 at 0.8 and 0.998
+at 0.9, and a repeated text of n words holds about n / 10 overlapping passages, each of which has its chance.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,11 +30,13 @@ from launchlens.llm.shingles import Words, run_hashes
 SHINGLE = 5
 WINDOW = 32
 ANCHOR_SPAN = 18
-BANDS = 2
-ROWS = 4
+BANDS = 5
+ROWS = 3
 PERCENT = 80
-#: Passages with fewer different shingles are one phrase over and over, and not compared.
-LEAST_SHINGLES = 8
+#: Passages of several shingles that are all alike are one word over and over, and not compared.
+LEAST_SHINGLES = 2
+#: Passages of a bucket that one task compares with each other; larger buckets are cut, and each two parts compared.
+BLOCK = 1024
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,7 +54,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Passages:
     """Passages of several texts: text, first and last word, set key, signatures (one row per band), character places."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], bands: int = BANDS):
         words = Words(texts)
         runs = run_hashes(words.hashes, SHINGLE)
         n, per = len(words.hashes), WINDOW - SHINGLE + 1
@@ -66,12 +69,12 @@ class Passages:
             anchor[at[runs[at + i] == span[at]] + i] = True
         self.first = full[anchor[full]]
         self.last = self.first + WINDOW - 1
-        minima = [_sliding_min(mix(runs ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)), per) for j in range(BANDS * ROWS)]
+        minima = [_sliding_min(mix(runs ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)), per) for j in range(bands * ROWS)]
         sig = [m[self.first] if len(m) else m for m in minima]
         values = mix(runs + np.uint64(0x51ED270B))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
         key = mix(sums[self.first + per] - sums[self.first]) if len(self.first) else np.zeros(0, np.uint64)
-        whole = np.flatnonzero((np.diff(words.bounds) < WINDOW + ANCHOR_SPAN) & (np.diff(words.bounds) >= SHINGLE + LEAST_SHINGLES - 1))
+        whole = np.flatnonzero((np.diff(words.bounds) < WINDOW + ANCHOR_SPAN) & (np.diff(words.bounds) >= SHINGLE))
         if len(whole):
             a, b = words.bounds[whole], words.bounds[whole + 1]
             self.first, self.last = np.concatenate([self.first, a]), np.concatenate([self.last, b - 1])
@@ -82,106 +85,75 @@ class Passages:
         self.first, self.last = self.first[rich], self.last[rich]
         self.key = key[rich].view(np.int64)
         self.text = owner[self.first]
-        bands = []
-        for band in range(BANDS):
+        self.signatures = []
+        for band in range(bands):
             code = np.full(len(self.first), band + 1, np.uint64)
             for s in sig[band * ROWS:(band + 1) * ROWS]:
                 code = mix(code * np.uint64(0xD6E8FEB86659FD93) + s.astype(np.uint64)[rich])
-            bands.append(code.view(np.int64))
-        self.signatures = bands
+            self.signatures.append(code.view(np.int64))
         chars = np.cumsum((words.bytes & 0xC0) != 0x80)  # characters up to and with each byte
         base = np.concatenate([[0], chars])[words.text_start[self.text]]
         self.start = chars[words.begin[self.first]] - 1 - base if len(self.first) else self.first
         self.end = chars[words.end[self.last] - 1] - base if len(self.first) else self.first
 
     def _rich(self, runs: np.ndarray) -> np.ndarray:
-        """Whether a passage has enough different shingles: counted as those not seen among the few before them."""
-        new = np.ones(len(runs), np.int64)
-        for back in range(1, LEAST_SHINGLES):
-            new[back:] &= runs[back:] != runs[:-back]
-        sums = np.concatenate([[0], np.cumsum(new)])
+        """Whether a passage has different shingles, or only one."""
+        changes = np.concatenate([[0, 0], np.cumsum(runs[1:] != runs[:-1])])
         stop = self.last - SHINGLE + 2
-        return sums[stop] - sums[self.first] >= LEAST_SHINGLES
+        return (changes[stop] - changes[self.first + 1] >= LEAST_SHINGLES - 1) | (stop - self.first == 1)
+
+
+def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
 
 def _colliding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: key, doc, start, end of passages that share a band with another document's; kind 1: pairs key, other."""
-    picked = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    fields = [T.StructField("sig", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()),
-              T.StructField("other", T.LongType()), T.StructField("doc", picked.schema["doc"].dataType),
-              T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
-    schema = T.StructType(fields)
-    arrow, out_arrow = to_arrow_schema(schema), to_arrow_schema(T.StructType(fields[1:]))
+    """sig, key, several: the passages of each band signature that more than one document has, and whether their keys differ."""
+    picked = _texts_of(docs, id_col, text_col)
+    id_type = picked.schema["doc"].dataType
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("key", T.LongType()), T.StructField("lo", id_type), T.StructField("hi", id_type)])
+    arrow = to_arrow_schema(schema)
 
     def sign(batches):
-        """Kind 2: one row per band signature of each batch. Those that more texts of the batch share are settled here."""
+        """One row per signature and key of each batch, with the smallest and the largest document."""
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
+            different = pc.unique(ids)
+            different = different.take(pc.sort_indices(different))
+            rank = pc.index_in(ids, different).to_numpy(zero_copy_only=False)
             for begin, stop in cuts(texts, 1024, 1 << 21):
                 p = Passages(texts[begin:stop])
-                each = np.tile(np.arange(len(p.first)), BANDS)
-                sig = np.concatenate(p.signatures)
-                by = np.lexsort((p.text[each], sig))
-                sig, each = sig[by], each[by]
-                head = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
-                group = np.cumsum(head) - 1
-                texts_in = np.bincount(group[np.concatenate([np.ones(min(1, len(sig)), bool), (p.text[each][1:] != p.text[each][:-1]) | head[1:]])]) \
-                    if len(sig) else np.zeros(0, np.int64)
-                shared = np.unique(each[texts_in[group] > 1])
-                first = each[head][group]
-                pair = np.flatnonzero((p.key[each] != p.key[first]) & (texts_in[group] > 1))
-                row = np.concatenate([each[head], shared, each[pair]])
-                kind = np.repeat([2, 0, 1], [int(head.sum()), len(shared), len(pair)])
-                spread = mix(p.key[row].view(np.uint64)).view(np.int64)
-                other = np.zeros(len(row), np.int64)
-                other[kind == 1] = p.key[first[pair]]
-                spread[kind == 2] = sig[head]
+                sig, key, doc = np.concatenate(p.signatures), np.tile(p.key, BANDS), np.tile(rank[begin + p.text], BANDS)
+                by = np.lexsort((doc, key, sig))
+                sig, key, doc = sig[by], key[by], doc[by]
+                head = np.flatnonzero(np.concatenate([np.ones(min(1, len(sig)), bool), (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]))
+                last = np.concatenate([head[1:], np.full(min(1, len(sig)), len(sig))]) - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(spread), pa.array(kind.astype(np.int32)), pa.array(p.key[row]), pa.array(other),
-                    ids.take(pa.array(begin + p.text[row])), pa.array(p.start[row].astype(np.int32)), pa.array(p.end[row].astype(np.int32)),
-                ], schema=arrow)
-
-    def chain(batches):
-        """Settled rows as they are. Of neighbours with one signature, both if they are of two documents, and the pairs of
-        a passage with the previous and the first one of its signature."""
-        held = None  # last row so far and whether it went out; first key of its signature
+                    pa.array(sig[head]), pa.array(key[head]), different.take(pa.array(doc[head])), different.take(pa.array(doc[last]))], schema=arrow)
+
+    bucket = Window.partitionBy("sig")
+    return picked.mapInArrow(sign, schema).select(
+        "sig", "key", F.min("lo").over(bucket).alias("lo"), F.max("hi").over(bucket).alias("hi"),
+        (F.min("key").over(bucket) != F.max("key").over(bucket)).alias("several"),
+    ).filter("lo <> hi").select("sig", "key", "several")
+
+
+def _places(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, doc, start, end: every place of the passages with one of the keys."""
+    picked = _texts_of(docs, id_col, text_col)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", picked.schema["doc"].dataType),
+                           T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def place(batches):
         for batch in batches:
-            kind = batch.column(1).to_numpy()
-            rest = batch.filter(pa.array(kind != 2)).select(range(1, 7))
-            rows = batch.filter(pa.array(kind == 2))
-            yield rest
-            if not rows.num_rows:
-                continue
-            if held is not None:
-                rows = pa.concat_batches([held[0], rows])
-            sig, key = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-            doc = rows.column(4)
-            same = sig[1:] == sig[:-1]
-            differ = np.array(pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)).to_numpy(zero_copy_only=False), bool)
-            out = np.zeros(len(sig), bool)
-            out[1:] |= same & differ
-            out[:-1] |= same & differ
-            head = np.concatenate([[True], ~same])
-            if held is not None:
-                out[0] &= not held[1]
-            opening = key[np.flatnonzero(head)][np.cumsum(head) - 1]
-            if held is not None:
-                opening[np.cumsum(head) == 1] = held[2]
-            now = np.flatnonzero(out)
-            links = [(i, key[i - 1]) for i in np.flatnonzero(same & (key[1:] != key[:-1])) + 1]
-            links += [(i, opening[i]) for i in np.flatnonzero(~head & (key != opening)) if i]
-            row = np.concatenate([now, np.array([i for i, _ in links], np.int64)])
-            picked_rows = rows.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([0, 1], [len(now), len(links)]).astype(np.int32)), picked_rows.column(2),
-                pa.array(np.concatenate([np.zeros(len(now), np.int64), np.array([k for _, k in links], np.int64)])),
-                *[picked_rows.column(i) for i in (4, 5, 6)]], schema=out_arrow)
-            held = (rows.slice(len(sig) - 1, 1), bool(out[-1]) or (held is not None and len(sig) == 1 and held[1]), opening[-1])
-
-    return (
-        picked.mapInArrow(sign, schema).repartition("sig").sortWithinPartitions("sig", "key", "doc")
-        .mapInArrow(chain, T.StructType(fields[1:]))
-    )
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for begin, stop in cuts(texts, 1024, 1 << 21):
+                p = Passages(texts[begin:stop], 0)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(p.key), ids.take(pa.array(begin + p.text)), pa.array(p.start.astype(np.int32)), pa.array(p.end.astype(np.int32))], schema=arrow)
+
+    return semi_filter(picked.mapInArrow(place, schema), "key", keys, "key").join(keys, "key", "left_semi").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,6 +172,101 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return map_texts(cut, "key", "text", worker, "shingles array<long>").withColumnRenamed("doc_id", "key")
 
 
+def _similar(sizes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Which of several sets, given one after the other, reach PERCENT with which."""
+    n = len(sizes)
+    _, at, count = np.unique(shingles, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = count[at] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[at[shared]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    common = np.zeros((n, n), np.float32)
+    width = 4096
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [begin, begin + width])
+        part = np.zeros((n, min(width, int(column[b - 1]) - begin + 1)), np.float32)
+        part[row[a:b], column[a:b] - begin] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    return 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix."""
+    free, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if not free[root]:
+            continue
+        free[root], todo = False, [root]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(linked[i] & free)
+            free[new] = False
+            out += [(i, j) for j in new.tolist()]
+            todo += new.tolist()
+    return out
+
+
+def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that join what is similar within each bucket (sig, key); all its keys are compared with each other."""
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / (BLOCK // 2))
+    cut = buckets.withColumn("parts", F.when(parts > 2, parts).otherwise(1).cast("int"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), "parts").cast("int"))
+    cut = cut.select("sig", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    cut = cut.select("sig", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "key").join(sets, "key")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def compare(batches):
+        held, now = [], None
+
+        def links():
+            key = np.concatenate([k for k, _, _ in held])
+            edges = _forest(_similar(np.concatenate([n for _, n, _ in held]), np.concatenate([x for _, _, x in held])))
+            a, b = (key[np.array([e[i] for e in edges], np.int64)] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            group = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edge = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                own = tuple(group[:, a].tolist())
+                if held and own != now:
+                    yield links()
+                    held = []
+                now, rows = own, batch.column(4).slice(a, b - a)
+                held.append((batch.column(3).slice(a, b - a).to_numpy(), pc.list_value_length(rows).to_numpy().astype(np.int64), rows.flatten().to_numpy()))
+        if held:
+            yield links()
+
+    return cut.select("sig", "i", "j", "key", "shingles").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, schema)
+
+
+def _clusters(buckets: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, component: the passages that are similar to others, by key; buckets has sig and key."""
+    keys = buckets.select("key").distinct()
+    owners = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "start", "end")).alias("x")).select("key", "x.*")
+    sets = stored(_sets(docs, owners, id_col, text_col).groupBy("key").agg(F.min("shingles").alias("shingles")))
+    bucket = Window.partitionBy("sig")
+    pairs = stored(buckets.select(F.col("key").alias("b"), F.array(F.min("key").over(bucket), F.lag("key").over(bucket.orderBy("key"))).alias("near"))
+                   .select(F.explode("near").alias("a"), "b").filter("a <> b").distinct())
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = stored(
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        .filter(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    )
+    labels = components(links, "a", "b")
+    label = F.coalesce("component", "key")
+    rest = buckets.join(labels, F.col("key") == F.col("node"), "left").select("sig", "key", label.alias("label"))
+    several = F.min("label").over(bucket) != F.max("label").over(bucket)
+    # a bucket of two has been compared as a whole
+    rest = stored(rest.select("sig", "key", several.alias("several"), F.count(F.lit(1)).over(bucket).alias("n")).filter("several AND n > 2").select("sig", "key"))
+    return stored(components(links.unionByName(_links_inside(rest, sets)), "a", "b"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, cluster, kept: passages that documents share, one row per span and cluster.
 
@@ -209,19 +276,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A document without a shared passage has no row, so null, empty and short texts have none. An id is one document:
     its repeated rows share nothing with each other."""
     found = stored(_colliding(docs, id_col, text_col))
-    members = stored(found.filter("kind = 0").select("key", "doc", "start", "end").distinct())
-    pairs = stored(found.filter("kind = 1").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    owners = found.select("key", "doc", "start", "end").join(ends, "key", "left_semi").groupBy("key").agg(
-        F.min(F.struct("doc", "start", "end")).alias("x")).select("key", "x.*")
-    sets = stored(_sets(docs, owners, id_col, text_col).groupBy("key").agg(F.min("shingles").alias("shingles")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-        .filter(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    )
-    labels = stored(components(links, "a", "b"))
+    members = stored(_places(docs, stored(found.select("key").distinct()), id_col, text_col))
+    labels = _clusters(stored(found.filter("several").select("sig", "key").distinct()), members, docs, id_col, text_col)
     grouped = stored(members.join(labels, F.col("key") == F.col("node"), "left").select(
         F.coalesce("component", "key").alias("component"), "doc", "start", "end"))
     clusters = stored(grouped.groupBy("component").agg(F.min("doc").alias("cluster"), F.max("doc").alias("last")).filter("cluster <> last"))

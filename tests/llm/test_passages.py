@@ -79,3 +79,52 @@ def test_query_covers_every_exact_repeat(spark):
         assert 0 <= r.start < r.end <= len(texts[r.doc_id])
     repeated = [v for v in where.values() if len({d for d, _, _ in v}) > 1]
     assert repeated and all(any(a < e and s < b for a, b in spans[d]) for v in repeated for d, s, e in v)
+
+
+def spread(texts):
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_recall_at_the_working_threshold():
+    """Share of pairs at 0.8 that a band brings together, against all pairs that are similar by brute force."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(400):
+        base = prose(rng, 49)
+        texts += [base, base[:24] + ["other"] + base[25:]]
+    cut = p.Passages([" ".join(t) for t in texts])
+    sets = [{tuple(t[i:i + 5]) for i in range(45)} for t in texts]
+    near = [i for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    whole = [s[-800:] for s in cut.signatures]  # the passages of whole texts come last
+    hit = [any(s[i] == s[i + 1] for s in whole) for i in near]
+    print("recall", sum(hit) / len(hit))
+    assert len(near) == 400 and cut.text[-800:].tolist() == list(range(800)) and sum(hit) >= 0.95 * len(hit)
+
+
+def test_all_passages_of_a_bucket_are_compared(spark, monkeypatch):
+    """Variants of two texts in one bucket, each variant similar to its text alone."""
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(0, 1 << 60, 45) for _ in range(2))
+    sets, want = [], {}
+    for k in range(8):
+        for name, base in (("x", x), ("y", y)):
+            row = base.copy()
+            if k != 5:  # the text itself stands between its variants
+                row[5 * k:5 * k + 5] = rng.integers(0, 1 << 60, 5)
+            want[len(sets)] = name
+            sets.append((len(sets), np.sort(row).tolist()))
+    buckets = spark.createDataFrame([(s, k) for s in (1, 2) for k, _ in sets], "sig long, key long")
+    frame_ = spark.createDataFrame(sets, "key long, shingles array<long>")
+    for block in (1024, 8):
+        monkeypatch.setattr(p, "BLOCK", block)
+        labels = {r.node: r.component for r in p.components(p._links_inside(buckets, frame_), "a", "b").collect()}
+        assert labels == {k: 0 if n == "x" else 1 for k, n in want.items()}
+
+
+def test_variants_around_a_text_and_short_repeats(spark):
+    rng = random.Random(2)
+    base = prose(rng, 49)
+    changed = [base[:k] + [f"new{k}"] + base[k + 1:] for k in (8, 14, 20, 26, 32, 38)]
+    short = prose(rng, 7)
+    got = p.repeated_passages(frame(spark, spread(changed[:3] + [base] + changed[3:] + [short, short, prose(rng, 7)]))).collect()
+    assert {(r.doc_id, r.cluster) for r in got} == {(i, 0) for i in range(7)} | {(7, 7), (8, 7)}
