@@ -128,3 +128,18 @@ def test_variants_around_a_text_and_short_repeats(spark):
     short = prose(rng, 7)
     got = p.repeated_passages(frame(spark, spread(changed[:3] + [base] + changed[3:] + [short, short, prose(rng, 7)]))).collect()
     assert {(r.doc_id, r.cluster) for r in got} == {(i, 0) for i in range(7)} | {(7, 7), (8, 7)}
+
+
+def test_every_place_of_a_passage_is_found(spark):
+    """The passage stands twice in one document, its partner is in another partition."""
+    rng = random.Random(8)
+    shared = prose(rng, 60)
+    twice = prose(rng, 100) + shared + prose(rng, 100) + shared + prose(rng, 100)
+    rows = [(1, " ".join(prose(rng, 50) + shared)), (2, " ".join(twice))]
+    for parts in (1, 2):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(*r, "x", 1) for r in rows], parts), SCHEMA)
+        assert docs.rdd.getNumPartitions() == parts
+        got = [r for r in p.repeated_passages(docs).collect() if r.doc_id == 2]
+        assert len(got) == 2 and all(r.cluster == 1 and not r.kept for r in got)
+        for r in got:
+            assert set(rows[1][1][r.start:r.end].split()) <= set(shared)
