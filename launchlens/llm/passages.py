@@ -7,7 +7,7 @@ passage has BANDS signatures of ROWS minima over its five-word shingles. Passage
 exact Jaccard similarity is computed first against the first and the previous passage of the bucket; in buckets that do
 not become one cluster by that, all passages are compared with each other. Components of similar passages are
 clusters, and every place of their passages is looked up in the documents by key. All passages of a cluster but the first are
-removals.
+removals, but for the words of a passage that the document keeps for another cluster.
 
 Recall: identical passages always collide. One at similarity s does with 1 - (1 - s^ROWS)^BANDS, 0.97 at 0.8 and 0.998
 at 0.9, and a repeated text of n words holds about n / 10 overlapping passages, each of which has its chance.
@@ -267,12 +267,22 @@ def _clusters(buckets: DataFrame, members: DataFrame, docs: DataFrame, id_col: s
     return stored(components(links.unionByName(_links_inside(rest, sets)), "a", "b"))
 
 
+def _merged(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Spans of equal `by` that overlap or touch as one."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.select(*by, "start", "end", F.when(F.col("start") <= before, 0).otherwise(1).alias("new"))
+    return opened.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, cluster, kept: passages that documents share, one row per span and cluster.
 
     Places are characters, ends exclusive; a passage reaches from its first to its last word, white space and case of A-Z do
     not count. cluster is the smallest id of the documents that share the passage; there, kept is true and the passage
-    stays. Spans of one document that overlap or touch are merged; the merged span is kept only if all its parts are.
+    stays. Spans of one document and cluster that overlap or touch are merged. Where a document keeps a passage, its removals of
+    other clusters end, so that every repeated passage stays whole in the document named by its cluster.
     A document without a shared passage has no row, so null, empty and short texts have none. An id is one document:
     its repeated rows share nothing with each other."""
     found = stored(_colliding(docs, id_col, text_col))
@@ -282,14 +292,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.coalesce("component", "key").alias("component"), "doc", "start", "end"))
     clusters = stored(grouped.groupBy("component").agg(F.min("doc").alias("cluster"), F.max("doc").alias("last")).filter("cluster <> last"))
     spans = grouped.join(clusters, "component").select("doc", "start", "end", "cluster", (F.col("doc") == F.col("cluster")).alias("kept"))
-    each = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end", "cluster", "kept"))).alias("s"))
-    # overlapping spans of a document, in order: extend the last one or open a new one
-    empty = F.array().cast(each.schema["s"].dataType)
-    merged = F.aggregate("s", empty, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"),
-            F.least(F.element_at(acc, -1)["cluster"], x["cluster"]).alias("cluster"),
-            (F.element_at(acc, -1)["kept"] & x["kept"]).alias("kept")))),
-    ).otherwise(F.concat(acc, F.array(x))))
-    return each.select(F.col("doc").alias("doc_id"), F.explode(merged).alias("m")).select("doc_id", "m.*")
+    merged = stored(_merged(spans, ["doc", "cluster", "kept"]))
+    # what a document keeps of one cluster leaves its removals of the others
+    kept = _merged(merged.filter("kept"), ["doc"]).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("k"))
+    removed = merged.filter("NOT kept").join(kept, "doc", "left").withColumn("k", F.filter(
+        F.coalesce("k", F.array().cast(kept.schema["k"].dataType)), lambda x: (x["end"] > F.col("start")) & (x["start"] < F.col("end"))))
+    gaps = F.arrays_zip(F.concat(F.array("start"), F.col("k.end")).alias("start"), F.concat(F.col("k.start"), F.array("end")).alias("end"))
+    removed = removed.select("doc", F.explode(gaps).alias("g"), "cluster", "kept").select("doc", "g.*", "cluster", "kept").filter("start < end")
+    return merged.filter("kept").unionByName(removed).withColumnRenamed("doc", "doc_id").select("doc_id", "start", "end", "cluster", "kept")
