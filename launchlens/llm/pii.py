@@ -1,7 +1,7 @@
 """Personal data: exact base patterns, and identifiers found by bootstrapped context patterns.
 
-Base matches (email, ip, card, phone) are the seeds. Every mention, which is a base match or another token with a digit or
-an at sign, has context patterns: the words around it. Mentions and patterns form a bipartite graph. Spark scores it in
+Base matches (email, ip, card, phone) are the seeds. Every mention, which is a base match, another token with a digit or
+an at sign, or a run of digit groups over several tokens, has context patterns: the words around it. Mentions and patterns form a bipartite graph. Spark scores it in
 rounds: a pattern's precision for a kind is the share of its mentions whose instances are believed to be of that kind,
 an instance's belief is the noisy-or of its patterns. Mentions whose patterns reach the limits are added to the base.
 """
@@ -27,7 +27,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_MENTION = re.compile(r"[0-9@]\S*")
+_MENTION = re.compile(r"[\d@]\S*")
+#: Digit groups joined by single spaces, dots, hyphens or brackets.
+_RUN = re.compile(r"(?<![\w@+.-])\+?\(?[0-9]+(?:(?:\)[ .-]?|[ .-]\(?|\()[0-9]+)+(?![\w@])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _EDGES = "\"'`.,;:!?()[]{}<>|*#$%&="
 
@@ -91,9 +93,27 @@ def context_patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int | None, int, int, str, list[str]]]:
-    """(rank of the kind or None, start, end, instance, patterns) of base matches and of other tokens with a digit or @."""
-    out = [(k, a, b, text[a:b].lower(), context_patterns(text, a, b)) for a, k, b in base]
+def _runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs of digit groups that reach over several tokens and overlap no base match."""
+    out, starts, i, reach = [], sorted((a, b) for a, _, b in base), 0, 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if text[a] == "(" and ")" not in m[0]:
+            a += 1
+        while i < len(starts) and starts[i][0] < b:
+            reach = max(reach, starts[i][1])
+            i += 1
+        if " " in m[0] and reach <= a:
+            out.append((a, b))
+    return out
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int | None, bool, int, int, str, list[str]]]:
+    """(rank of the kind or None, whether it is part of a run, start, end, instance, patterns) of base matches, of runs of
+    digit groups, and of other tokens with a digit or @."""
+    out = [(k, False, a, b, text[a:b].lower(), context_patterns(text, a, b)) for a, k, b in base]
+    runs, r = _runs(text, base), 0
+    out += [(None, False, a, b, text[a:b][:256], context_patterns(text, a, b)) for a, b in runs]
     starts, i, done = sorted((a, b) for a, _, b in base), 0, 0
     reach = 0  # end of the base matches that begin before the token
     for m in _MENTION.finditer(text):
@@ -108,8 +128,11 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int | No
         while i < len(starts) and starts[i][0] < b:
             reach = max(reach, starts[i][1])
             i += 1
-        if b - a >= 4 and reach <= a and sum(c.isdigit() for c in text[a:b][:64]) >= 3:
-            out.append((None, a, b, text[a:b].lower()[:256], context_patterns(text, a, b)))
+        while r < len(runs) and runs[r][1] <= a:
+            r += 1
+        if b > a and reach <= a and any(c.isdigit() or c == "@" for c in text[a:b]):
+            part = r < len(runs) and runs[r][0] < b
+            out.append((None, part, a, b, text[a:b].lower()[:256], context_patterns(text, a, b)))
     return out
 
 
@@ -121,7 +144,7 @@ def find_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for t in texts:
                 base = base_spans(t)
                 bases.append([{"kind": k, "start": a, "end": b} for a, k, b in base])
-                found.append([{"kind": k, "start": a, "end": b, "instance": x, "patterns": p} for k, a, b, x, p in mentions(t, base)])
+                found.append([{"kind": k, "part": o, "start": a, "end": b, "instance": x, "patterns": p} for k, o, a, b, x, p in mentions(t, base)])
             return [bases, found]
         return step
 
@@ -129,7 +152,7 @@ def find_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key")).alias("row"), F.col(text_col).alias("text")),
         "row", "text", worker,
         "base array<struct<kind:int,start:int,end:int>>, "
-        "mentions array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>")
+        "mentions array<struct<kind:int,part:boolean,start:int,end:int,instance:string,patterns:array<string>>>")
     return keyed.select("doc_id.doc_id", "doc_id.text_key", "base", "mentions")
 
 
@@ -160,19 +183,23 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text is empty and has none. Base matches are leftmost and non-overlapping per kind; matches that fail the
     check of their kind (parts of an ip, Luhn and length of a card, length of a phone) are dropped whole. Added spans
-    overlap no base span; with several patterns a mention gets the most precise one's kind, the first in KINDS on ties.
+    overlap no base span, nor each other: of a run of digit groups and its parts the run goes first. Parts are not counted
+    in the scores of patterns. With several patterns a mention gets the most precise one's kind, the first in KINDS on ties.
     Rows that repeat id and text get the same spans. Other columns are not read."""
     found = stored(find_mentions(docs, id_col, text_col))
     each = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
-    graph = stored(each.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(
+    graph = stored(each.filter("NOT part").select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(
         F.count(F.lit(1)).alias("n")))
     patterns = score_patterns(graph, rounds)
     hits = (
-        each.filter("kind IS NULL").select("doc_id", "text_key", "start", "end", F.explode("patterns").alias("pattern"))
-        .join(patterns, "pattern").groupBy("doc_id", "text_key", "start", "end")
+        each.filter("kind IS NULL").select("doc_id", "text_key", "part", "start", "end", F.explode("patterns").alias("pattern"))
+        .join(patterns, "pattern").groupBy("doc_id", "text_key", "part", "start", "end")
         .agg(F.max(F.struct("precision", (-F.col("kind")).alias("minus"))).alias("best"))
         .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("best.minus")).alias("kind"), "start", "end"))).alias("added"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("best.minus")).alias("kind"), "start", "end"))).alias("added"),
+             F.collect_list(F.when(~F.col("part"), F.struct("start", "end"))).alias("whole"))
+        .withColumn("added", F.filter("added", lambda x: ~F.exists("whole", lambda w: (
+            (w["start"] < x["end"]) & (w["end"] > x["start"]) & (w["end"] - w["start"] > x["end"] - x["start"])))))
     )
     joined = found.select("doc_id", "text_key", "base").alias("l").join(
         hits.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.text_key").eqNullSafe(F.col("r.text_key")), "left")

@@ -60,3 +60,18 @@ def test_query_keeps_every_base_span(spark):
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_context_finds_emails_without_digits_and_spaced_numbers(spark):
+    rng = random.Random(6)
+    rows = [(i, f"please send email: {'abcdefghijkl'[i]}x@mail.example today") for i in range(12)]
+    rows += [(20 + i, f"you may call me at +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} before noon") for i in range(12)]
+    rows += [(100, "please send email: jane@intranet today"), (101, "please send email: j\u00f6rg@m\u00fcller.de today"),
+             (102, "you may call me at 555 123 4567 before noon"), (103, "you may call me at (555) 123-4567 before noon"),
+             (104, "there were 3 of them in 12 rooms")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[s.kind], rows_[s.start:s.end]) for s in r.added]
+           for r in pii.find_personal_data(df).collect() for rows_ in [dict(rows)[r.doc_id]]}
+    assert got[100] == [("email", "jane@intranet")] and got[102] == [("phone", "555 123 4567")] and got[103] == [("phone", "(555) 123-4567")]
+    assert ("email", "j\u00f6rg@m\u00fcller.de") in got[101] or pii.base_spans(dict(rows)[101])
+    assert got[104] == []
