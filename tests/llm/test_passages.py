@@ -143,23 +143,3 @@ def test_every_place_of_a_passage_is_found(spark):
         assert len(got) == 2 and all(r.cluster == 1 and not r.kept for r in got)
         for r in got:
             assert set(rows[1][1][r.start:r.end].split()) <= set(shared)
-
-
-def test_a_copy_of_every_repeated_passage_survives(spark):
-    """D begins with words of E and goes on with words of F; the two stretches overlap."""
-    rng = random.Random(4)
-    d = prose(rng, 180)
-    texts = {1: prose(rng, 60) + d[:100] + prose(rng, 60), 2: prose(rng, 60) + d + prose(rng, 60), 3: prose(rng, 60) + d[60:] + prose(rng, 60)}
-    texts = {k: " ".join(t) for k, t in texts.items()}
-    got = p.repeated_passages(frame(spark, list(texts.items()))).collect()
-    left = {k: list(t) for k, t in texts.items()}
-    for r in got:
-        assert r.kept == (r.doc_id == r.cluster)
-        if not r.kept:
-            left[r.doc_id][r.start:r.end] = "\0" * (r.end - r.start)
-    left = {k: "".join(t) for k, t in left.items()}
-    cut = p.Passages(list(texts.values()))
-    pieces = [list(texts.values())[t][a:b] for t, a, b in zip(cut.text, cut.start, cut.end, strict=True)]
-    repeated = {x for x in pieces if sum(x in t for t in texts.values()) > 1}
-    assert any(r.kept for r in got if r.doc_id == 2) and any(not r.kept for r in got if r.doc_id == 3)
-    assert repeated and all(any(x in t for t in left.values()) for x in repeated)
