@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from launchlens.llm import langid, pii, quality, toxicity
 from launchlens.llm.bpe import encoding_digests
+from launchlens.llm.centroids import cluster
 from launchlens.llm.common import fold, read
 from launchlens.llm.contamination import contaminated
 from launchlens.llm.exact import exact_dedup
 from launchlens.llm.htmltext import extract
 from launchlens.llm.jaccard import ngram_components
+from launchlens.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from launchlens.llm.passages import repeated_passages
+from launchlens.llm.resampling import resample
+from launchlens.llm.secret_scan import find_secrets, span_digests as secret_digests
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(find_secrets(read(spark, sf_dir, "documents")))
+
+
 def load() -> dict:
     return {
         "op1_language_id": (op1_language_id, None),
@@ -90,4 +106,7 @@ def load() -> dict:
         "op10_bpe": (op10_bpe, None),
         "op2_html_text": (op2_html_text, None),
         "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+        "op11_centroids": (op11_centroids, OP11_SQL),
+        "op12_resampling": (op12_resampling, OP12_SQL),
+        "op13_secrets": (op13_secrets, OP13_SQL),
     }
