@@ -127,7 +127,7 @@ class Network:
 
 def windows(raw: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of texts cut into rows of size, padded with PAD; and the text of each row."""
-    counts = np.array([-(-len(r) // size) for r in raw])
+    counts = np.array([-(-len(r) // size) for r in raw], np.int64)
     grid = np.full(int(counts.sum()) * size, PAD, np.int16)
     at = 0
     for r, c in zip(raw, counts.tolist(), strict=True):

@@ -43,3 +43,13 @@ def test_held_out_accuracy(spark):
     got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(
         read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 150 and np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_empty_and_unlabelled_tables(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "the and", None), (2, None, None)], "doc_id long, text string, lang string")
+    net = langid.train(df, F.lit(True))
+    assert [r.lang_pred for r in langid.identify(df, net).orderBy("doc_id").collect()] == ["und", "und"]
+    empty = df.limit(0)
+    assert langid.identify(empty, langid.train(empty, F.lit(True))).count() == 0
