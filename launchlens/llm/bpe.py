@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from launchlens.llm.common import map_texts
 
 #: Words kept per task; the cache is emptied beyond it, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Words with more symbols than this are merged one by one.
 WIDE = 64
 _NONE = 1 << 30
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
             return [[list(map(int, i.split())) for i, _ in out], [t for _, t in out]]
         return step
 
-    return map_texts(docs, id_col, text_col, worker, "ids array<int>, decoded string", rows_at_once=128)
+    return map_texts(docs, id_col, text_col, worker, "ids array<int>, decoded string", rows_at_once=128, chars_at_once=1 << 19, tidy=True)
 
 
 def encoding_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,4 +258,5 @@ def encoding_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
             ]
         return step
 
-    return map_texts(docs, id_col, text_col, worker, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, id_col, text_col, worker, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows_at_once=256,
+                     chars_at_once=1 << 19, tidy=True)

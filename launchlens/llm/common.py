@@ -67,12 +67,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system. Python workers live on, and the next stage finds it free."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, worker, columns: str, rows_at_once: int = 512,
-              chars_at_once: int = 1 << 21) -> DataFrame:
+              chars_at_once: int = 1 << 21, tidy: bool = False) -> DataFrame:
     """doc_id plus the columns that worker() computes from texts, one row per row of docs, in Arrow batches.
 
     worker() is called once per task and returns a function from a list of texts (null as "") to a list of columns;
-    it sees at most rows_at_once texts at a time, and no more than chars_at_once characters unless one text is longer. Only the two named columns of docs are read."""
+    it sees at most rows_at_once texts at a time, and no more than chars_at_once characters unless one text is longer. Only the two named columns of docs are read.
+    A tidy task releases its memory at its end."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -91,6 +107,9 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, worker, columns: str,
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0)] + [pa.array(v, type=f.type) for v, f in zip(out, list(arrow)[1:], strict=True)],
                     schema=arrow)
+        if tidy:
+            whole = texts = part = out = step = None
+            release()
 
     return picked.mapInArrow(run, schema)
 

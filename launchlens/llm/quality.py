@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from launchlens.llm.common import cuts, map_texts, mix, sample_rows
+from launchlens.llm.common import cuts, map_texts, mix, release, sample_rows
 
 #: Labelled rows the network is fitted on at most.
 TRAIN_ROWS = 8000
@@ -227,5 +227,6 @@ def filter_documents(docs: DataFrame, vectors: np.ndarray, net: Network, least:
             good = [np.zeros(0, bool)]
             good += [model.score(pool(texts[a:b]).astype(np.float64)) >= least for a, b in cuts(texts, 512, 1 << 20)]
             yield batch.filter(pa.array(np.concatenate(good)))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
