@@ -5,6 +5,8 @@ Rows without an id are kept by the stages that decide by id (n-gram groups, deco
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,21 @@ from launchlens.llm.queries import vocabulary_path
 LEAST_QUALITY = 0.3
 
 
+#: Rows that Spark hands to a Python worker at a time: the JVM and the worker each hold a few such batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage):
+    """The stage, with Arrow batches of BATCH_ROWS rows from then on in its session."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@small_batches
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of rows outside the held-out fold, and
     counts word neighbours over the documents given."""
@@ -23,11 +40,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.filter_documents(docs, vectors, net, LEAST_QUALITY)
 
 
+@small_batches
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
     return exact.drop_copies(docs, keep="max")
 
 
+@small_batches
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingle sets link at 0.8 or more, the one with the smallest doc_id.
 
@@ -36,11 +55,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_rows(docs, "doc_id", groups, "_dropped")
 
 
+@small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return contamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' token counts and digests of ids and decoded text."""
     return bpe.encoding_digests(docs, vocabulary_path())
