@@ -49,12 +49,12 @@ def round_off_tie(x: Column, digits: int = 6) -> Column:
 
 
 def std_from_parts(parts) -> Column:
-    """Population deviation of the union of disjoint parts.
+    """Population deviation of the union of disjoint parts, the same in whatever order they arrive.
 
     `parts` is an array of struct(n, mean, m2) whose length is bounded by the number of time
     bins, never by the number of rows. Fewer than two values give 0.
     """
-    parts = _c(parts)
+    parts = F.array_sort(_c(parts))
     n = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["n"])
     mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["n"] * x["mean"]) / n
     m2 = F.aggregate(
@@ -68,6 +68,30 @@ def std_from_parts(parts) -> Column:
     return F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), m2 / n))).otherwise(F.lit(0.0))
 
 
+UNIT = 1_000_000_000
+
+
+def units(amount) -> Column:
+    """An amount as a whole number of its smallest unit, so that sums do not depend on their order."""
+    return F.round(_c(amount) * UNIT).cast("long")
+
+
+def amount(total) -> Column:
+    """The amount of a sum of `units`."""
+    return _c(total).cast("double") / UNIT
+
+
+def std_of_units(n, s1, s2) -> Column:
+    """Population deviation, as an amount, from exact count, sum and sum of squares of `units`.
+
+    With s1 = a * n + r, the squared deviations are s2 - a * s1 - a * r (whole numbers) less r * r / n."""
+    n, s1, s2 = _c(n), _c(s1).cast("decimal(19,0)"), _c(s2)
+    a = F.floor(s1 / F.greatest(n, F.lit(1)).cast("decimal(10,0)")).cast("decimal(13,0)")
+    r = (s1 - a * n.cast("decimal(10,0)")).cast("decimal(19,0)")
+    whole = (s2 - a * s1 - a * r).cast("double") - r.cast("double") * r.cast("double") / n
+    return F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), whole) / n) / UNIT).otherwise(F.lit(0.0))
+
+
 def std_from_integer_sums(n, s1, s2) -> Column:
     """Population deviation of integers from exact count, sum and sum of squares."""
     n, s1, s2 = _c(n), _c(s1), _c(s2)

@@ -95,6 +95,29 @@ def running_total(
     )
 
 
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """Running sums {column: output} per key in the given order, the row itself included; keys may be empty.
+
+    Rows are cut into ranges of (keys, order) that hold about equally many rows each, whatever the values are; one total per
+    range carries over. The ranges are written once, so that a lost task finds the same rows in them. Nulls count as 0."""
+    from launchlens.sources.files import replace_table, work_dir
+
+    spark = df.sparkSession
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select("*", *[c.alias(n) for n, c in zip(names, order, strict=True)])
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *[F.col(c) for c in (*keys, *names)]).withColumn("_part", F.spark_partition_id())
+    rows = replace_table(rows, work_dir(spark, "prefix"))
+    totals = rows.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = W.partitionBy(*keys, F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per key and range
+    carry = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_c_{c}") for c in sums])
+    inside = W.partitionBy(*keys, "_part").orderBy(*names).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(carry, [*keys, "_part"]).select("*", *[
+        (F.col(f"_c_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(o) for c, o in sums.items()])
+    return out.drop("_part", *names, *[f"_c_{c}" for c in sums])
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark keeps only k rows per key and task before it shuffles."""
     name = rank or "_rn"

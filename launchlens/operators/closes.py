@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from launchlens.functions import asof_join, nz, range_aggregate, running_total
+from launchlens.functions import asof_join, nz, prefix_sums, range_aggregate
 
 # Marks after an exit, in minutes.
 #: Sizes the block levels of price paths; longer paths are cut into more blocks, none is shortened.
@@ -40,7 +40,7 @@ def equity_curve(positions: DataFrame, mints: DataFrame, starting: float, starte
     closed = positions.filter(
         (F.col("status") == "closed") & F.col("exited_ms").isNotNull() & (F.col("exited_ms") > started_ms)
     ).select(F.col("exited_ms").alias("ts_ms"), "id", nz("realized_pnl_sol").alias("pnl"))
-    curve = running_total(closed, [], "ts_ms", ["ts_ms", "id"], "pnl", "realized", chunk_ms=86_400_000).select(
+    curve = prefix_sums(closed, [], ["ts_ms", "id"], {"pnl": "realized"}).select(
         "ts_ms", "id", "realized", F.lit(0.0).alias("unrealized")
     )
     held = positions.filter((F.col("status") == "open") & (F.col("entered_ms") >= started_ms)).join(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from launchlens.functions import (
-    floor_quantile_rank, nz, order_statistics, ratio, std_from_integer_sums, std_from_parts, token_join, top_rows,
+    amount, floor_quantile_rank, nz, order_statistics, ratio, std_from_integer_sums, std_from_parts, std_of_units, token_join, top_rows, units,
 )
 from launchlens.operators.creators import (
     creator_history, creator_previous_launch, creator_siblings, creator_stats_unbounded,
@@ -75,53 +75,45 @@ def core_features(base: DataFrame, ages: list[int]) -> DataFrame:
     """Counts, flows, amount moments, creator activity and price state (A1, part of A2, A10, A13)."""
     buy, sell = F.col("is_buy") == 1, F.col("is_buy") == 0
     own = F.col("wallet") == F.col("creator_wallet")
-    amt = F.col("sol_amount")
+    amt, whole = F.col("sol_amount"), units("sol_amount")
+    squared = whole.cast("decimal(15,0)") * whole.cast("decimal(15,0)")
     one = base.groupBy("mint_address", "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(buy, 1)).alias("nb"),
         F.count(F.when(sell, 1)).alias("ns"),
-        F.sum(F.when(buy, amt)).alias("sb"),
-        F.sum(F.when(sell, amt)).alias("ss"),
+        F.sum(F.when(buy, whole)).alias("sb"),
+        F.sum(F.when(sell, whole)).alias("ss"),
+        F.sum(F.when(buy, squared)).alias("qb"),
+        F.sum(F.when(sell, squared)).alias("qs"),
         F.max(F.when(buy, amt)).alias("xb"),
         F.max(F.when(sell, amt)).alias("xs"),
-        F.var_pop(F.when(buy, amt)).alias("vb"),
-        F.var_pop(F.when(sell, amt)).alias("vs"),
         F.count(F.when(buy & own, 1)).alias("cb"),
         F.count(F.when(sell & own, 1)).alias("cs"),
         F.max("price_sol").alias("xp"),
         F.max(F.struct("ts_ms", "trade_id", "price_sol")).alias("last"),
     )
+    return core_from_bins(over_ages(one, ages))
 
-    def part(n: str, s: str, v: str) -> Column:
-        return F.when(
-            F.col(n) > 0,
-            F.struct(
-                F.col(n).cast("double").alias("n"), (F.col(s) / F.col(n)).alias("mean"), (F.col(v) * F.col(n)).alias("m2")
-            ),
-        )
 
-    acc = (
-        over_ages(one, ages)
-        .groupBy(*KEY)
-        .agg(
-            *[F.sum(c).alias(c) for c in ("n", "nb", "ns", "sb", "ss", "cb", "cs")],
-            *[F.max(c).alias(c) for c in ("xb", "xs", "xp", "last")],
-            F.collect_list(part("nb", "sb", "vb")).alias("pb"),
-            F.collect_list(part("ns", "ss", "vs")).alias("ps"),
-        )
+def core_from_bins(bins: DataFrame, also: list[str] = ()) -> DataFrame:
+    """Core features from rows (token, age, one stretch of its trades), merged per token and age (and `also`)."""
+    acc = bins.groupBy(*KEY, *also).agg(
+        *[F.sum(c).alias(c) for c in ("n", "nb", "ns", "sb", "ss", "qb", "qs", "cb", "cs")],
+        *[F.max(c).alias(c) for c in ("xb", "xs", "xp", "last")],
     )
     age = F.col("snapshot_age_sec")
+    sb, ss = nz(amount("sb")), nz(amount("ss"))
     return acc.select(
-        *KEY,
-        nz("sb").alias("sol_inflow"), nz("ss").alias("sol_outflow"),
+        *KEY, *also,
+        sb.alias("sol_inflow"), ss.alias("sol_outflow"),
         F.col("nb").alias("buy_count"), F.col("ns").alias("sell_count"),
         F.when(F.col("ns") > 0, F.col("nb") / F.col("ns")).when(F.col("nb") > 0, 99.0).otherwise(0.0).alias("buy_sell_ratio"),
         F.col("n").alias("trade_count"),
         F.when(age > 0, F.col("n") / age * 60).otherwise(0.0).alias("trades_per_min"),
-        ratio(nz("sb"), "nb").alias("avg_buy_sol"), nz("xb").alias("max_buy_sol"),
-        std_from_parts("pb").alias("std_buy_sol"),
-        ratio(nz("ss"), "ns").alias("avg_sell_sol"), nz("xs").alias("max_sell_sol"),
-        std_from_parts("ps").alias("std_sell_sol"),
+        ratio(sb, "nb").alias("avg_buy_sol"), nz("xb").alias("max_buy_sol"),
+        std_of_units("nb", "sb", "qb").alias("std_buy_sol"),
+        ratio(ss, "ns").alias("avg_sell_sol"), nz("xs").alias("max_sell_sol"),
+        std_of_units("ns", "ss", "qs").alias("std_sell_sol"),
         F.col("cb").alias("creator_buys_post_launch"), F.col("cs").alias("creator_sells_post_launch"),
         F.col("last.price_sol").alias("trade_price_sol"), F.col("xp").alias("peak_price_sol"),
     )
@@ -144,8 +136,8 @@ def _wallet_bins(base: DataFrame) -> DataFrame:
     buy = F.col("is_buy") == 1
     secs = F.when(buy, F.col("secs"))
     return base.groupBy("mint_address", "wallet", "bin").agg(
-        F.sum(F.when(buy, F.col("sol_amount"))).alias("buy_vol"),
-        F.sum(F.when(~buy, F.col("sol_amount"))).alias("sell_vol"),
+        F.sum(F.when(buy, units("sol_amount"))).alias("buy_vol"),
+        F.sum(F.when(~buy, units("sol_amount"))).alias("sell_vol"),
         F.min(F.when(buy, F.struct("ts_ms", "trade_id", "secs"))).alias("first_buy"),
         F.min(F.when(~buy, F.struct("ts_ms", "trade_id", "secs"))).alias("first_sell"),
         F.count(secs).alias("n"), F.sum(secs).alias("s1"), F.sum(secs * secs).alias("s2"),
@@ -183,7 +175,7 @@ def wallet_features(base: DataFrame, ages: list[int]) -> DataFrame:
         .filter(F.col("first").isNotNull())
     )
     totals = sides.groupBy(*KEY, "side").agg(
-        F.count(F.lit(1)).alias("wallets"), F.sum("vol").alias("total"), F.sum(F.col("vol") * F.col("vol")).alias("sq"),
+        F.count(F.lit(1)).alias("wallets"), F.sum("vol").alias("total"), F.sum(F.col("vol").cast("decimal(18,0)") * F.col("vol").cast("decimal(18,0)")).alias("sq"),
         F.count(F.when(F.col("first.secs") <= 30, 1)).alias("in30"), F.count(F.when(F.col("first.secs") <= 1, 1)).alias("in1"),
     )
     best = (
@@ -196,7 +188,7 @@ def wallet_features(base: DataFrame, ages: list[int]) -> DataFrame:
     )
     x = totals.join(best, [*KEY, "side"])
     share = {k: F.when(F.col("total") > 0, F.col(f"top{k}") / F.col("total")).otherwise(0.0) for k in (1, 3, 5)}
-    hhi = F.when(F.col("total") > 0, F.col("sq") / (F.col("total") * F.col("total"))).otherwise(0.0)
+    hhi = F.when(F.col("total") > 0, F.col("sq").cast("double") / F.col("total").cast("double") / F.col("total").cast("double")).otherwise(0.0)
 
     def on(side: str, c: Column) -> Column:
         return F.max(F.when(F.col("side") == side, c))

@@ -7,7 +7,7 @@ from launchlens.functions import rounded
 from launchlens.models import metrics, prepare, training
 from launchlens.operators import features, joins as join_ops, labels as label_ops
 from launchlens.plans import query
-from launchlens.plans.features import GRID, SEEN, family_cte, family_sql, on_grid, base
+from launchlens.plans.features import GRID, SEEN, family_cte, family_sql, on_grid, base, snapshots
 from launchlens.plans.labels import FWD, GROUPING, LABELS, MGRID, MIG, NOW, POST, POST_SQL, SNAP_CTES, migration_rows, resolved, snapshot_inputs
 from launchlens.sources import files, tables as t
 
@@ -140,56 +140,110 @@ def _(spark, sf):
     return prepare.train_gate(x, prepare.ACTIVE_TARGETS).select("target", "n_usable", "n_rows", "stale", "train")
 
 
-MODEL_FEATURES = ["snapshot_age_sec", "sol_inflow", "sol_outflow", "buy_count", "sell_count", "avg_buy_sol", "std_buy_sol", "pressure_60_buy_pct", "last_price_sol"]
+GAP = 5_000
+# Targets trained on snapshots before migration.
+LEAN_TARGETS = [
+    "peaked_30", "peaked_100", "peaked_300", "will_rug", "will_die_fast", "will_migrate", "hits_2x_within_1h", "local_top_60s", "drawdown_from_peak_pct",
+    "alive_at_1h", "alive_at_4h", "buy_pressure_continues_60s", "pump_durability_5min", "peak_within_5min", "price_up_60s", "price_up_300s",
+    "drawdown_20pct_300s", "rug_within_5min", "migrates_within_15min", "unique_buyers_next_60s", "unique_sellers_next_60s",
+]
 
 
-def training_rows(spark, sf):
-    """Training set written once as a table: the many passes of a training job then start from a scan."""
-    core = features.core_features(base(spark, sf), t.AGES).drop("trade_price_sol", "peak_price_sol")
-    rows = labelled(spark, sf).join(core, KEY).select(
-        "mint_address", "snapshot_ts", "row_key", *MODEL_FEATURES, "peaked_30", "peaked_100", "local_top_60s", "pnl_pct_60s", "unique_buyers_next_60s"
-    )
-    return files.replace_table(rows, files.work_dir(spark, "training"))
+def pre_rows(spark, sf):
+    """Wide snapshots with their labels, written once as a table."""
+    def build():
+        wide = snapshots(spark, sf)
+        lab = resolved(spark, sf)
+        shared = [c for c in lab.columns if c in wide.columns and c not in KEY]
+        return wide.join(lab.drop(*shared), KEY).withColumn("row_key", row_key())
 
+    return t.stored(spark, sf, "training_pre", build)
+
+
+def post_rows(spark, sf):
+    """Migration snapshots with their labels, written once as a table."""
+    def build():
+        lab = label_ops.post_migration_labels(t.trades(spark, sf), t.mints(spark, sf), NOW, POST, 145.0, t.pairs_feed(spark, sf), chunk_ms=60_000)
+        rows = prepare.export_postmig_training_set(anchored_only(migration_rows(spark, sf)), lab.drop("snapshot_ts", *prepare.FEATURES["post"]))
+        return rows.withColumn("row_key", F.col("mint_address").cast("long") * 10_000 + F.col("snapshot_age_min"))
+
+    return t.stored(spark, sf, "training_post", build)
+
+
+_TRAINED = {}
 
-SMALL = {"iters": 4, "depth": 3}
-GAP = 5_000
 
+def trained(spark, sf):
+    """(registry folder, outcomes of all pre and post targets), trained once per application by the whole job with its defaults."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        root = files.work_dir(spark, "registry")
+        pre = training.retrain(pre_rows(spark, sf), dict.fromkeys(LEAN_TARGETS, 0), prepare.FEATURES["pre"] + prepare.FEATURES["lean"], f"{root}/pre", NOW, force=True, gap_ms=GAP)
+        post = training.retrain(post_rows(spark, sf), prepare.ACTIVE_TARGETS, prepare.FEATURES["post"], f"{root}/post", NOW, force=True, gap_ms=GAP)
+        _TRAINED[key] = (root, pre, post)
+    return _TRAINED[key]
 
-def one_row(spark, model):
-    from pyspark.sql import Row
 
-    keep = {k: v for k, v in model.metrics.items() if v is not None}
-    return rounded(spark.createDataFrame([Row(target=model.target, kind=model.kind, **{k: float(v) for k, v in keep.items()})]))
+def metric_rows(spark, outcomes, kind):
+    names = {"binary": ["auc_roc", "auc_pr", "precision_top10", "baseline_rate", "lift", "brier"], "regression": ["mae", "median_ae", "r2", "r2_log"]}[kind]
+    rows = [(o.target, o.kind, o.model.metrics.get("n"), o.model.metrics["n_train"], *[o.model.metrics.get(k) for k in names]) for o in outcomes if o.model and o.kind == kind]
+    return rounded(spark.createDataFrame(rows, "target string, kind string, n_val long, n_train long, " + ", ".join(f"{k} double" for k in names)))
 
 
 @query("m4_train_binary")
 def _(spark, sf):
-    return one_row(spark, training.train_target(training_rows(spark, sf), "peaked_100", MODEL_FEATURES, gap_ms=GAP, **SMALL))
+    _, pre, post = trained(spark, sf)
+    return metric_rows(spark, pre + post, "binary")
 
 
 @query("m5_train_regression")
 def _(spark, sf):
-    rows = training_rows(spark, sf)
-    a = training.train_target(rows, "pnl_pct_60s", MODEL_FEATURES, gap_ms=GAP, **SMALL)
-    return one_row(spark, a).unionByName(one_row(spark, training.train_target(rows, "unique_buyers_next_60s", MODEL_FEATURES, gap_ms=GAP)))
+    _, pre, post = trained(spark, sf)
+    return metric_rows(spark, pre + post, "regression")
+
+
+@query("m13_train_many")
+def _(spark, sf):
+    _, pre, post = trained(spark, sf)
+    return training.training_report(spark, pre + post)
+
+
+def _usable_sql():
+    lab = [x for x in LEAN_TARGETS if x in LABELS]
+    one = lambda x, binary: f"SELECT '{x}' AS target, count({x})::bigint AS n_usable, " + (f"(count(*) FILTER ({x} = 1))::bigint" if binary else "NULL::bigint") + " AS n_pos FROM labels_of_rows"
+    body = " UNION ALL ".join(one(x, x not in prepare.REGRESSION_TARGETS) for x in lab)
+    shown = ", ".join(f"{LABELS[n][1]} AS {n}" for n in lab)
+    return t.oracle(body, *SNAP_CTES, FWD, f"""labels_of_rows AS (SELECT * FROM (SELECT mint_address, snapshot_age_sec, {shown} FROM fwd {GROUPING}) JOIN grid ON grid.mint_address = fwd_mint AND grid.age = snapshot_age_sec)""".replace("SELECT * FROM (SELECT mint_address,", "SELECT x.* FROM (SELECT mint_address AS fwd_mint, mint_address,").replace(") JOIN grid", ") x JOIN grid"))
+
+
+@query("m13_usable_labels", _usable_sql())
+def _(spark, sf):
+    lab = [x for x in LEAN_TARGETS if x in LABELS]
+    x = pre_rows(spark, sf).select(*[training.usable(c).alias(c) for c in lab])
+    counts = x.agg(*[F.struct(F.count(c).alias("n"), F.count(F.when(F.col(c) == 1, 1)).alias("p")).alias(c) for c in lab])
+    pos = F.when(~F.col("target").isin(sorted(prepare.REGRESSION_TARGETS)), F.col("v.p"))
+    return counts.unpivot([], lab, "target", "v").select("target", F.col("v.n").alias("n_usable"), pos.alias("n_pos"))
 
 
 @query("m8_permutation_importance")
 def _(spark, sf):
-    rows = training_rows(spark, sf)
-    m = training.train_target(rows, "peaked_100", MODEL_FEATURES, gap_ms=GAP, **SMALL)
-    return training.permutation_importance(m, rows, "peaked_100", gap_ms=GAP)
+    root, pre, _ = trained(spark, sf)
+    m = next(o.model for o in pre if o.target == "peaked_100")
+    return rounded(training.permutation_importance(m, pre_rows(spark, sf), "peaked_100", gap_ms=GAP))
 
 
 @query("m9_score_all")
 def _(spark, sf):
-    rows = training_rows(spark, sf)
-    models = training.train_many(rows, ["peaked_100", "pnl_pct_60s"], MODEL_FEATURES, gap_ms=GAP, **SMALL)
-    return rounded(training.score_all(rows, list(models.values())))
+    root = trained(spark, sf)[0]
+    out = training.score_all(pre_rows(spark, sf), training.load_models(spark, f"{root}/pre/models"))
+    post = training.load_models(spark, f"{root}/post/models")
+    if post:
+        out = out.unionByName(training.score_all(post_rows(spark, sf), post, age="snapshot_age_min"))
+    return rounded(out)
 
 
 @query("m11_model_history")
 def _(spark, sf):
-    models = training.train_many(training_rows(spark, sf), ["peaked_30", "local_top_60s"], MODEL_FEATURES, gap_ms=GAP, **SMALL)
-    return training.model_history(spark, list(models.values()), NOW)
+    root = trained(spark, sf)[0]
+    found = [f"{root}/{k}/history" for k in ("pre", "post") if files.folder_exists(spark, f"{root}/{k}/history")]
+    return rounded(spark.read.schema(training.HISTORY).parquet(*found))

@@ -4,10 +4,14 @@ from pyspark.sql import functions as F
 
 from launchlens.functions import rounded
 from launchlens.functions.columns import round_off_tie
-from launchlens.operators import exits, features
+from launchlens.operators import exits
 from launchlens.plans import query
+from launchlens.models import training
+from launchlens.plans.features import GRID, SEEN
+from launchlens.plans.learning import pre_rows, trained
+from launchlens.plans.wallets import PAIRS, STATS, stats
 from launchlens.sources import files, tables as t
-from launchlens.streaming import streams as ops
+from launchlens.streaming import scoring, snapshots, streams as ops
 
 COLS = ["trade_id", "mint_address", "wallet", "is_buy", "sol_amount", "token_amount", "price_sol", "market_cap_sol", "ts_ms"]
 PARTS = 3
@@ -61,19 +65,32 @@ def _(spark, sf):
     return out.withColumn("last_price_sol", round_off_tie(F.col("last_price_sol")))
 
 
-@query("st3_stream_snapshots")
-def _(spark, sf):
-    ages = [60, 120, 300]
-    out, table = files.work_dir(spark, "snapshots"), files.work_dir(spark, "trades")
+SNAP_AGES = [60, 120, 300]
+_SIDE = "{f}(sol_amount) FILTER (is_buy = {b})"
+
 
-    def mints_of(trades):
-        return trades.groupBy("mint_address").agg(F.min("ts_ms").alias("created_ms")).withColumn("creator_wallet", F.lit(None).cast("long"))
+def _moments(side, b):
+    one = lambda f: _SIDE.format(f=f, b=b)
+    return f"""round(coalesce({one('avg')}, 0.0), 6) AS avg_{side}_sol, round(coalesce({one('max')}, 0.0), 6) AS max_{side}_sol,
+  round(CASE WHEN count(*) FILTER (is_buy = {b}) >= 2 THEN {one('stddev_pop')} ELSE 0.0 END, 6) AS std_{side}_sol"""
 
-    def feats(trades, mints):
-        return features.core_features(features.trades_as_of(trades, mints, ages), ages).drop("trade_price_sol", "peak_price_sol")
 
-    drain(spark, replayed(spark, sf, parts=6), sink=ops.snapshot_sink(table, out, mints_of, feats, ages, grace_sec=120))
-    return rounded(spark.read.parquet(out))
+@query("st3_stream_snapshots", t.oracle(f"""
+SELECT mint_address, age AS snapshot_age_sec, round(coalesce(sum(sol_amount) FILTER (is_buy = 1), 0.0), 6) AS sol_inflow, round(coalesce(sum(sol_amount) FILTER (is_buy = 0), 0.0), 6) AS sol_outflow,
+  count(*) FILTER (is_buy = 1) AS buy_count, count(*) FILTER (is_buy = 0) AS sell_count,
+  round(CASE WHEN count(*) FILTER (is_buy = 0) > 0 THEN count(*) FILTER (is_buy = 1) / count(*) FILTER (is_buy = 0) ELSE 99.0::double END, 6) AS buy_sell_ratio,
+  count(*) AS trade_count, round(count(*) / age * 60, 6) AS trades_per_min, {_moments('buy', 1)}, {_moments('sell', 0)},
+  count(*) FILTER (is_buy = 1 AND wallet = creator_wallet) AS creator_buys_post_launch, count(*) FILTER (is_buy = 0 AND wallet = creator_wallet) AS creator_sells_post_launch,
+  round(arg_max(price_sol, ts_ms * 1000000000 + trade_id), 6) AS trade_price_sol, round(max(price_sol), 6) AS peak_price_sol
+FROM seen WHERE age IN (60, 120, 300) GROUP BY mint_address, age""", GRID, SEEN))
+def _(spark, sf):
+    # a stream starts with its watermark at the epoch, where the compressed clock also starts
+    m = t.mints(spark, sf).withColumn("created_ms", F.col("created_ms") + CLOSE_MS)
+    m = files.replace_table(m, files.work_dir(spark, "launches"))  # a file set of its own: a plain table for the stream
+    s = replayed(spark, sf, closing_row=True, parts=6).withColumn("ts_ms", F.col("ts_ms") + CLOSE_MS)
+    with snapshots.timers(spark):
+        out = drain(spark, snapshots.stream_snapshots(s, m, SNAP_AGES, LATE))
+    return rounded(out.drop("batch", "cutoff_ts"))
 
 
 @query("st4_ingest_rate", t.oracle("""SELECT ts_ms // 60000 * 60000 AS minute_ms, cast(sum(CASE WHEN trade_id % 4 = 0 THEN 2 ELSE 1 END) AS bigint) AS parsed, count(*) AS new, count(*) FILTER (trade_id % 4 = 0) AS duplicates FROM trades GROUP BY 1"""))
@@ -106,16 +123,46 @@ def _(spark, sf):
     return rounded(drain(spark, ops.stream_positions(replayed(spark, sf), p, rules)).drop("batch"))
 
 
-@query("st8_stream_scoring")
+FRESH_MS = 100_000
+
+
+def replayed_snapshots(spark, sf, parts=4):
+    """Wide snapshots with creator and rug state as a file stream, in time slices; the clock starts late enough for watermarks."""
+    m = t.mints(spark, sf).select("mint_address", "creator_wallet", "rugged")
+    wide = pre_rows(spark, sf)
+    rows = wide.drop("creator_wallet", "rugged").join(m, "mint_address").withColumn("snapshot_ts", F.col("snapshot_ts") + CLOSE_MS)
+    root = files.work_dir(spark, "snapshot-replay")
+    first, last = rows.agg(F.min("snapshot_ts"), F.max("snapshot_ts")).first()
+    width = ((last or 0) - (first or 0)) // parts + 1
+    for i in range(parts):
+        rows.filter(F.floor((F.col("snapshot_ts") - F.lit(first or 0)) / width) == i).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def worth(spark, sf):
+    skill = files.replace_table(stats(spark, sf), files.work_dir(spark, "skill"))
+    return scoring.worth_scoring(replayed_snapshots(spark, sf), skill, 5, FRESH_MS, LATE)
+
+
+@query("st8_worth_scoring", t.oracle(f"""
+SELECT mint_address, ts AS snapshot_ts, creator_wallet, round(skill_score, 6) AS creator_skill, round(win_rate, 6) AS creator_win_rate, mints_completed AS creator_completed FROM (
+  WITH RECURSIVE able AS (SELECT g.mint_address, g.creator_wallet, g.cutoff AS ts FROM grid g JOIN trades t ON t.mint_address = g.mint_address AND t.ts_ms <= g.cutoff
+      WHERE coalesce(g.rugged, 0) = 0 GROUP BY ALL HAVING count(*) >= 5),
+    kept AS (SELECT mint_address, min(ts) AS ts FROM able GROUP BY 1
+      UNION ALL SELECT k.mint_address, min(a.ts) FROM kept k JOIN able a ON a.mint_address = k.mint_address AND a.ts >= k.ts + {FRESH_MS} GROUP BY k.mint_address, k.ts)
+  SELECT kept.*, creator_wallet FROM kept JOIN mints USING (mint_address)) LEFT JOIN wallet_stats ON wallet = creator_wallet""", PAIRS, STATS))
 def _(spark, sf):
-    out = files.work_dir(spark, "scores")
-    snaps = replayed(spark, sf).withColumnRenamed("ts_ms", "snapshot_ts")
+    with snapshots.timers(spark):
+        out = drain(spark, worth(spark, sf))
+    return rounded(out.select("mint_address", (F.col("snapshot_ts") - CLOSE_MS).alias("snapshot_ts"), "creator_wallet", "creator_skill", "creator_win_rate", "creator_completed"))
 
-    def score(rows):
-        return rows.select(F.col("snapshot_ts").alias("ts_ms"), "mint_address", F.lit("flow").alias("target"), (F.col("sol_amount") / (F.col("sol_amount") + 50)).alias("prob"))
 
-    drain(spark, snaps, sink=ops.scoring_sink(out, score))
-    return rounded(spark.read.parquet(out).drop("batch"))
+@query("st8_stream_scoring")
+def _(spark, sf):
+    models = training.load_models(spark, f"{trained(spark, sf)[0]}/pre/models")
+    with snapshots.timers(spark):
+        out = drain(spark, scoring.stream_scoring(worth(spark, sf), models))
+    return rounded(out.drop("batch").withColumn("ts_ms", F.col("ts_ms") - CLOSE_MS))
 
 
 @query("st9_stream_call_dedup", t.oracle("SELECT DISTINCT mint_address FROM trades"))

@@ -69,6 +69,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """Folder for written tables: inside spark.checkpoint.dir, which all executors reach; a temporary one in local mode only."""
     import tempfile
