@@ -164,7 +164,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
     def worker():
         def step(texts):
-            return [[np.unique(run_hashes(Words([t]).hashes, SHINGLE)).view(np.int64) for t in texts]]
+            return [[x.view(np.int64) for x in Words(texts).shingles(SHINGLE)]]  # a passage has SHINGLE words at least
         return step
 
     cut = joined.select(F.explode("places").alias("p"), "text").select(
