@@ -244,6 +244,15 @@ def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return cut.select("sig", "i", "j", "key", "shingles").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, schema)
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """buckets (sig, key) without those that hold the same keys as another: similar passages meet in most of their bands.
+
+    Which keys a bucket holds is told by their number and 128 bits of sums of hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(i), "key").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
+    same = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return buckets.join(same.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
 def _clusters(buckets: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, component: the passages that are similar to others, by key; buckets has sig and key."""
     keys = buckets.select("key").distinct()
@@ -277,7 +286,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     its repeated rows share nothing with each other."""
     found = stored(_colliding(docs, id_col, text_col))
     members = stored(_places(docs, stored(found.select("key").distinct()), id_col, text_col))
-    labels = _clusters(stored(found.filter("several").select("sig", "key").distinct()), members, docs, id_col, text_col)
+    labels = _clusters(stored(_different(found.filter("several").select("sig", "key").distinct())), members, docs, id_col, text_col)
     grouped = stored(members.join(labels, F.col("key") == F.col("node"), "left").select(
         F.coalesce("component", "key").alias("component"), "doc", "start", "end"))
     clusters = stored(grouped.groupBy("component").agg(F.min("doc").alias("cluster"), F.max("doc").alias("last")).filter("cluster <> last"))
