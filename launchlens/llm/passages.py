@@ -39,6 +39,10 @@ LEAST_SHINGLES = 2
 BLOCK = 1024
 
 
+#: Runs are well mixed already, so an odd factor orders them anew.
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i:i + width] for every i with a full window."""
     if len(x) < width:
@@ -69,7 +73,7 @@ class Passages:
             anchor[at[runs[at + i] == span[at]] + i] = True
         self.first = full[anchor[full]]
         self.last = self.first + WINDOW - 1
-        minima = [_sliding_min(mix(runs ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)), per) for j in range(bands * ROWS)]
+        minima = [_sliding_min(runs * _FACTORS[j], per) for j in range(bands * ROWS)]
         sig = [m[self.first] if len(m) else m for m in minima]
         values = mix(runs + np.uint64(0x51ED270B))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
@@ -79,7 +83,7 @@ class Passages:
             a, b = words.bounds[whole], words.bounds[whole + 1]
             self.first, self.last = np.concatenate([self.first, a]), np.concatenate([self.last, b - 1])
             pieces = [runs[i:j - SHINGLE + 1] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            sig = [np.concatenate([s, [mix(p ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)).min() for p in pieces]]) for j, s in enumerate(sig)]
+            sig = [np.concatenate([s, [(p * _FACTORS[j]).min() for p in pieces]]) for j, s in enumerate(sig)]
             key = np.concatenate([key, mix(np.array([mix(p + np.uint64(0x51ED270B)).sum(dtype=np.uint64) for p in pieces], np.uint64))])
         rich = self._rich(runs)
         self.first, self.last = self.first[rich], self.last[rich]
