@@ -27,9 +27,31 @@ WIDE = 64
 _NONE = 1 << 30
 
 
+# Letters and numbers that the `regex` module knows and Unicode 16, the tokenizer library's for words, does not.
+_NEWER = """
+    558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959
+    10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3
+    16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6
+    1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
+    1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+# Capital letters that the library lowers and older interpreters do not.
+_NEW_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 32 for c in range(0x10D50, 0x10D66)}, **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+def _newer() -> set[int]:
+    spans = [[int(x, 16) for x in span.split("-")] for span in _NEWER.split()]
+    return {c for span in spans for c in range(span[0], span[-1] + 1)}
+
+
 def _class_of(prop: str, limit: int) -> str:
     """Code points below limit of a general category, as ranges for a character class."""
-    runs = regex.finditer(rf"\p{{{prop}}}+", "".join(c if not c.isspace() else " " for c in map(chr, range(limit))))
+    newer = _newer()
+    known = "".join(" " if c in newer or chr(c).isspace() else chr(c) for c in range(limit))
+    runs = regex.finditer(rf"\p{{{prop}}}+", known)
     return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in runs)
 
 
@@ -177,7 +199,7 @@ class Encoder:
                 out.append((part,))
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(_NEW_CAPITALS)  # no final sigma: letters are lowered one by one
                 part = part.lower()
                 astral = not part.isascii() and len(part.encode("utf-16-le", "surrogatepass")) > 2 * len(part)
                 out += (self.find_wide if astral else self.find)(part)

@@ -59,3 +59,23 @@ def test_tree_takes_leftmost_lowest(library):
             plain[i:i + 2] = [v.pairs[plain[i], plain[i + 1]][1]]
         assert bpe.merge_word(v, symbols) == plain
         assert library.encode(word, add_special_tokens=False).ids == plain
+
+
+def test_every_code_point_against_the_library():
+    """All code points of the lower planes and all that newer Unicode versions added; every sixteenth of the uniform rest."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    from launchlens.llm.queries import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path())
+    library.no_padding()
+    library.no_truncation()
+    own = bpe.Encoder(bpe.Vocabulary(vocabulary_path()))
+    points = sorted({*range(0x20000), *bpe._newer(), *range(0x20000, sys.maxunicode + 1, 16)} - set(range(0xD800, 0xE000)))
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}" for c in points]
+    for at in range(0, len(texts), 5000):
+        part = texts[at:at + 5000]
+        want = [" ".join(map(str, e.ids)) for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [ids for ids, _ in own(part)] == want
