@@ -139,8 +139,12 @@ def semi_filter(df: DataFrame, col: str, wanted: DataFrame, wanted_col: str) ->
 def drop_rows(df: DataFrame, col: str, dropped: DataFrame, dropped_col: str, also: Column | None = None) -> DataFrame:
     """The rows of df without an equal value in dropped (and with `also` true for the pair). Rows outside the hash cells of
     dropped pass without a shuffle; nulls equal nothing and pass."""
+    name = "_cell"
+    while name in df.columns:
+        name += "_"
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
-    cells = F.broadcast(stored(dropped.select(cell(dropped_col).alias("_cell")).distinct()))
+    cells = F.broadcast(stored(dropped.select(cell(dropped_col).alias(name)).distinct()))
     on = df[col] == dropped[dropped_col]
-    near = df.join(cells, cell(df[col]) == F.col("_cell"), "left_semi").join(dropped, on if also is None else on & also, "left_anti")
-    return df.join(cells, cell(df[col]) == F.col("_cell"), "left_anti").unionByName(near)
+    inside = cell(df[col]) == F.col(name)
+    near = df.join(cells, inside, "left_semi").join(dropped, on if also is None else on & also, "left_anti")
+    return df.join(cells, inside, "left_anti").unionByName(near)

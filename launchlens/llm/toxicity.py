@@ -35,6 +35,7 @@ _LOWER[65:91] += 32
 _LOWER[[b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -61,12 +62,12 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begin, end = edge[::2], edge[1::2]
     end = end[:len(begin)]
     begin = begin[:len(end)]
-    # a word's own feature: its first bytes with its length
-    word = np.zeros(len(begin), np.uint64)
-    for i in range(16):
-        there = begin + i < end
-        word[there] = word[there] * _STEP + code[begin[there] + i]
-    word = mix(word + (end - begin).astype(np.uint64)) >> np.uint64(64 - BITS)
+    # a word's own feature: all its bytes, from the differences of running sums
+    power, inverse = np.full((2, len(low) + 1), np.uint64(1))
+    power[1:], inverse[1:] = _STEP, _BACK
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:-1])])
+    word = mix((sums[end] - sums[begin]) * inverse[begin]) >> np.uint64(64 - BITS)
     return np.concatenate([grams, word.astype(np.int32)]), np.concatenate([owner[:len(h)][inside], owner[begin]])
 
 
