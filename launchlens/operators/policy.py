@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -298,6 +299,53 @@ def rate_limited_calls(opens: DataFrame, dedup_ms: int = 86_400_000, window_ms:
     return top_rows(calls, ["_window"], [F.col("ts_ms"), F.col("id")], limit).select("mint_address", "ts_ms", "id")
 
 
+def _fold_ring(window_ms: int, limit: int):
+    """Streaming fold over calls sorted by segment and time: keep a call when fewer than `limit` kept ones of its segment lie in the window before it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, held = None, deque()
+        for pdf in batches:
+            keep = []
+            for s, ts in zip(pdf["_segment"].to_numpy(), pdf["ts_ms"].to_numpy()):
+                if s != segment:
+                    segment, held = s, deque()
+                while held and held[0] < ts - window_ms:
+                    held.popleft()
+                keep.append(len(held) < limit)
+                if keep[-1]:
+                    held.append(ts)
+            yield pdf.loc[keep, ["mint_address", "ts_ms", "id"]]
+
+    return run
+
+
+def segments(calls: DataFrame, window_ms: int, out: str = "_segment") -> DataFrame:
+    """calls with the number of their segment: one begins where more than window_ms passed since the call before.
+
+    The call before is sought inside the clock window, and for its first call in the table of windows, one row each."""
+    slot = F.floor(F.col("ts_ms") / window_ms)
+    rows = calls.withColumn("_slot", slot)
+    inside = W.partitionBy("_slot").orderBy("ts_ms", "id")
+    slots = rows.groupBy("_slot").agg(F.max("ts_ms").alias("_last"))
+    before = slots.select("_slot", F.lag("_last").over(W.orderBy("_slot")).alias("_before"))
+    rows = rows.join(before, "_slot").withColumn("_prev", F.coalesce(F.lag("ts_ms").over(inside), "_before"))
+    rows = rows.withColumn("_new", (F.col("_prev").isNull() | (F.col("ts_ms") - F.col("_prev") > window_ms)).cast("long"))
+    total = rows.groupBy("_slot").agg(F.sum("_new").alias("_n"))
+    carried = total.select("_slot", (F.sum("_n").over(W.orderBy("_slot")) - F.col("_n")).alias("_carry"))
+    return rows.join(carried, "_slot").withColumn(out, F.col("_carry") + F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop(
+        "_slot", "_before", "_prev", "_new", "_carry")
+
+
+def rolling_limited_calls(opens: DataFrame, dedup_ms: int = 86_400_000, window_ms: int = 3_600_000, limit: int = 30) -> DataFrame:
+    """Each token once per dedup_ms, and of these calls those with fewer than `limit` kept ones in the window_ms before them.
+
+    The window rolls with the calls, both ends included. A segment of calls without a gap longer than the window decides
+    alone, so segments are folded apart, each with `limit` times in memory. A call that the cap drops still counts for its token."""
+    calls = segments(deduplicated_calls(opens, dedup_ms), window_ms)
+    return calls.select("_segment", "mint_address", "ts_ms", "id").repartition("_segment").sortWithinPartitions("_segment", "ts_ms", "id").mapInPandas(
+        _fold_ring(window_ms, limit), "mint_address int, ts_ms long, id long")
+
+
 def wallet_pool_gate(trades: DataFrame, pool: DataFrame, as_of_ms: int, window_ms: int, n: int) -> DataFrame:
     """Tokens bought by at least n distinct pool wallets inside the window."""
     buys = trades.filter((F.col("is_buy") == 1) & (F.col("ts_ms") > as_of_ms - window_ms) & (F.col("ts_ms") <= as_of_ms))

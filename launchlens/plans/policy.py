@@ -221,6 +221,15 @@ def _(spark, sf):
     opens = t.positions(spark, sf).select("id", "mint_address", F.col("entered_ms").alias("ts_ms"))
     return ops.rate_limited_calls(opens, dedup_ms=100_000, window_ms=10_000, limit=5)
 
+@query("p16_rolling_calls", t.oracle("""SELECT mint_address, ts_ms, id FROM numbered JOIN ring USING (n) WHERE ok""", *CHAIN,
+    "numbered AS (SELECT *, row_number() OVER (ORDER BY ts_ms, id) AS n FROM chain)",
+    """ring AS (SELECT 0::bigint AS n, []::bigint[] AS held, false AS ok
+  UNION ALL SELECT c.n, CASE WHEN k < 4 THEN list_append(list_filter(held, lambda x: x >= c.ts_ms - 10000), c.ts_ms::bigint) ELSE held END, k < 4 FROM (
+    SELECT c.n, c.ts_ms, r.held, len(list_filter(r.held, lambda x: x >= c.ts_ms - 10000)) AS k FROM ring r JOIN numbered c ON c.n = r.n + 1) c)""").replace("WITH trades", "WITH RECURSIVE trades", 1))
+def _(spark, sf):
+    opens = t.positions(spark, sf).select("id", "mint_address", F.col("entered_ms").alias("ts_ms"))
+    return ops.rolling_limited_calls(opens, dedup_ms=100_000, window_ms=10_000, limit=4)
+
 # Dedup alone has a closed form: the next call of a token is its first open at least 100 s later.
 @query("p16_calls_without_cap", t.oracle("""
 SELECT mint_address, ts_ms, id FROM chain""", *CHAIN).replace("WITH trades", "WITH RECURSIVE trades", 1))

@@ -9,6 +9,7 @@ from launchlens.plans import query
 from launchlens.models import training
 from launchlens.plans.features import GRID, SEEN
 from launchlens.plans.learning import pre_rows, trained
+from launchlens.plans.policy import CHAIN
 from launchlens.plans.wallets import PAIRS, STATS, stats
 from launchlens.sources import files, tables as t
 from launchlens.streaming import scoring, snapshots, streams as ops
@@ -170,6 +171,20 @@ def _(spark, sf):
     return drain(spark, ops.call_dedup(replayed(spark, sf).select("mint_address", "ts_ms"))).select("mint_address")
 
 
+@query("st9_first_calls", t.oracle("SELECT mint_address, ts_ms, id FROM chain", *CHAIN).replace("WITH trades", "WITH RECURSIVE trades", 1))
+def _(spark, sf):
+    opens = t.positions(spark, sf).groupBy("mint_address", F.col("entered_ms").alias("ts_ms")).agg(F.min("id").alias("id"))
+    opens = opens.withColumn("ts_ms", F.col("ts_ms") + CLOSE_MS)
+    root = files.work_dir(spark, "opens")
+    part = F.least(F.lit(2), F.greatest(F.lit(0), F.floor((F.col("ts_ms") - CLOSE_MS) / 250_000)))  # in order of time
+    for i in range(3):
+        opens.filter(part == i).coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema(opens.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    with snapshots.timers(spark):
+        out = drain(spark, scoring.first_calls(stream, 100_000, LATE))
+    return out.select("mint_address", (F.col("ts_ms") - CLOSE_MS).alias("ts_ms"), "id")
+
+
 @query("st10_late_rows", t.oracle("""SELECT ts_ms // 60000 * 60000 AS minute_ms, count(*) AS rejected FROM trades WHERE NOT (sol_amount BETWEEN 0 AND 1000 AND token_amount BETWEEN 0 AND 1e15 AND ts_ms BETWEEN 86700000 - 86400000 AND 86700000 + 60000) GROUP BY 1"""))
 def _(spark, sf):
     v = drain(spark, ops.late_rows(replayed(spark, sf), 86_700_000).select(F.unix_millis("window.start").alias("minute_ms"), "rejected"), "update")

@@ -50,6 +50,14 @@ class FirstInAWhile(StatefulProcessor):
         pass
 
 
+def first_calls(opens: DataFrame, dedup_ms: int = 86_400_000, late: str = "1 hour") -> DataFrame:
+    """Opens (mint_address, ts_ms, id) that are announced: a token's next call comes dedup_ms after its last one at the earliest (ST9).
+
+    Append mode, inside `timers`. What ends a token's state is its own last call, not the watermark alone."""
+    rows = opens.withColumn("event_ts", F.timestamp_millis(F.col("ts_ms"))).withWatermark("event_ts", late)
+    return rows.groupBy("mint_address").transformWithStateInPandas(FirstInAWhile(dedup_ms, "ts_ms"), rows.schema, "Append", "EventTime").drop("event_ts")
+
+
 def worth_scoring(snapshots: DataFrame, stats: DataFrame, least_trades: int = 5, fresh_ms: int = FRESH_MS, late: str = "1 day", ts: str = "snapshot_ts") -> DataFrame:
     """Snapshots of a stream that are to be scored, with the skill of the token's creator; append mode, inside `timers`.
 

@@ -317,3 +317,27 @@ def test_day_filter_reaches_the_scan(spark, tmp_path):
     files.archive_day(tables.trades(spark, "/root/testdata/sf0.001", tables.DAY), tables.DAY, out, "ts_real_ms")
     plan = files.read_trades(spark, out, tables.DAY, "ts_real_ms")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*day", plan)
+
+
+def test_rolling_cap_against_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows, at = [], 0
+    for i in range(400):
+        at += rnd.choice([0, 1, 3, 9, 40])
+        rows.append((i, i % 50, at))
+    last, held, want = {}, [], []
+    for i, token, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if ts - last.get(token, -10**9) < 70:
+            continue
+        last[token] = ts
+        if sum(x >= ts - 20 for x in held) < 3:
+            held.append(ts)
+            want.append((token, ts))
+    opens = spark.createDataFrame(rows, "id long, mint_address int, ts_ms long")
+    got = policy.rolling_limited_calls(opens, dedup_ms=70, window_ms=20, limit=3).collect()
+    assert sorted((r["mint_address"], r["ts_ms"]) for r in got) == sorted(want)
+    assert policy.rolling_limited_calls(opens.limit(0), 70, 20, 3).count() == 0
+    cut = policy.segments(opens, 20).groupBy("_segment").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).orderBy("a").collect()
+    assert len(cut) > 5 and all(y["a"] - x["b"] > 20 for x, y in zip(cut, cut[1:]))
