@@ -16,6 +16,7 @@ from launchlens.operators.creators import (
     creator_history, creator_previous_launch, creator_siblings, creator_stats_unbounded,
 )
 from launchlens.operators.wallets import SMART_SKILL, WHALE_SKILL, unflagged
+from launchlens.sources.files import replace_table, work_dir
 
 # Ages in seconds at which a token is captured.
 SNAPSHOT_AGES = [5, 15, 30, 60, 120, 300, 600, 900, 1800, 2400, 3600]
@@ -23,6 +24,8 @@ SUPPLY = 1_000_000_000
 CHUNK_MS = 60_000
 ROLL_MS = 30_000
 KEY = ["mint_address", "snapshot_age_sec"]
+#: What the families read of a trade.
+BASE_COLUMNS = ["mint_address", "trade_id", "wallet", "is_buy", "sol_amount", "price_sol", "ts_ms", "created_ms", "creator_wallet", "bin", "secs"]
 
 # Columns without a source in the data, with their constant.
 PLACEHOLDERS = {
@@ -529,8 +532,10 @@ def snapshot_features(
     wallets: DataFrame | None = None, as_of_ms: int | None = None, creator_mode: str = "point_in_time",
     leaky_state: bool = False, chunk_ms: int = CHUNK_MS, with_hhi_delta: bool = False,
 ) -> DataFrame:
-    """The wide snapshot row per (token, age), all families joined."""
-    base = trades_as_of(trades, mints, ages)
+    """The wide snapshot row per (token, age), all families joined.
+
+    The trades of the ages are met with their tokens once and written; the families read that table, each its own columns."""
+    base = replace_table(trades_as_of(trades, mints, ages).select(*BASE_COLUMNS), work_dir(trades.sparkSession, "ages"))
     grid = snapshot_grid(mints, ages, as_of_ms)
     out = (
         grid.join(price_state(core_features(base, ages), mints, leaky_state), KEY, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from launchlens.functions import nz, ratio, token_join
 from launchlens.operators.features import KEY, SUPPLY, _age_array, _bin_of, labelled_buyers, over_ages, path_features
+from launchlens.sources.files import replace_table, work_dir
 
 # Label horizons in seconds.
 HORIZONS = {"60s": 60, "300s": 300, "10m": 600, "15m": 900, "1h": 3600, "4h": 14_400, "24h": 86_400}
@@ -18,6 +19,11 @@ POST_HORIZONS = {"5m": 300, "30m": 1800, "1h": 3600, "4h": 14_400, "24h": 86_400
 MIGRATION_AGES_MIN = [0, 30, 60, 360, 720, 1440]
 
 
+def at_anchors(trades: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Trades with the anchor_ms of their token; those that have it already stay as they are."""
+    return trades if "anchor_ms" in trades.columns else token_join(trades, anchors.select("mint_address", "anchor_ms"))
+
+
 def forward_windows(
     trades: DataFrame, anchors: DataFrame, ages: list[int], horizons: dict[str, int], chunk_ms: int = 900_000
 ) -> DataFrame:
@@ -29,11 +35,7 @@ def forward_windows(
     edges = sorted({a for a in ages} | {a + h for a in ages for h in horizons.values()})
     at = {e: i for i, e in enumerate(edges)}
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    later = (
-        token_join(
-            trades.select("mint_address", "ts_ms", "trade_id", "price_sol", "sol_amount", "is_buy"), anchors.select("mint_address", "anchor_ms")
-        ).filter(rel > min(ages) * 1000)
-    )
+    later = at_anchors(trades, anchors).select("mint_address", "anchor_ms", "ts_ms", "trade_id", "price_sol", "sol_amount", "is_buy").filter(rel > min(ages) * 1000)
     rows = (
         later.filter(rel <= edges[-1] * 1000)
         .withColumn("iv", _bin_of(rel, edges))
@@ -97,7 +99,7 @@ def first_time_at_multiple(
     (token, age) is read again.
     """
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = token_join(trades.select("mint_address", "ts_ms", "price_sol"), anchors.select("mint_address", "anchor_ms"))
+    rows = at_anchors(trades, anchors).select("mint_address", "anchor_ms", "ts_ms", "price_sol")
     bins = [*ages]
     slot = F.floor(F.col("ts_ms") / slot_ms).cast("long")
     # splitting slots at the cutoffs keeps a slot on one side of every cutoff
@@ -124,7 +126,7 @@ def first_time_at_multiple(
 def next_minute_wallets(trades: DataFrame, anchors: DataFrame, ages: list[int], sec: int = 60) -> DataFrame:
     """Distinct buyers and sellers in the minute after each cutoff."""
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = token_join(trades, anchors.select("mint_address", "anchor_ms")).withColumn(
+    rows = at_anchors(trades, anchors).withColumn(
         "snapshot_age_sec", F.explode(F.filter(_age_array(ages), lambda a: (rel > a * 1000) & (rel <= (a + sec) * 1000)))
     )
     per = rows.groupBy(*KEY, "wallet").agg(F.max("is_buy").alias("b"), F.min("is_buy").alias("s"))
@@ -134,7 +136,7 @@ def next_minute_wallets(trades: DataFrame, anchors: DataFrame, ages: list[int],
 def pump_durability(trades: DataFrame, anchors: DataFrame, ages: list[int], sec: int = 300, bin_sec: int = 10) -> DataFrame:
     """Share of the traded 10 s bins of the next five minutes whose last price is at least p."""
     rel = F.col("ts_ms") - F.col("anchor_ms")
-    rows = token_join(trades.select("mint_address", "ts_ms", "trade_id", "price_sol"), anchors.select("mint_address", "anchor_ms")).withColumn(
+    rows = at_anchors(trades, anchors).select("mint_address", "anchor_ms", "ts_ms", "trade_id", "price_sol").withColumn(
         "snapshot_age_sec", F.explode(F.filter(_age_array(ages), lambda a: (rel > a * 1000) & (rel <= (a + sec) * 1000)))
     )
     slot = F.floor((rel - F.col("snapshot_age_sec") * 1000 - 1) / (bin_sec * 1000))
@@ -158,9 +160,12 @@ def resolve_labels(
 ) -> DataFrame:
     """All pre-migration labels per snapshot (L1, L2, L4-L16). A label is NULL until its horizon has passed.
 
-    `snapshots` needs last_price_sol, peak_mcap_sol_so_far and pressure_60_buy_pct.
+    `snapshots` needs last_price_sol, peak_mcap_sol_so_far and pressure_60_buy_pct. The trades after the first age are met
+    with their tokens once and written; the label families read that table.
     """
     a = anchors_from_snapshots(snapshots, mints)
+    met = at_anchors(trades.select("mint_address", "trade_id", "wallet", "is_buy", "sol_amount", "price_sol", "ts_ms"), a)
+    trades = replace_table(met.filter(F.col("ts_ms") - F.col("anchor_ms") > min(ages) * 1000), work_dir(trades.sparkSession, "later"))
     w = forward_windows(trades, a, ages, horizons, chunk_ms)
     five = first_time_at_multiple(trades, a, 5.0, ages, horizons["24h"])
     m = mints.select(
