@@ -37,6 +37,8 @@ PERCENT = 80
 LEAST_SHINGLES = 2
 #: Passages of a bucket that one task compares with each other; larger buckets are cut, and each two parts compared.
 BLOCK = 1024
+#: Passages from which on the waiting small groups of a task are compared.
+TOGETHER = 64
 
 
 #: Runs are well mixed already, so an odd factor orders them anew.
@@ -221,14 +223,26 @@ def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     cut = cut.select("sig", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "key").join(sets, "key")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def compare(batches):
-        held, now = [], None
+    def links(rows):
+        key = np.concatenate([k for k, _, _ in rows])
+        edges = _forest(_similar(np.concatenate([n for _, n, _ in rows]), np.concatenate([x for _, _, x in rows])))
+        a, b = (key[np.array([e[i] for e in edges], np.int64)] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        def links():
-            key = np.concatenate([k for k, _, _ in held])
-            edges = _forest(_similar(np.concatenate([n for _, n, _ in held]), np.concatenate([x for _, _, x in held])))
-            a, b = (key[np.array([e[i] for e in edges], np.int64)] for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def compare(batches):
+        """Small groups are compared together; shingles marked with the number of their group keep them apart."""
+        held, now, ready, groups = [], None, [], 0
+
+        def closed():
+            """Put the group that has ended with the waiting ones."""
+            nonlocal held, ready, groups
+            groups += 1
+            mark = mix(np.array([groups], np.uint64)).view(np.int64)[0]
+            ready += [(k, n, x ^ mark) for k, n, x in held]
+            held = []
+            if sum(len(k) for k, _, _ in ready) >= TOGETHER:
+                yield links(ready)
+                ready = []
 
         for batch in batches:
             group = np.stack([batch.column(i).to_numpy() for i in range(3)])
@@ -238,12 +252,12 @@ def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
                     continue
                 own = tuple(group[:, a].tolist())
                 if held and own != now:
-                    yield links()
-                    held = []
+                    yield from closed()
                 now, rows = own, batch.column(4).slice(a, b - a)
                 held.append((batch.column(3).slice(a, b - a).to_numpy(), pc.list_value_length(rows).to_numpy().astype(np.int64), rows.flatten().to_numpy()))
-        if held:
-            yield links()
+        yield from closed()
+        if ready:
+            yield links(ready)
 
     return cut.select("sig", "i", "j", "key", "shingles").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, schema)
 
