@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from launchlens.llm.common import map_texts
 
 #: Words kept per task; the cache is emptied beyond it, which changes no result.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Words with more symbols than this are merged one by one.
 WIDE = 64
 _NONE = 1 << 30
@@ -40,6 +40,7 @@ _NEW_CAPITALS = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
     **{c: c + 32 for c in range(0x10D50, 0x10D66)}, **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
 }
+_NEW_CAPITAL = re.compile("[" + "".join(map(chr, _NEW_CAPITALS)) + "]")
 
 
 def _newer() -> set[int]:
@@ -199,7 +200,9 @@ class Encoder:
                 out.append((part,))
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(_NEW_CAPITALS)  # no final sigma: letters are lowered one by one
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
+                    if _NEW_CAPITAL.search(part):
+                        part = part.translate(_NEW_CAPITALS)
                 part = part.lower()
                 astral = not part.isascii() and len(part.encode("utf-16-le", "surrogatepass")) > 2 * len(part)
                 out += (self.find_wide if astral else self.find)(part)
