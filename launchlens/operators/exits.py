@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -57,6 +56,29 @@ def price_path(trades: DataFrame, tick_ms: int) -> DataFrame:
     )
 
 
+#: Positions that enter one token in one block of time are dealt to groups of about this many.
+GROUP_ROWS = 20_000
+
+
+def _meet(positions: DataFrame, path: DataFrame, hold_ms: int, tick_ms: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Positions and ticks with common keys under which each position finds all ticks of its holding time: (positions, ticks, keys).
+
+    A block is as long as the holding time, so a position needs the ticks of its own block and of the next; ticks are copied
+    to those two, positions never. Where a block of a token holds many positions they are dealt over parts, each with its ticks."""
+    width = hold_ms // tick_ms + 1
+    tick = F.floor(F.col("entered_ms") / tick_ms)
+    p = positions.withColumn("_block", F.floor(tick / width).cast("long"))
+    own = F.floor(F.col("tick") / width).cast("long")
+    ticks = path.filter("tick IS NOT NULL").withColumn("_block", F.explode(F.array(own - 1, own))).drop("tick")
+    where = ["mint_address", "_block"]
+    crowded = p.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_parts")).filter("_parts > 1")
+    crowded = F.broadcast(crowded)  # one row per GROUP_ROWS positions at most
+    parts = F.coalesce("_parts", F.lit(1))
+    p = p.join(crowded, where, "left").withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("_parts")
+    ticks = ticks.join(crowded, where, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return p, ticks, [*where, "_part"]
+
+
 def replay_exits(
     positions: DataFrame, trades: DataFrame, rules: DataFrame, as_of_ms: int, tick_ms: int = 5_000
 ) -> DataFrame:
@@ -64,42 +86,36 @@ def replay_exits(
 
     A position meets only the ticks of its own holding time, which is the longest of the rule table. Columns
     tier1..tier3 triggers and trail of the position (P6) are used by rule sets without tiers of their own.
+    The ticks of a block stand in a task once for all its positions and rules; a fold stops where its position closes.
+    Rows with the same id, token and entry meet each tick once per row.
     """
-    max_hold_ms = int((rules.agg(F.max("max_hold_min")).first()[0] or 0) * 60_000)  # a handful of rules
-    slot = max(tick_ms, max_hold_ms // 16)
-    per_slot = max(1, slot // tick_ms)
-    path = price_path(trades, tick_ms).withColumn("_slot", F.floor(F.col("tick") / per_slot).cast("long"))
-    t0 = F.floor(F.col("entered_ms") / tick_ms)
-    t1 = F.floor((F.col("entered_ms") + max_hold_ms) / tick_ms)
-    span = positions.select(
-        "id", "mint_address", "entered_ms", F.explode(F.sequence(F.floor(t0 / per_slot).cast("long"), F.floor(t1 / per_slot).cast("long"))).alias("_slot")
-    )
-    inside = (F.col("ts_ms") > F.col("entered_ms")) & (F.col("ts_ms") <= F.col("entered_ms") + max_hold_ms) & (F.col("ts_ms") <= as_of_ms)
-    held = (
-        span.join(path, ["mint_address", "_slot"]).filter(inside).groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("ts_ms", "price", "n"))).alias("path"))
-    )
+    table = [r.asDict() for r in rules.collect()]  # a handful of rules
+    max_hold_ms = int(max((r["max_hold_min"] or 0 for r in table), default=0) * 60_000)
     tiers = [c for c in ("t1_trig", "t2_trig", "t3_trig", "trail_pct") if c in positions.columns]
     own = F.array(*[F.col(c) for c in tiers]).cast("array<double>") if len(tiers) == 4 else F.lit(None).cast("array<double>")
-    table = rules.agg(F.collect_list(F.struct(*rules.columns))).scalar()
-    rows = (
-        positions.select("id", F.col("mint_address").cast("int").alias("mint_address"), "entered_ms", "entry_price", "entry_sol", "token_amount", own.alias("own_tiers"))
-        .join(held, "id", "left").withColumn("rule", F.explode(table)).select("*", "rule.*").drop("rule")
-        .withColumn("as_of_ms", F.lit(as_of_ms))
-        .withColumn("path_ts", F.transform("path", lambda x: x["ts_ms"])).withColumn("path_price", F.transform("path", lambda x: x["price"]))
-        .withColumn("path_n", F.transform("path", lambda x: x["n"])).drop("path")
-    )
-    return rows.mapInPandas(_replay_batches, OUT_SCHEMA)
+    rows = positions.select(
+        "id", F.col("mint_address").cast("int").alias("mint_address"), "entered_ms", "entry_price", "entry_sol", "token_amount", own.alias("own_tiers"))
+    path = price_path(trades, tick_ms).filter(F.col("ts_ms") <= as_of_ms).withColumn("mint_address", F.col("mint_address").cast("int"))
+    p, ticks, keys = _meet(rows, path, max_hold_ms, tick_ms)
+
+    def run(held: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        seen = seen.sort_values("ts_ms")
+        ts, prices, counts = (seen[c].to_numpy() for c in ("ts_ms", "price", "n"))
+        first = ts.searchsorted(held["entered_ms"].to_numpy(), "right")
+        last = ts.searchsorted(held["entered_ms"].to_numpy() + max_hold_ms, "right")
+        times = held.groupby(["id", "entered_ms"], dropna=False)["id"].transform("size").to_numpy()
+        out = []
+        for r, i, j, k in zip(held.to_dict("records"), first, last, times):
+            for rule in table:
+                out.append(_replay({**r, **rule}, as_of_ms, ts, prices, counts, i, j, k))
+        return pd.DataFrame(out, columns=OUT_COLUMNS)
+
+    return p.groupBy(*keys).cogroup(ticks.groupBy(*keys)).applyInPandas(run, OUT_SCHEMA)
 
 
 OUT_COLUMNS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
 
-def _replay_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame([_replay(r) for r in pdf.to_dict("records")], columns=OUT_COLUMNS)
-
-
 def _missing(x) -> bool:
     return x is None or (isinstance(x, float) and x != x)
 
@@ -192,16 +208,17 @@ class PositionFold:
         return self.outcome(now, "TRAIL_STOP") if give is not None and cur < self.peak - give else None
 
 
-def _replay(r: dict) -> tuple:
+def _replay(r: dict, as_of_ms: int, ts, prices, counts, first: int, last: int, times: int) -> tuple:
+    """Outcome of one position under one rule set over the ticks first..last, each taken `times` times."""
     fold = PositionFold(r)
     if _missing(fold.entry) or fold.entry <= 0:
         return fold.outcome(fold.t_in, "OPEN")
-    if r["path_ts"] is not None:
-        for now, price, n in zip(r["path_ts"], r["path_price"], r["path_n"]):
-            closed = fold.step(int(now), float(price), int(n))
+    for i in range(first, last):
+        for _ in range(times):
+            closed = fold.step(int(ts[i]), float(prices[i]), int(counts[i]))
             if closed:
                 return closed
-    end = min(int(r["as_of_ms"]), fold.t_in + fold.hold_ms)
+    end = min(as_of_ms, fold.t_in + fold.hold_ms)
     return fold.waiting(end + 1) or fold.outcome(end, "OPEN")
 
 
@@ -210,21 +227,18 @@ def first_barrier(
 ) -> DataFrame:
     """id, reason, exit_ms, realized_sol under one take-profit, one stop and one time limit: the barrier reached first decides.
 
-    Positions meet the ticks of their holding time slot by slot; each task keeps the first tick beyond a barrier and the
-    last tick, so no path is gathered."""
-    slot = max(tick_ms, max_hold_ms // 16)
-    per_slot = max(1, slot // tick_ms)
-    path = price_path(trades, tick_ms).withColumn("_slot", F.floor(F.col("tick") / per_slot).cast("long"))
-    slot_of = lambda ms: F.floor(F.floor(ms / tick_ms) / per_slot).cast("long")
-    usable = positions.filter("entry_price > 0").select("id", "mint_address", "entered_ms", "entry_price")
-    span = usable.withColumn("_slot", F.explode(F.sequence(slot_of(F.col("entered_ms")), slot_of(F.col("entered_ms") + max_hold_ms))))
-    inside = (F.col("ts_ms") > F.col("entered_ms")) & (F.col("ts_ms") <= F.col("entered_ms") + max_hold_ms) & (F.col("ts_ms") <= as_of_ms)
-    pct = (F.col("price") / F.col("entry_price") - 1) * 100
-    at = F.struct("ts_ms", "price", pct.alias("pct"))
-    met = span.join(path, ["mint_address", "_slot"]).filter(inside).groupBy("id").agg(
-        F.min(F.when((pct < -stop_loss_pct) | (pct >= take_profit_pct), at)).alias("hit"), F.max(at).alias("last")
-    )
-    x = positions.select("id", "entered_ms", "entry_price", "token_amount").join(met, "id", "left")
+    The ticks of a block stand in one row, which each of its positions reads; nothing is gathered per position. Positions without
+    an id meet no ticks."""
+    path = price_path(trades, tick_ms).filter(F.col("ts_ms") <= as_of_ms).drop("n")
+    p, ticks, keys = _meet(positions.select("id", "mint_address", "entered_ms", "entry_price", "token_amount"), path, max_hold_ms, tick_ms)
+    rows = ticks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_ms", "price"))).alias("path"))
+    usable = (F.col("entry_price") > 0) & F.col("id").isNotNull()
+    held = F.filter("path", lambda t: (t["ts_ms"] > F.col("entered_ms")) & (t["ts_ms"] <= F.col("entered_ms") + max_hold_ms))
+    pct = lambda t: (t["price"] / F.col("entry_price") - 1) * 100
+    beyond = F.filter("held", lambda t: (pct(t) < -stop_loss_pct) | (pct(t) >= take_profit_pct))
+    x = p.join(rows, keys, "left").withColumn("held", F.when(usable, held)).drop("path")
+    x = x.withColumn("hit", F.get(beyond, F.lit(0))).withColumn("last", F.try_element_at("held", F.lit(-1))).drop("held")
+    x = x.withColumn("hit", F.when(F.col("hit").isNotNull(), F.struct("hit.ts_ms", "hit.price", pct(F.col("hit")).alias("pct"))))
     end = F.col("entered_ms") + max_hold_ms
     reason = (
         F.when(nz("entry_price") <= 0, "OPEN").when(F.col("hit").isNotNull(), F.when(F.col("hit.pct") < -stop_loss_pct, "STOP_LOSS").otherwise("TIERED_FULL"))
