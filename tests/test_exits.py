@@ -55,3 +55,22 @@ def test_replay_gathers_no_path_per_position(spark):
     t, p, _, _ = made(spark)
     rules = exits.exit_rule_sets(spark, [exits.ExitRules("a", [10.0], [1.0], max_hold_min=0.2)])
     assert not any(re.match(r"id#", d) for d in dealt(exits.replay_exits(p, t, rules, 42_000, tick_ms=1000)))
+
+
+@pytest.mark.parametrize("group", [2, 20_000])
+def test_first_barrier_meets_blocks_of_ticks(spark, monkeypatch, group):
+    monkeypatch.setattr(exits, "GROUP_ROWS", group, raising=False)
+    t, p, trades, positions = made(spark)
+    out = exits.first_barrier(p, t, 35.0, 15.0, 12_000, 42_000, tick_ms=1000)
+    got = {r["id"]: (r["reason"], r["exit_ms"]) for r in out.collect()}
+    want = {}
+    for q in positions:
+        hit = None
+        for ts, price, _ in ticks_of(trades, q, 12_000, 42_000) if q[3] > 0 else []:
+            move = (price / q[3] - 1) * 100
+            if hit is None and (move < -15 or move >= 35):
+                hit = ("STOP_LOSS" if move < -15 else "TIERED_FULL", ts)
+        late = q[2] + 12_000 > 42_000
+        want[q[0]] = ("OPEN", q[2]) if q[3] <= 0 else hit or ("OPEN" if late else "TIME_EXIT", min(q[2] + 12_000, 42_000))
+    assert got == want
+    assert not any(re.match(r"id#", d) for d in dealt(out))
