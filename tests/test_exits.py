@@ -57,6 +57,16 @@ def test_replay_gathers_no_path_per_position(spark):
     assert not any(re.match(r"id#", d) for d in dealt(exits.replay_exits(p, t, rules, 42_000, tick_ms=1000)))
 
 
+def test_own_tiers_reach_the_fold(spark):
+    t = spark.createDataFrame([(1, 1, 1000, 1.2), (2, 1, 2000, 1.4), (3, 1, 3000, 2.5)], TRADE)
+    p = spark.createDataFrame([(5, 1, 500, 1.0, 1.0, 1.0, 15.0, 35.0, 100.0, 9.0), (5, 1, 500, 1.0, 1.0, 1.0, 15.0, 35.0, 100.0, 9.0)],
+                              POSITION + ", t1_trig double, t2_trig double, t3_trig double, trail_pct double")
+    rules = exits.exit_rule_sets(spark, [exits.ExitRules("own", max_hold_min=1.0)])
+    out = exits.replay_exits(p, t, rules, 10**6, tick_ms=1000)
+    assert [r["tiers_hit"] for r in out.collect()] == [["T1", "T2", "T3"]] * 2
+    assert not any(re.match(r"id#", d) for d in dealt(out))
+
+
 @pytest.mark.parametrize("group", [2, 20_000])
 def test_first_barrier_meets_blocks_of_ticks(spark, monkeypatch, group):
     monkeypatch.setattr(exits, "GROUP_ROWS", group, raising=False)
