@@ -121,7 +121,9 @@ def _(spark, sf):
     # a file set of its own, so that the ledger is a plain table for the stream
     p = files.replace_table(p, files.work_dir(spark, "ledger"))
     rules = exits.exit_rule_sets(spark, [exits.ExitRules("barrier", [35.0], [1.0], stop_loss_pct=30.0, max_hold_min=1.0)])
-    return rounded(drain(spark, ops.stream_positions(replayed(spark, sf), p, rules)).drop("batch"))
+    with snapshots.timers(spark):
+        out = drain(spark, ops.stream_positions(replayed(spark, sf), p, rules))
+    return rounded(out.drop("batch"))
 
 
 FRESH_MS = 100_000

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from launchlens.operators.exits import OUT_COLUMNS, OUT_SCHEMA, PositionFold
 from launchlens.operators.ingest import TRADE_KEY, sane
@@ -72,50 +73,98 @@ def call_dedup(opens: DataFrame, late: str = "24 hours") -> DataFrame:
     return with_event_time(opens).withWatermark("ts", late).dropDuplicatesWithinWatermark(["mint_address"])
 
 
-def stream_positions(trades: DataFrame, positions: DataFrame, rules: DataFrame) -> DataFrame:
-    """Exit state machine per open position and rule set over the trade stream (ST7); append mode.
+def _tick_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Last price per token and time of the rows of a task, with their number."""
+    for pdf in batches:
+        g = pdf.sort_values(["ts_ms", "trade_id"]).groupby(["mint_address", "ts_ms"], as_index=False)
+        yield g.agg(trade_id=("trade_id", "last"), price_sol=("price_sol", "last"), n=("trade_id", "size"))
 
-    The stream meets the static ledger on the token; state per position is nine numbers.
-    """
-    table = rules.agg(F.collect_list(F.struct(*rules.columns))).first()[0]  # a handful of rules
-    fixed = positions.withColumn("_rule", F.explode(F.array(*[F.lit(i) for i in range(len(table))])))
-    specs = [r.asDict() for r in table]
-    rows = trades.filter("price_sol > 0").select("mint_address", "ts_ms", "trade_id", "price_sol").join(fixed, "mint_address").filter(
-        F.col("ts_ms") > F.col("entered_ms")
-    )
-    return rows.groupBy("id", "_rule").applyInPandasWithState(
-        _positions(specs), OUT_SCHEMA, "left double, realized double, cost double, peak double, price double, last_ms long, seen long, reloaded boolean, n_hit int, done boolean",
-        "append", GroupStateTimeout.NoTimeout,
-    )
 
+def stream_positions(trades: DataFrame, positions: DataFrame, rules: DataFrame, parts: int = 8) -> DataFrame:
+    """Exit state machine per open position and rule set over the trade stream (ST7); append mode, inside `timers`.
 
-def _positions(specs: list[dict]) -> Callable:
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = state.get if state.exists else None
-        if saved is not None and saved[-1]:
-            for _ in batches:
-                pass
-            return
-        pdf = pd.concat(list(batches))
+    The ledger, as it is when the stream starts first, is the initial state: open positions are dealt over (token, part), nine
+    numbers each per rule set, and leave it when they close. The stream brings one row per token and time of a task to each part; no
+    pair of a trade and a position is formed but those a fold steps through.
+    """
+    specs = [r.asDict() for r in rules.collect()]  # a handful of rules
+    schema = "mint_address int, ts_ms long, trade_id long, price_sol double, n long"
+    rows = trades.filter("price_sol > 0 AND mint_address IS NOT NULL AND ts_ms IS NOT NULL").select(
+        F.col("mint_address").cast("int").alias("mint_address"), "ts_ms", "trade_id", "price_sol").mapInPandas(_tick_rows, schema)
+    rows = rows.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(parts)])))
+    ledger = positions.filter("id IS NOT NULL AND mint_address IS NOT NULL AND entered_ms IS NOT NULL AND entry_price > 0").select(
+        F.col("mint_address").cast("int").alias("mint_address"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"),
+        *[F.col(c).cast(k).alias(c) for c, k in OPEN.items()])
+    return rows.groupBy("mint_address", "_part").transformWithStateInPandas(
+        OpenPositions(specs), OUT_SCHEMA, "Append", "None", ledger.groupBy("mint_address", "_part"))
+
+
+#: What the state keeps of a position, besides the numbers of its fold.
+OPEN = {"id": "long", "entered_ms": "long", "entry_price": "double", "entry_sol": "double", "token_amount": "double"}
+KEPT = np.dtype([*[(c, "i8" if k == "long" else "f8") for c, k in OPEN.items()], ("times", "i8"), ("rule", "i4"), ("begun", "?"),
+                 *zip(PositionFold.STATE, ("f8", "f8", "f8", "f8", "f8", "i8", "i8", "?", "i8"))])
+
+
+class OpenPositions(StatefulProcessor):
+    """Folds of the open positions of one (token, part) and all rule sets; a closed position leaves the state.
+
+    Rows of the ledger with the same id are one position that sees each trade once per row; rows without an id are none."""
+
+    def __init__(self, specs: list[dict]):
+        self.specs = specs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("open", "rows binary")
+
+    def _read(self) -> np.ndarray:
+        return np.frombuffer(self.kept.get()[0], KEPT) if self.kept.exists() else np.zeros(0, KEPT)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        one = np.zeros(len(initialState), KEPT)
+        for c in OPEN:
+            one[c] = initialState[c].to_numpy()
+        one["times"] = 1
+        new = np.concatenate([one] * len(self.specs)) if self.specs else one[:0]
+        new["rule"] = np.repeat(np.arange(len(self.specs)), len(one))
+        rows = np.concatenate([self._read(), new])
+        rows = rows[np.lexsort((rows["entered_ms"], rows["id"], rows["rule"]))]
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows["id"][1:] != rows["id"][:-1]) | (rows["rule"][1:] != rows["rule"][:-1])
+        times = np.add.reduceat(rows["times"], np.flatnonzero(first)) if len(rows) else rows["times"]
+        rows = rows[first]
+        rows["times"] = times
+        self.kept.update((rows.tobytes(),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "trade_id"])
         # newest trade per tick, as the policy sees it
-        pdf = pdf.sort_values(["ts_ms", "trade_id"]).groupby("ts_ms", as_index=False).agg(
-            price_sol=("price_sol", "last"), n=("trade_id", "count"), entry_price=("entry_price", "first"), entered_ms=("entered_ms", "first"),
-            entry_sol=("entry_sol", "first"), token_amount=("token_amount", "first"), mint_address=("mint_address", "first"),
-        )
-        first = pdf.iloc[0]
-        fold = PositionFold({**specs[int(key[1])], "id": key[0], **first.to_dict()}, tuple(saved[:-1]) if saved is not None else None)
-        closed = None
-        if fold.entry > 0:
-            for now, price, n in zip(pdf["ts_ms"], pdf["price_sol"], pdf["n"]):
-                closed = fold.step(int(now), float(price), int(n))
+        pdf = pdf.groupby("ts_ms", as_index=False).agg(price_sol=("price_sol", "last"), n=("n", "sum"))
+        ts, prices, counts = (pdf[c].to_numpy() for c in ("ts_ms", "price_sol", "n"))
+        kept = self._read().copy()
+        at = ts.searchsorted(kept["entered_ms"], "right")
+        going, out = np.ones(len(kept), bool), []
+        for i in np.flatnonzero(at < len(ts)):
+            row = kept[i]
+            r = {**self.specs[row["rule"]], **{c: row[c].item() for c in OPEN}, "mint_address": key[0]}
+            fold = PositionFold(r, tuple(row[c].item() for c in PositionFold.STATE) if row["begun"] else None)
+            closed, times = None, int(row["times"])
+            for k in range(at[i], len(ts)):
+                closed = fold.step(int(ts[k]), float(prices[k]), int(counts[k]) * times)
                 if closed:
                     break
-        values = fold.state()
-        state.update((*[float(v) for v in values[:5]], int(values[5]), int(values[6]), bool(values[7]), int(values[8]), closed is not None))
-        if closed:
-            yield pd.DataFrame([closed], columns=OUT_COLUMNS)
-
-    return run
+            if closed:
+                going[i] = False
+                out.append(closed)
+            else:
+                row["begun"] = True
+                for name, value in zip(fold.STATE, fold.state()):
+                    row[name] = value
+        if len(kept):
+            self.kept.update((kept[going].tobytes(),))
+        yield pd.DataFrame(out, columns=OUT_COLUMNS)
+
+    def close(self) -> None:
+        pass
 
 
 def append_versions(path: str) -> Callable[[DataFrame, int], None]:
