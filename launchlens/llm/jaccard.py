@@ -124,34 +124,41 @@ def _node(id_col: str, scheme: str):
 def _nodes_with_partners(picked: DataFrame, k: int, percent: int) -> DataFrame:
     """node: those that have as many signatures in common with other nodes, whichever, as two similar sets have at least.
 
-    A document that only shares a passage with others has a few such signatures and drops out here."""
+    A document that only shares a passage with others has a few such signatures and drops out here.
+    A row of the shuffle, the largest of the join, is 40 bits of signature, 8 of needed and counted and 48 of node.
+    Signatures or nodes that are equal in these bits only let more nodes remain. Returns the nodes' low 48 bits."""
     schemes = Schemes(percent)
 
     def sign(batches):
-        """meta >= 0: a signature, 2 * needed + whether it is counted; meta < 0: -(128 * counted signatures + needed)."""
+        """counts = 0: a signature, 2 * needed + whether it is counted; counts > 0: needed, and so many counted signatures."""
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
             for start, end in cuts(texts, 1024, 1 << 21):
                 sig, at, scheme, need = block_signatures(schemes, Words(texts[start:end]).shingles(k))
                 by = np.argsort(sig, kind="stable")
                 sig, need = sig[by].view(np.int64), np.minimum(need[by], 127)
-                node = (ids[start:end][at] ^ (scheme << np.uint64(56)))[by].view(np.int64)
+                node = (ids[start:end][at] & np.uint64((1 << 40) - 1) | (scheme & np.uint64(255)) << np.uint64(40))[by]
                 first = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
                 more = np.concatenate([sig[1:] == sig[:-1], np.zeros(min(1, len(sig)), bool)]) | ~first
                 names, place, count = np.unique(node[more], return_index=True, return_counts=True)
+                sig, meta = np.concatenate([sig[first].view(np.uint64), mix(names)]), np.concatenate([2 * need[first] + more[first], 2 * need[more][place]])
+                node = np.concatenate([node[first], names])
+                packed = sig & np.uint64(0xFFFFFFFFFF000000) | meta.astype(np.uint64) << np.uint64(16) | node >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([sig[first], mix(names.view(np.uint64)).view(np.int64)])),
-                    pa.array(np.concatenate([node[first], names])),
-                    pa.array(np.concatenate([2 * need[first] + more[first], -(128 * count + need[more][place])])),
-                ], names=["sig", "node", "meta"])
+                    pa.array(packed.view(np.int64)), pa.array(node.astype(np.uint32).view(np.int32)),
+                    pa.array(np.concatenate([np.zeros(int(first.sum()), np.int32), count.astype(np.int32)])),
+                ], names=["packed", "low", "counts"])
 
     def count(batches):
         """(node, needed, counted) of count rows, and of signatures that have a neighbour with the same one."""
         held = None
         for batch in batches:
-            sig, node, meta = (batch.column(i).to_numpy() for i in range(3))
-            direct, own = meta < 0, meta >= 0
-            out = [(node[direct], -meta[direct] % 128, -meta[direct] // 128)]
+            packed, low, counts = (batch.column(i).to_numpy() for i in range(3))
+            packed = packed.view(np.uint64)
+            sig, meta = packed >> np.uint64(24), (packed >> np.uint64(16)).astype(np.int64) & 255
+            node = ((packed & np.uint64(0xFFFF)) << np.uint64(32) | low.view(np.uint32).astype(np.uint64)).view(np.int64)
+            direct, own = counts > 0, counts == 0
+            out = [(node[direct], meta[direct] // 2, counts[direct].astype(np.int64))]
             if own.any():
                 sig, node, meta = sig[own], node[own], meta[own]
                 if held is not None:
@@ -170,8 +177,8 @@ def _nodes_with_partners(picked: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["node", "need", "n"])
 
     return (
-        picked.mapInArrow(sign, "sig long, node long, meta long").repartition("sig").sortWithinPartitions("sig")
-        .mapInArrow(count, "node long, need long, n long").groupBy("node").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        picked.mapInArrow(sign, "packed long, low int, counts int").repartition(F.shiftright("packed", 24)).sortWithinPartitions("packed")
+        .mapInArrow(count, "node long, need long, n long").groupBy("node").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
         .filter("n >= need").select("node")
     )
 

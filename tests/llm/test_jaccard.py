@@ -102,3 +102,19 @@ def test_similar_sets_share_a_signature():
                 sig, at, _, need = jaccard.block_signatures(schemes, [np.unique(base), np.unique(other)])
                 common = len(set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()))
                 assert common and all(min(need[at == i]) <= common for i in (0, 1))
+
+
+@pytest.mark.parametrize("percent", [80, 99])
+def test_nodes_travel_in_48_bits_and_lose_no_partner(spark, percent):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[:n] + [tail]) for n in (2900, 400, 60) for tail in ("a", "b")]
+    texts += [" ".join(f"{i}x{j}" for j in range(200)) for i in range(3)] + ["", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = {r.node for r in jaccard._nodes_with_partners(docs, 5, percent).collect()}
+    assert all(0 <= node < 1 << 48 for node in got)
+    kept = {node & (1 << 40) - 1 for node in got}
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    for i, a in enumerate(sets):
+        if any(j != i and a and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)):
+            assert i in kept
+    assert not {6, 7, 8, 9} & kept
