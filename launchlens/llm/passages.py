@@ -58,21 +58,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Passages:
-    """Passages of several texts: text, first and last word, set key, signatures (one row per band), character places."""
+    """Passages of several texts: text, first and last word, set key, signatures (one row per band)."""
 
     def __init__(self, texts: list[str], bands: int = BANDS):
         words = Words(texts)
         runs = run_hashes(words.hashes, SHINGLE)
         n, per = len(words.hashes), WINDOW - SHINGLE + 1
-        owner = np.searchsorted(words.bounds, np.arange(n), side="right") - 1
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
         full = np.arange(max(0, n - WINDOW + 1))
         full = full[owner[full] == owner[full + WINDOW - 1]] if len(full) else full
         # anchors: the place of the minimum in each span of shingles that lies in one text
         span = _sliding_min(runs, ANCHOR_SPAN)
-        at = np.flatnonzero(owner[:len(span)] == owner[ANCHOR_SPAN + SHINGLE - 2:][:len(span)]) if len(span) else np.zeros(0, np.int64)
+        m = len(span)
+        one = owner[:m] == owner[ANCHOR_SPAN + SHINGLE - 2:][:m]
         anchor = np.zeros(n, bool)
         for i in range(ANCHOR_SPAN):
-            anchor[at[runs[at + i] == span[at]] + i] = True
+            anchor[i:i + m] |= one & (runs[i:i + m] == span)
         self.first = full[anchor[full]]
         self.last = self.first + WINDOW - 1
         minima = [_sliding_min(runs * _FACTORS[j], per) for j in range(bands * ROWS)]
@@ -90,17 +91,22 @@ class Passages:
         rich = self._rich(runs)
         self.first, self.last = self.first[rich], self.last[rich]
         self.key = key[rich].view(np.int64)
-        self.text = owner[self.first]
+        self.text, self._words = owner[self.first], words
         self.signatures = []
         for band in range(bands):
             code = np.full(len(self.first), band + 1, np.uint64)
             for s in sig[band * ROWS:(band + 1) * ROWS]:
                 code = mix(code * np.uint64(0xD6E8FEB86659FD93) + s.astype(np.uint64)[rich])
             self.signatures.append(code.view(np.int64))
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last character (exclusive) of each passage in its text."""
+        words = self._words
+        if not len(self.first):
+            return self.first, self.first
         chars = np.cumsum((words.bytes & 0xC0) != 0x80)  # characters up to and with each byte
         base = np.concatenate([[0], chars])[words.text_start[self.text]]
-        self.start = chars[words.begin[self.first]] - 1 - base if len(self.first) else self.first
-        self.end = chars[words.end[self.last] - 1] - base if len(self.first) else self.first
+        return chars[words.begin[self.first]] - 1 - base, chars[words.end[self.last] - 1] - base
 
     def _rich(self, runs: np.ndarray) -> np.ndarray:
         """Whether a passage has different shingles, or only one."""
@@ -117,11 +123,11 @@ def _colliding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """sig, key, several: the passages of each band signature that more than one document has, and whether their keys differ."""
     picked = _texts_of(docs, id_col, text_col)
     id_type = picked.schema["doc"].dataType
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("key", T.LongType()), T.StructField("lo", id_type), T.StructField("hi", id_type)])
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("key", T.LongType()), T.StructField("doc", id_type)])
     arrow = to_arrow_schema(schema)
 
     def sign(batches):
-        """One row per signature and key of each batch, with the smallest and the largest document."""
+        """Signature, key and document; of a signature and key that a batch holds often, the smallest and the largest document."""
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             different = pc.unique(ids)
@@ -130,16 +136,22 @@ def _colliding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for begin, stop in cuts(texts, 1024, 1 << 21):
                 p = Passages(texts[begin:stop])
                 sig, key, doc = np.concatenate(p.signatures), np.tile(p.key, BANDS), np.tile(rank[begin + p.text], BANDS)
-                by = np.lexsort((doc, key, sig))
-                sig, key, doc = sig[by], key[by], doc[by]
-                head = np.flatnonzero(np.concatenate([np.ones(min(1, len(sig)), bool), (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]))
-                last = np.concatenate([head[1:], np.full(min(1, len(sig)), len(sig))]) - 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(sig[head]), pa.array(key[head]), different.take(pa.array(doc[head])), different.take(pa.array(doc[last]))], schema=arrow)
+                by = np.argsort(sig)
+                same = sig[by[1:]] == sig[by[:-1]]
+                often = np.zeros(len(sig), bool)
+                often[1:] |= same
+                often[:-1] |= same
+                once, by = by[~often], by[often]  # few come often, only they are sorted in full
+                by = by[np.lexsort((doc[by], key[by], sig[by]))]
+                new = (sig[by[1:]] != sig[by[:-1]]) | (key[by[1:]] != key[by[:-1]])
+                edge = np.flatnonzero(new)
+                first, last = (np.concatenate([by[:1], by[edge + 1]]), np.concatenate([by[edge], by[-1:]]))
+                rows = np.concatenate([once, first, last[doc[last] != doc[first]]])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(key[rows]), different.take(pa.array(doc[rows]))], schema=arrow)
 
     bucket = Window.partitionBy("sig")
     return picked.mapInArrow(sign, schema).select(
-        "sig", "key", F.min("lo").over(bucket).alias("lo"), F.max("hi").over(bucket).alias("hi"),
+        "sig", "key", F.min("doc").over(bucket).alias("lo"), F.max("doc").over(bucket).alias("hi"),
         (F.min("key").over(bucket) != F.max("key").over(bucket)).alias("several"),
     ).filter("lo <> hi").select("sig", "key", "several")
 
@@ -156,8 +168,9 @@ def _places(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, stop in cuts(texts, 1024, 1 << 21):
                 p = Passages(texts[begin:stop], 0)
+                start, end = p.places()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(p.key), ids.take(pa.array(begin + p.text)), pa.array(p.start.astype(np.int32)), pa.array(p.end.astype(np.int32))], schema=arrow)
+                    pa.array(p.key), ids.take(pa.array(begin + p.text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=arrow)
 
     return semi_filter(picked.mapInArrow(place, schema), "key", keys, "key").join(keys, "key", "left_semi").distinct()
 

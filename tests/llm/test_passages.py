@@ -143,3 +143,21 @@ def test_every_place_of_a_passage_is_found(spark):
         assert len(got) == 2 and all(r.cluster == 1 and not r.kept for r in got)
         for r in got:
             assert set(rows[1][1][r.start:r.end].split()) <= set(shared)
+
+
+def test_signature_rows_have_one_document(spark):
+    shared, own = " ".join(f"s{i}" for i in range(60)), [" ".join(f"o{d}x{i}" for i in range(60)) for d in range(6)]
+    rows = [(4, shared), (2, shared), (9, shared), (7, own[0]), (7, own[0]), (8, own[1])]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = p._colliding(docs, "doc_id", "text")
+        assert {r.key for r in found.collect()} == set(p.Passages([shared]).key.tolist())
+        assert not any(r.several for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"MapInArrow.*\bhi#", plan)
+
+
+def test_places_of_passages():
+    text = "  Ä " + " ".join(f"s{i}" for i in range(28)) + " \n"
+    start, end = p.Passages(["", text, "é b"], 0).places()
+    assert [(int(a), int(b)) for a, b in zip(start, end)] == [(2, len(text) - 2)]
