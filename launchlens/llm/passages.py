@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from launchlens.llm.common import cuts, map_texts, mix, semi_filter, stored
+from launchlens.llm.common import cuts, mix, semi_filter, stored
 from launchlens.llm.components import components
 from launchlens.llm.shingles import Words, run_hashes
 
@@ -37,8 +37,8 @@ PERCENT = 80
 LEAST_SHINGLES = 2
 #: Passages of a bucket that one task compares with each other; larger buckets are cut, and each two parts compared.
 BLOCK = 1024
-#: Passages from which on the waiting small groups of a task are compared.
-TOGETHER = 64
+#: Groups of up to so many passages are compared together, larger ones each by itself.
+SMALL = 32
 
 
 #: Runs are well mixed already, so an odd factor orders them anew.
@@ -108,6 +108,20 @@ class Passages:
         base = np.concatenate([[0], chars])[words.text_start[self.text]]
         return chars[words.begin[self.first]] - 1 - base, chars[words.end[self.last] - 1] - base
 
+    def sets(self, rows: np.ndarray) -> pa.ListArray:
+        """Sorted distinct shingles of the passages in these rows."""
+        runs = run_hashes(self._words.hashes, SHINGLE).view(np.int64)
+        first, width = self.first[rows], self.last[rows] - self.first[rows] - SHINGLE + 2
+        stop = np.cumsum(width)
+        values, new = np.zeros(stop[-1] if len(rows) else 0, np.int64), np.ones(stop[-1] if len(rows) else 0, bool)
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            to = (stop[own] - w)[:, None] + np.arange(w)
+            values[to] = cells = np.sort(runs[first[own][:, None] + np.arange(w)], axis=1)
+            new[to[:, 1:]] = cells[:, 1:] != cells[:, :-1]
+        ends = np.concatenate([[0], np.cumsum(new)[stop - 1]]) if len(rows) else np.zeros(1)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[new]))
+
     def _rich(self, runs: np.ndarray) -> np.ndarray:
         """Whether a passage has different shingles, or only one."""
         changes = np.concatenate([[0, 0], np.cumsum(runs[1:] != runs[:-1])])
@@ -119,15 +133,29 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
 
+def _edges(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows with the smallest and the largest document of each key; equal keys have equal signatures."""
+    by = np.argsort(key)
+    same = key[by[1:]] == key[by[:-1]]
+    often = np.zeros(len(key), bool)
+    often[1:] |= same
+    often[:-1] |= same
+    once, by = by[~often], by[often]  # few come often, only they are sorted in full
+    by = by[np.lexsort((doc[by], key[by]))]
+    edge = np.flatnonzero(key[by[1:]] != key[by[:-1]])
+    first, last = np.concatenate([by[:1], by[edge + 1]]), np.concatenate([by[edge], by[-1:]])
+    return np.concatenate([once, first, last[doc[last] != doc[first]]])
+
+
 def _colliding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """sig, key, several: the passages of each band signature that more than one document has, and whether their keys differ."""
+    """sig, key, several: the different passages of each band signature that more than one document has, and whether they are several."""
     picked = _texts_of(docs, id_col, text_col)
     id_type = picked.schema["doc"].dataType
     schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("key", T.LongType()), T.StructField("doc", id_type)])
     arrow = to_arrow_schema(schema)
 
     def sign(batches):
-        """Signature, key and document; of a signature and key that a batch holds often, the smallest and the largest document."""
+        """Signature, key and document; of a key that a batch holds often, the smallest and the largest document."""
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             different = pc.unique(ids)
@@ -135,25 +163,17 @@ def _colliding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rank = pc.index_in(ids, different).to_numpy(zero_copy_only=False)
             for begin, stop in cuts(texts, 1024, 1 << 21):
                 p = Passages(texts[begin:stop])
-                sig, key, doc = np.concatenate(p.signatures), np.tile(p.key, BANDS), np.tile(rank[begin + p.text], BANDS)
-                by = np.argsort(sig)
-                same = sig[by[1:]] == sig[by[:-1]]
-                often = np.zeros(len(sig), bool)
-                often[1:] |= same
-                often[:-1] |= same
-                once, by = by[~often], by[often]  # few come often, only they are sorted in full
-                by = by[np.lexsort((doc[by], key[by], sig[by]))]
-                new = (sig[by[1:]] != sig[by[:-1]]) | (key[by[1:]] != key[by[:-1]])
-                edge = np.flatnonzero(new)
-                first, last = (np.concatenate([by[:1], by[edge + 1]]), np.concatenate([by[edge], by[-1:]]))
-                rows = np.concatenate([once, first, last[doc[last] != doc[first]]])
-                yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(key[rows]), different.take(pa.array(doc[rows]))], schema=arrow)
+                doc = rank[begin + p.text]
+                rows = _edges(p.key, doc)
+                sig = np.concatenate([x[rows] for x in p.signatures])
+                key, doc = (np.tile(x[rows], BANDS) for x in (p.key, doc))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), different.take(pa.array(doc))], schema=arrow)
 
     bucket = Window.partitionBy("sig")
     return picked.mapInArrow(sign, schema).select(
         "sig", "key", F.min("doc").over(bucket).alias("lo"), F.max("doc").over(bucket).alias("hi"),
         (F.min("key").over(bucket) != F.max("key").over(bucket)).alias("several"),
-    ).filter("lo <> hi").select("sig", "key", "several")
+    ).filter("lo <> hi").select("sig", "key", "several").distinct()
 
 
 def _places(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,19 +196,31 @@ def _places(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, shingles: the shingle set of one passage of each wanted key (key, doc, start, end)."""
-    places = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end")).alias("places")))
-    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    joined = semi_filter(own, "doc", places, "doc").join(places, "doc")
-
-    def worker():
-        def step(texts):
-            return [[x.view(np.int64) for x in Words(texts).shingles(SHINGLE)]]  # a passage has SHINGLE words at least
-        return step
+    """key, shingles: the shingle set of each wanted passage (key, doc), cut from a text of its document."""
+    places = stored(wanted.groupBy("doc").agg(F.collect_list("key").alias("keys")))
+    texts = semi_filter(_texts_of(docs, id_col, text_col), "doc", places, "doc").join(places, "doc").select("doc", "text", "keys").distinct()
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(schema)
 
-    cut = joined.select(F.explode("places").alias("p"), "text").select(
-        F.col("p.key").alias("key"), F.expr("substring(text, p.start + 1, p.end - p.start)").alias("text"))
-    return map_texts(cut, "key", "text", worker, "shingles array<long>").withColumnRenamed("doc_id", "key")
+    def cut(batches):
+        for batch in batches:
+            texts, keys = batch.column(0).to_pylist(), batch.column(1)
+            for begin, stop in cuts(texts, 1024, 1 << 21):
+                p, part = Passages(texts[begin:stop], 0), keys.slice(begin, stop - begin)
+                ask = np.repeat(np.arange(stop - begin), pc.list_value_length(part).to_numpy())
+                # passages and asked keys in one order of (text, key): the first passage of each asked pair
+                text, key = np.concatenate([ask, p.text]), np.concatenate([part.flatten().to_numpy(), p.key])
+                is_passage = np.arange(len(text)) >= len(ask)
+                by = np.lexsort((is_passage, key, text))
+                hit = (text[by[1:]] == text[by[:-1]]) & (key[by[1:]] == key[by[:-1]]) & is_passage[by[1:]] & ~is_passage[by[:-1]]
+                rows = by[1:][hit] - len(ask)
+                yield pa.RecordBatch.from_arrays([pa.array(p.key[rows]), p.sets(rows).cast(arrow.field(1).type)], schema=arrow)
+
+    sets = stored(texts.select("text", "keys").mapInArrow(cut, schema))
+    # an id with several texts may hold a key in more than one of them
+    if sets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return sets
+    return stored(sets.groupBy("key").agg(F.min("shingles").alias("shingles")))
 
 
 def _similar(sizes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
@@ -227,6 +259,36 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _stars(group: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of groups of up to SMALL sets, given one after the other: the first row of its component and the row, for every other row."""
+    n, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    value = shingles ^ mix(group.astype(np.uint64) + np.uint64(1)).view(np.int64)[row]  # keeps the groups apart
+    by = np.argsort(value)
+    value, row = value[by], row[by]
+    at, pairs = np.arange(len(value)), [np.zeros(0, np.int64)]
+    for step in range(1, SMALL):
+        at = at[:np.searchsorted(at, len(value) - step)]
+        at = at[value[at + step] == value[at]]
+        if not len(at):
+            break
+        a, b = np.minimum(row[at], row[at + step]), np.maximum(row[at], row[at + step])
+        pairs.append((a * SMALL + b - a)[group[a] == group[b]])
+    pair, common = np.unique(np.concatenate(pairs), return_counts=True)
+    a, b = pair // SMALL, pair // SMALL + pair % SMALL
+    near = 100 * common >= PERCENT * (sizes[a] + sizes[b] - common)
+    a, b, root = a[near], b[near], np.arange(n)
+    while True:
+        low, new = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    rows = np.flatnonzero(root != np.arange(n))
+    return root[rows], rows
+
+
 def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links that join what is similar within each bucket (sig, key); all its keys are compared with each other."""
     parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / (BLOCK // 2))
@@ -236,41 +298,41 @@ def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     cut = cut.select("sig", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "key").join(sets, "key")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def links(rows):
-        key = np.concatenate([k for k, _, _ in rows])
-        edges = _forest(_similar(np.concatenate([n for _, n, _ in rows]), np.concatenate([x for _, _, x in rows])))
-        a, b = (key[np.array([e[i] for e in edges], np.int64)] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def links(table):
+        """Links of the whole groups of a table."""
+        group = np.stack([table.column(i).to_numpy() for i in range(3)])
+        edge = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
+        begin, stop = np.concatenate([[0], edge]), np.concatenate([edge, [table.num_rows]])
+        key, sets = table.column(3).to_numpy(), table.column(4).combine_chunks()
+        sizes, shingles = pc.list_value_length(sets).to_numpy().astype(np.int64), sets.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        number = np.repeat(np.arange(len(begin)), stop - begin)
+        small = (stop - begin <= SMALL)[number]
+        rows = np.flatnonzero(small)
+        a, b = _stars(number[rows], sizes[rows], shingles[np.repeat(small, sizes)])
+        yield key[rows[a]], key[rows[b]]
+        for i, j in zip(begin[stop - begin > SMALL].tolist(), stop[stop - begin > SMALL].tolist(), strict=True):
+            edges = np.array(_forest(_similar(sizes[i:j], shingles[at[i]:at[j]])), np.int64).reshape(-1, 2)
+            yield key[i + edges[:, 0]], key[i + edges[:, 1]]
 
     def compare(batches):
-        """Small groups are compared together; shingles marked with the number of their group keep them apart."""
-        held, now, ready, groups = [], None, [], 0
-
-        def closed():
-            """Put the group that has ended with the waiting ones."""
-            nonlocal held, ready, groups
-            groups += 1
-            mark = mix(np.array([groups], np.uint64)).view(np.int64)[0]
-            ready += [(k, n, x ^ mark) for k, n, x in held]
-            held = []
-            if sum(len(k) for k, _, _ in ready) >= TOGETHER:
-                yield links(ready)
-                ready = []
-
+        """The groups of each batch; the last one waits for the next batch."""
+        held = None
         for batch in batches:
-            group = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            edge = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                own = tuple(group[:, a].tolist())
-                if held and own != now:
-                    yield from closed()
-                now, rows = own, batch.column(4).slice(a, b - a)
-                held.append((batch.column(3).slice(a, b - a).to_numpy(), pc.list_value_length(rows).to_numpy().astype(np.int64), rows.flatten().to_numpy()))
-        yield from closed()
-        if ready:
-            yield links(ready)
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = (pa.concat_tables([held, new]) if held is not None else new).combine_chunks()
+            last = np.stack([held.column(i).to_numpy() for i in range(3)])
+            changes = np.flatnonzero((last[:, 1:] != last[:, :-1]).any(0))
+            if not len(changes):
+                continue
+            whole, held = held.slice(0, changes[-1] + 1), held.slice(changes[-1] + 1)
+            for a, b in links(whole):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if held is not None:
+            for a, b in links(held):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return cut.select("sig", "i", "j", "key", "shingles").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, schema)
 
@@ -278,8 +340,8 @@ def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 def _different(buckets: DataFrame) -> DataFrame:
     """buckets (sig, key) without those that hold the same keys as another: similar passages meet in most of their bands.
 
-    Which keys a bucket holds is told by their number and 128 bits of sums of hashes."""
-    sums = [F.sum(F.xxhash64(F.lit(i), "key").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
+    Which keys a bucket holds is told by their number and 128 bits of hashes."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"h{i}") for i in (1, 2)]
     same = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), *sums)
     return buckets.join(same.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
 
@@ -287,8 +349,8 @@ def _different(buckets: DataFrame) -> DataFrame:
 def _clusters(buckets: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, component: the passages that are similar to others, by key; buckets has sig and key."""
     keys = buckets.select("key").distinct()
-    owners = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "start", "end")).alias("x")).select("key", "x.*")
-    sets = stored(_sets(docs, owners, id_col, text_col).groupBy("key").agg(F.min("shingles").alias("shingles")))
+    owners = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
+    sets = _sets(docs, owners, id_col, text_col)
     bucket = Window.partitionBy("sig")
     pairs = stored(buckets.select(F.col("key").alias("b"), F.array(F.min("key").over(bucket), F.lag("key").over(bucket.orderBy("key"))).alias("near"))
                    .select(F.explode("near").alias("a"), "b").filter("a <> b").distinct())
@@ -317,19 +379,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     its repeated rows share nothing with each other."""
     found = stored(_colliding(docs, id_col, text_col))
     members = stored(_places(docs, stored(found.select("key").distinct()), id_col, text_col))
-    labels = _clusters(stored(_different(found.filter("several").select("sig", "key").distinct())), members, docs, id_col, text_col)
+    labels = _clusters(stored(_different(found.filter("several").select("sig", "key"))), members, docs, id_col, text_col)
     grouped = stored(members.join(labels, F.col("key") == F.col("node"), "left").select(
         F.coalesce("component", "key").alias("component"), "doc", "start", "end"))
     clusters = stored(grouped.groupBy("component").agg(F.min("doc").alias("cluster"), F.max("doc").alias("last")).filter("cluster <> last"))
     spans = grouped.join(clusters, "component").select("doc", "start", "end", "cluster", (F.col("doc") == F.col("cluster")).alias("kept"))
-    each = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end", "cluster", "kept"))).alias("s"))
     # overlapping spans of a document, in order: extend the last one or open a new one
-    empty = F.array().cast(each.schema["s"].dataType)
-    merged = F.aggregate("s", empty, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"),
-            F.least(F.element_at(acc, -1)["cluster"], x["cluster"]).alias("cluster"),
-            (F.element_at(acc, -1)["kept"] & x["kept"]).alias("kept")))),
-    ).otherwise(F.concat(acc, F.array(x))))
-    return each.select(F.col("doc").alias("doc_id"), F.explode(merged).alias("m")).select("doc_id", "m.*")
+    along = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))
+    span = F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return opened.withColumn("span", span).groupBy(F.col("doc").alias("doc_id"), "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster").alias("cluster"), F.min("kept").alias("kept"),
+    ).drop("span")

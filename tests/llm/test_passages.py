@@ -161,3 +161,71 @@ def test_places_of_passages():
     text = "  Ä " + " ".join(f"s{i}" for i in range(28)) + " \n"
     start, end = p.Passages(["", text, "é b"], 0).places()
     assert [(int(a), int(b)) for a, b in zip(start, end)] == [(2, len(text) - 2)]
+
+
+def test_colliding_passages_stand_once_per_signature(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, shared) for i in range(12)], "doc_id long, text string").repartition(3)
+    found = [(r.sig, r.key) for r in p._colliding(docs, "doc_id", "text").collect()]
+    assert len(found) == len(set(found)) == p.BANDS * len(set(p.Passages([shared]).key.tolist()))
+
+
+def test_sets_of_asked_passages(spark):
+    """Sets of asked passages against sets of their texts alone; an id may have several rows, and texts."""
+    rng = random.Random(4)
+    shared = prose(rng, 60)
+    rows = [(1, " ".join(prose(rng, 70) + shared)), (1, " ".join(shared + prose(rng, 9))), (2, " ".join(prose(rng, 300))), (3, "a b c d e f g"), (3, None)]
+    rows.append(rows[2])
+    docs = frame(spark, rows)
+    cut, want = p.Passages([t or "" for _, t in rows]), {}
+    for i, (key, text) in enumerate(zip(cut.key.tolist(), cut.text.tolist(), strict=True)):
+        first = cut.first[i] - cut._words.bounds[text]
+        piece = " ".join((rows[text][1]).split()[first:first + cut.last[i] - cut.first[i] + 1])
+        want[key, rows[text][0]] = sorted(p.Words([piece]).shingles(p.SHINGLE)[0].view(np.int64).tolist())
+    asked = spark.createDataFrame(list(want) + [(5, 1)], "key long, doc long")
+    sets = p._sets(docs, asked, "doc_id", "text")
+    got = [(r.key, r.shingles) for r in sets.collect()]
+    assert len(got) == len({k for k, _ in want}) and dict(got) == {k: v for (k, _), v in want.items()}
+
+
+def test_stars_join_what_is_similar_within_a_group():
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(1 << 62), 1 << 62, 400)
+    group, sets = [], []
+    for g in range(60):
+        for _ in range(rng.integers(1, p.SMALL + 1)):
+            group.append(g)
+            sets.append(np.unique(base[40 * rng.integers(0, 2):][:30][rng.random(30) < 0.95]))
+    group, sizes = np.array(group), np.array([len(x) for x in sets])
+    a, b = p._stars(group, sizes, np.concatenate(sets))
+    root = np.arange(len(sets))
+    root[b] = a
+    for g in range(60):
+        own = np.flatnonzero(group == g)
+        linked, want = p._similar(sizes[own], np.concatenate([sets[i] for i in own])), np.arange(len(own))
+        for i, j in p._forest(linked):
+            want[want == want[j]] = want[i]
+        assert all((root[own[i]] == root[own[j]]) == (want[i] == want[j]) for i in range(len(own)) for j in range(len(own)))
+
+
+def test_groups_may_span_batches(spark):
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.integers(0, 1 << 60, 20)).tolist()
+    sets = spark.createDataFrame([(k, x) for k in range(70)], "key long, shingles array<long>")
+    buckets = spark.createDataFrame([(s, k) for s, n in ((1, 5), (2, 70), (3, 33)) for k in range(n)], "sig long, key long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        labels = {r.node: r.component for r in p.components(p._links_inside(buckets, sets), "a", "b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert labels == {k: 0 for k in range(70)}
+
+
+def test_spans_that_overlap_or_touch_become_one(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 55), prose(rng, 55)
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a + b)), (4, " ".join(a + prose(rng, 80) + b))]
+    got = sorted((r.doc_id, r.start, r.end, r.cluster, r.kept) for r in p.repeated_passages(frame(spark, rows)).collect())
+    for (d, _, end, _, _), (e, start, _, _, _) in zip(got, got[1:]):
+        assert d != e or end < start
+    assert {r[0] for r in got} == {1, 2, 3, 4} and all(r[4] == (r[0] < 3) for r in got if r[3] == r[0] or r[0] > 3)
