@@ -9,18 +9,17 @@ from launchlens.llm.common import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b: larger neighbours go to the smallest one of b and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).select(F.col("a").alias("b"), "m")
+    return edges.join(low, "b").select("a", F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    low = stored(down.groupBy("a").agg(F.min("b").alias("m")))
-    return (
-        down.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-    )
+    """Edges (a, b), a > b: smaller neighbours of a, and a, go to the smallest of them."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    ends = F.explode(F.array("a", "b")).alias("a")
+    return edges.join(low, "a").select(ends, F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -37,6 +36,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = stored(_small_star(_large_star(now)))
+        now = stored(_small_star(stored(_large_star(now))))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()

@@ -3,7 +3,8 @@
 A passage is WINDOW words long and begins at an anchor: a word whose shingle hash is the smallest of some ANCHOR_SPAN
 words in a row. Anchors depend on the words alone, so a text of WINDOW + ANCHOR_SPAN words that stands in two
 documents, in whatever surroundings, gives both the same passage; a shorter document is one passage. Each
-passage has BANDS signatures of ROWS minima over its five-word shingles. Passages with a band in common form a bucket. The
+passage has BANDS signatures of ROWS minima over its five-word shingles. Signatures are dealt to tasks by their first bits, as lists, and
+sorted there in arrays, cell by cell. Passages with a band in common form a bucket. The
 exact Jaccard similarity is computed first against the first and the previous passage of the bucket; in buckets that do
 not become one cluster by that, all passages are compared with each other. Components of similar passages are
 clusters, and every place of their passages is looked up in the documents by key. All passages of a cluster but the first are
@@ -37,6 +38,10 @@ PERCENT = 80
 LEAST_SHINGLES = 2
 #: Passages of a bucket that one task compares with each other; larger buckets are cut, and each two parts compared.
 BLOCK = 1024
+#: A cell holds the signatures with the same CELL_BITS first bits, and is grouped at once in memory.
+CELL_BITS = 12
+#: Signatures of a task that are dealt to the cells together.
+SIGNED = 1 << 19
 #: Groups of up to so many passages are compared together, larger ones each by itself.
 SMALL = 32
 
@@ -45,18 +50,31 @@ SMALL = 32
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of x[i:i + width] for every i with a full window."""
-    if len(x) < width:
-        return x[:0]
+def _halves(x: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Minima of the largest power of two up to width; two of them, so far apart, make a window."""
     have, out = 1, x
     while 2 * have <= width:
         out = np.minimum(out[:-have], out[have:])
         have *= 2
-    rest = width - have
+    return out, width - have
+
+
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of x[i:i + width] for every i with a full window."""
+    if len(x) < width:
+        return x[:0]
+    out, rest = _halves(x, width)
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+def _min_at(x: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Minimum of x[i:i + width] for the i given."""
+    if not len(at):
+        return x[:0]
+    out, rest = _halves(x, width)
+    return np.minimum(out[at], out[at + rest])
+
+
 class Passages:
     """Passages of several texts: text, first and last word, set key, signatures (one row per band)."""
 
@@ -71,13 +89,13 @@ class Passages:
         span = _sliding_min(runs, ANCHOR_SPAN)
         m = len(span)
         one = owner[:m] == owner[ANCHOR_SPAN + SHINGLE - 2:][:m]
-        anchor = np.zeros(n, bool)
-        for i in range(ANCHOR_SPAN):
-            anchor[i:i + m] |= one & (runs[i:i + m] == span)
+        # the largest of the minima of all spans that hold a shingle is the shingle itself if one of them is
+        anchor, lows = np.zeros(n, bool), np.zeros(m + 2 * (ANCHOR_SPAN - 1), np.uint64)
+        lows[ANCHOR_SPAN - 1:][:m][one] = span[one]
+        anchor[:m + ANCHOR_SPAN - 1] = runs[:m + ANCHOR_SPAN - 1] == ~_sliding_min(~lows, ANCHOR_SPAN) if m else False
         self.first = full[anchor[full]]
         self.last = self.first + WINDOW - 1
-        minima = [_sliding_min(runs * _FACTORS[j], per) for j in range(bands * ROWS)]
-        sig = [m[self.first] if len(m) else m for m in minima]
+        sig = [_min_at(runs * _FACTORS[j], per, self.first) for j in range(bands * ROWS)]
         values = mix(runs + np.uint64(0x51ED270B))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
         key = mix(sums[self.first + per] - sums[self.first]) if len(self.first) else np.zeros(0, np.uint64)
@@ -147,33 +165,97 @@ def _edges(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.concatenate([once, first, last[doc[last] != doc[first]]])
 
 
+def _shared(sig: np.ndarray, key: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """sig, key, smallest doc, first and previous key of the signature, of each key of the signatures that several docs have, in order."""
+    by = np.argsort(sig)
+    same = sig[by[1:]] == sig[by[:-1]]
+    often = np.zeros(len(sig), bool)
+    often[1:] |= same
+    often[:-1] |= same
+    by = by[often]  # most stand alone, only the others are sorted in full
+    by = by[np.lexsort((doc[by], key[by], sig[by]))]
+    sig, key, doc = sig[by], key[by], doc[by]
+    if not len(by):
+        return [sig, key, doc, key, key]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    begin = np.flatnonzero(new)
+    wide = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
+    rows = np.flatnonzero(wide[np.cumsum(new) - 1] & (new | np.concatenate([[True], key[1:] != key[:-1]])))
+    sig, key, doc, new = sig[rows], key[rows], doc[rows], new[rows]
+    first = key[new][np.cumsum(new) - 1]
+    return [sig, key, doc, first, np.where(new, key, np.concatenate([key[:1], key[:-1]]))]
+
+
 def _colliding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """sig, key, several: the different passages of each band signature that more than one document has, and whether they are several."""
+    """sig, key, doc, first, previous, several: the different passages of each band signature that more than one document has.
+
+    doc is the smallest document with the passage, several whether the signature has several passages; then first and
+    previous are the smallest of their keys and the one before this, each null where it is the key itself."""
     picked = _texts_of(docs, id_col, text_col)
     id_type = picked.schema["doc"].dataType
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("key", T.LongType()), T.StructField("doc", id_type)])
+    schema = T.StructType([T.StructField("cell", T.LongType()), *(T.StructField(name, T.ArrayType(t)) for name, t in (
+        ("sigs", T.LongType()), ("keys", T.LongType()), ("docs", id_type)))])
     arrow = to_arrow_schema(schema)
+    found = T.StructType([T.StructField("sig", T.LongType()), T.StructField("key", T.LongType()), T.StructField("doc", id_type), T.StructField("first", T.LongType()), T.StructField("previous", T.LongType()), T.StructField("several", T.BooleanType())])
+    found_arrow = to_arrow_schema(found)
+
+    def ranked(ids):
+        """Numbers in the order of the ids, and the function from such numbers to ids."""
+        if pa.types.is_integer(ids.type):
+            return ids.to_numpy(zero_copy_only=False), lambda numbers: pa.array(numbers, ids.type)
+        different = pc.unique(ids)
+        different = different.take(pc.sort_indices(different))
+        return pc.index_in(ids, different).to_numpy(zero_copy_only=False), lambda numbers: different.take(pa.array(numbers))
 
     def sign(batches):
-        """Signature, key and document; of a key that a batch holds often, the smallest and the largest document."""
+        """Signatures, keys and documents by cell; of a key that a batch holds often, the smallest and the largest document."""
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            different = pc.unique(ids)
-            different = different.take(pc.sort_indices(different))
-            rank = pc.index_in(ids, different).to_numpy(zero_copy_only=False)
+            texts, rows, many = batch.column(1).to_pylist(), [], 0
+            rank, ids_of = ranked(batch.column(0))
             for begin, stop in cuts(texts, 1024, 1 << 21):
                 p = Passages(texts[begin:stop])
                 doc = rank[begin + p.text]
-                rows = _edges(p.key, doc)
-                sig = np.concatenate([x[rows] for x in p.signatures])
-                key, doc = (np.tile(x[rows], BANDS) for x in (p.key, doc))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), different.take(pa.array(doc))], schema=arrow)
+                edges = _edges(p.key, doc)
+                rows += [(sig[edges], p.key[edges], doc[edges]) for sig in p.signatures]
+                many += BANDS * len(edges)
+                if many >= SIGNED or stop == len(texts):
+                    sig, key, doc = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    rows, many = [], 0
+                    by = np.argsort(sig)
+                    cell = sig[by] >> (64 - CELL_BITS)
+                    edge = np.concatenate([np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)]), [len(cell)]])
+                    lists = [pa.array(sig[by]), pa.array(key[by]), ids_of(doc[by])]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[edge[:-1]])] + [
+                        pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), x).cast(arrow.field(i).type) for i, x in enumerate(lists, 1)], schema=arrow)
+
+    def shared(cells):
+        """What the signatures of whole cells share."""
+        sig, key, ids = (cells.column(i).combine_chunks().flatten() for i in (1, 2, 3))
+        rank, ids_of = ranked(ids)
+        sig, key, doc, first, previous = _shared(sig.to_numpy(), key.to_numpy(), rank)
+        several = (first != key) | (np.concatenate([sig[1:], sig[:1] + 1]) == sig)  # one alone is the first and the last of its signature
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), ids_of(doc), pa.array(first, mask=first == key),
+                                           pa.array(previous, mask=previous == key), pa.array(several)], schema=found_arrow)
+
+    def share(batches):
+        """The cells of each batch; the last one waits for the next batch."""
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column(0).to_numpy()
+            if held and cell[0] != held[-1].column(0)[-1].as_py():
+                yield shared(pa.Table.from_batches(held))
+                held = []
+            last = int(np.searchsorted(cell, cell[-1]))
+            if last:
+                yield shared(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield shared(pa.Table.from_batches(held))
 
-    bucket = Window.partitionBy("sig")
-    return picked.mapInArrow(sign, schema).select(
-        "sig", "key", F.min("doc").over(bucket).alias("lo"), F.max("doc").over(bucket).alias("hi"),
-        (F.min("key").over(bucket) != F.max("key").over(bucket)).alias("several"),
-    ).filter("lo <> hi").select("sig", "key", "several").distinct()
+    return picked.mapInArrow(sign, schema).repartition("cell").sortWithinPartitions("cell").mapInArrow(share, found)
 
 
 def _places(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -338,7 +420,7 @@ def _links_inside(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _different(buckets: DataFrame) -> DataFrame:
-    """buckets (sig, key) without those that hold the same keys as another: similar passages meet in most of their bands.
+    """buckets (sig, key and more) without those that hold the same keys as another: similar passages meet in most of their bands.
 
     Which keys a bucket holds is told by their number and 128 bits of hashes."""
     sums = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"h{i}") for i in (1, 2)]
@@ -346,27 +428,34 @@ def _different(buckets: DataFrame) -> DataFrame:
     return buckets.join(same.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
 
 
-def _clusters(buckets: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, component: the passages that are similar to others, by key; buckets has sig and key."""
-    keys = buckets.select("key").distinct()
-    owners = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
-    sets = _sets(docs, owners, id_col, text_col)
-    bucket = Window.partitionBy("sig")
-    pairs = stored(buckets.select(F.col("key").alias("b"), F.array(F.min("key").over(bucket), F.lag("key").over(bucket.orderBy("key"))).alias("near"))
-                   .select(F.explode("near").alias("a"), "b").filter("a <> b").distinct())
+def _clusters(buckets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, component: the passages that are similar to others, by key; buckets are the rows of _colliding with several passages."""
+    sets = _sets(docs, buckets.select("key", "doc").distinct(), id_col, text_col)
+    pairs = stored(buckets.select(F.explode(F.array("first", "previous")).alias("a"), F.col("key").alias("b")).dropna().distinct())
     common = F.size(F.array_intersect("sa", "sb"))
     links = stored(
         pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         .filter(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     )
-    labels = components(links, "a", "b")
-    label = F.coalesce("component", "key")
+    labels = stored(components(links, "a", "b"))
+    label, bucket = F.coalesce("component", "key"), Window.partitionBy("sig")
     rest = buckets.join(labels, F.col("key") == F.col("node"), "left").select("sig", "key", label.alias("label"))
     several = F.min("label").over(bucket) != F.max("label").over(bucket)
     # a bucket of two has been compared as a whole
     rest = stored(rest.select("sig", "key", several.alias("several"), F.count(F.lit(1)).over(bucket).alias("n")).filter("several AND n > 2").select("sig", "key"))
-    return stored(components(links.unionByName(_links_inside(rest, sets)), "a", "b"))
+    return _joined(labels, _links_inside(rest, sets))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links (a, b) between their nodes, or others, are added: only components are joined."""
+    ends = links.distinct()
+    for end in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    merged = stored(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b"))
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return stored(labels.join(into, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+                  .unionByName(merged.join(labels, "node", "left_anti")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,7 +468,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     its repeated rows share nothing with each other."""
     found = stored(_colliding(docs, id_col, text_col))
     members = stored(_places(docs, stored(found.select("key").distinct()), id_col, text_col))
-    labels = _clusters(stored(_different(found.filter("several").select("sig", "key"))), members, docs, id_col, text_col)
+    labels = _clusters(stored(_different(found.filter("several").drop("several"))), docs, id_col, text_col)
     grouped = stored(members.join(labels, F.col("key") == F.col("node"), "left").select(
         F.coalesce("component", "key").alias("component"), "doc", "start", "end"))
     clusters = stored(grouped.groupBy("component").agg(F.min("doc").alias("cluster"), F.max("doc").alias("last")).filter("cluster <> last"))

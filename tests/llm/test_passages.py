@@ -229,3 +229,90 @@ def test_spans_that_overlap_or_touch_become_one(spark):
     for (d, _, end, _, _), (e, start, _, _, _) in zip(got, got[1:]):
         assert d != e or end < start
     assert {r[0] for r in got} == {1, 2, 3, 4} and all(r[4] == (r[0] < 3) for r in got if r[3] == r[0] or r[0] > 3)
+
+
+def test_anchors_are_the_minima_of_spans_inside_a_text():
+    rng = random.Random(13)
+    texts = [prose(rng, n) for n in (3, 21, 22, 49, 50, 51, 200)] + [["w"] * 60 + prose(rng, 40)]
+    cut = p.Passages([" ".join(t) for t in texts], 0)
+    got = {(t, int(f - cut._words.bounds[t])) for t, f in zip(cut.text.tolist(), cut.first)}
+    runs, want = p.run_hashes(cut._words.hashes, p.SHINGLE), set()
+    for t, words in enumerate(texts):
+        own = runs[cut._words.bounds[t]:][:max(0, len(words) - p.SHINGLE + 1)]
+        for i in range(len(own) - p.ANCHOR_SPAN + 1):
+            least = own[i:i + p.ANCHOR_SPAN].min()
+            want |= {(t, i + int(k)) for k in np.flatnonzero(own[i:i + p.ANCHOR_SPAN] == least) if i + k + p.WINDOW <= len(words)}
+        if p.SHINGLE <= len(words) < p.WINDOW + p.ANCHOR_SPAN:
+            want.add((t, 0))
+    rich = {(t, k) for t, k in want if len(texts[t]) < p.WINDOW or len({tuple(texts[t][j:j + p.SHINGLE]) for j in range(k, k + p.WINDOW - p.SHINGLE + 1)}) > 1}
+    assert got == rich and len(got) > 20
+
+
+def test_minima_at_places():
+    x = np.random.default_rng(2).integers(0, 1000, 90).astype(np.uint64)
+    for width in (1, 2, 5, 18, 28, 32):
+        at = np.array([0, 7, 90 - width, 30])
+        assert p._min_at(x, width, at).tolist() == [x[i:i + width].min() for i in at]
+    assert len(p._min_at(x[:3], 28, np.zeros(0, np.int64))) == 0
+
+
+def test_keys_of_shared_signatures():
+    rng = np.random.default_rng(7)
+    sig, key, doc = rng.integers(-9, 60, 400), rng.integers(-4, 5, 400), rng.integers(0, 4, 400)
+    sig = np.concatenate([sig, np.arange(1000, 1300), [5000, 5000, 6000, 6000]])
+    key = np.concatenate([key, np.arange(300), [1, 2, 1, 1]])
+    doc = np.concatenate([doc, np.zeros(300, int), [3, 3, 2, 1]])
+    groups = defaultdict(lambda: defaultdict(set))
+    for s, k, d in zip(sig.tolist(), key.tolist(), doc.tolist()):
+        groups[s][k].add(d)
+    want = []
+    for s in sorted(groups):
+        keys = sorted(groups[s])
+        if len(set().union(*groups[s].values())) > 1:
+            want += [(s, k, min(groups[s][k]), keys[0], keys[max(0, i - 1)]) for i, k in enumerate(keys)]
+    got = list(zip(*(x.tolist() for x in p._shared(sig, key, doc)), strict=True))
+    assert got == want and (6000, 1, 1, 1, 1) in got and all(r[0] != 5000 for r in got)
+    assert [len(x) for x in p._shared(*(np.zeros(0, np.int64),) * 3)] == [0] * 5
+
+
+def test_signature_rows_are_grouped_without_a_window_or_members(spark):
+    """Rows of signatures are sorted and told apart in arrays; each key comes with its smallest document, of any type of id."""
+    rng = random.Random(3)
+    shared, near = prose(rng, 49), prose(rng, 49)
+    rows = [("b", shared), ("c", shared), ("a9", shared), ("d", near), ("d", near), ("a", near[:30] + ["x"] + near[31:])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id string, text string").repartition(3)
+    found = p._colliding(docs, "doc_id", "text")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.key: (r.doc, r.several) for r in found.collect()}
+    key = p.Passages([" ".join(shared), " ".join(near)], 0).key.tolist()
+    assert got[key[0]] == ("a9", False) and got[key[-1]] == ("d", True)
+    spans = {(r.doc_id, r.cluster, r.kept) for r in p.repeated_passages(docs).collect()}
+    assert spans == {("a9", "a9", True), ("b", "a9", False), ("c", "a9", False), ("a", "a", True), ("d", "a", False)}
+
+
+def test_links_join_components(spark):
+    labels = spark.createDataFrame([(k, 10) for k in (10, 11, 12)] + [(20, 20), (21, 20), (30, 30), (31, 30)], "node long, component long")
+    links = spark.createDataFrame([(12, 21), (21, 12), (12, 21), (5, 31), (40, 41), (30, 31)], "a long, b long")
+    got = sorted((r.node, r.component) for r in p._joined(labels, links).collect())
+    assert got == [(5, 5)] + [(k, 10) for k in (10, 11, 12, 20, 21)] + [(30, 5), (31, 5), (40, 40), (41, 40)]
+    assert p._joined(labels, links.limit(0)).count() == 7
+
+
+def test_component_rounds_against_a_search(spark):
+    rng = random.Random(21)
+    edges = [(i, i + 1) for i in range(300, 340)] + [(a, rng.randrange(120)) for a in (rng.randrange(120) for _ in range(70))] + [(500, 501 + i) for i in range(50)]
+    edges += [(None, 3), (4, None), (7, 7), (501, 500)]
+    near = defaultdict(set)
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for root in sorted(near):
+        todo = [root]
+        while todo:
+            if (k := todo.pop()) not in want:
+                want[k] = root
+                todo += near[k]
+    got = p.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
