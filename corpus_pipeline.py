@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from launchlens.llm import bpe, contamination, exact, jaccard, quality
-from launchlens.llm.common import drop_rows, fold, read, stored
+from launchlens.llm.common import discard, drop_rows, fold, read, stored
 from launchlens.llm.queries import vocabulary_path
 
 #: Documents whose probability of good quality is lower are rejected.
@@ -80,10 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
+    """All stages over documents, each written to the shared folder and read again by the next, which then takes its place."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs)
+            if k:
+                discard(given)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from launchlens.llm.common import stored
+from launchlens.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
     Each round joins stars of neighbours to their smallest member, so paths shorten geometrically. Rounds are written
-    to the shared folder; the end is reached when a round changes neither the number of edges nor their hash sum.
+    to the shared folder, each in place of the one before; the end is reached when a round changes neither the number of edges nor their hash sum.
     Edges with a null end are left out, loops count as nodes of their own."""
     given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     now = stored(given.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
@@ -36,6 +36,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = stored(_small_star(stored(_large_star(now))))
+        large = stored(_large_star(now))
+        discard(now)
+        now = stored(_small_star(large))
+        discard(large)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()

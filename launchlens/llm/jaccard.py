@@ -9,14 +9,17 @@
    the diagonal blocks outside which the product is below the bound.
 3. Within a diagonal block, overlaps are accumulated over chunks of columns by a dense product; pairs whose overlap so
    far plus what is left of the smaller row is below the needed overlap are discarded. A block of many rows is cut by
-   hash into parts that are multiplied pairwise. Each product returns a spanning forest of
-   its links and the number of links per row, so pairs never leave the task.
+   hash into parts that are multiplied pairwise. Rows travel to their products as texts, and where parts make many copies of
+   them, products are computed in rounds, each of which moves no more than the texts of the table. Each product returns a
+   spanning forest of its links and the number of links per row, so pairs never leave the task.
 4. Components of the forests are the result.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -31,9 +34,14 @@ from launchlens.llm.common import cuts, map_texts, mix, semi_filter, stored
 from launchlens.llm.components import components
 from launchlens.llm.shingles import Words, set_keys
 
-#: Rows, and n-grams, of one side of a product.
+#: Rows, and n-grams, of a part of a block: a task holds two.
+PART_ROWS = 4096
+PART_GRAMS = 1 << 22
+#: Rows, and n-grams, of one side of a dense product.
 BLOCK_ROWS = 512
 BLOCK_GRAMS = 1 << 19
+#: N-grams that a round of products may move in any case; larger tables may move as many as they have.
+ROUND_GRAMS = 1 << 26
 #: Columns multiplied at once.
 COLUMNS = 4096
 
@@ -246,24 +254,28 @@ def _candidate_edges(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     )
 
 
-def _links(sets: list[np.ndarray], sizes: np.ndarray, big: np.ndarray, split: int, percent: int):
+def _links(sets: list[np.ndarray], big: np.ndarray, split: int, percent: int):
     """Yield (row, array of linked rows). split > 0: only pairs of the first split rows with the others. Pairs of two
     sets above the size class belong to another product."""
     m = len(sets)
-    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    a, b = (np.arange(split), np.arange(split, m)) if split else (np.arange(m), np.arange(m))
+    # overlap o needs 100 o >= percent (na + nb - o)
+    need = -((-percent * (sizes[a][:, None] + sizes[b][None, :])) // (100 + percent))
+    alive = (np.minimum(sizes[a][:, None], sizes[b][None, :]) >= need) & ~(big[a][:, None] & big[b][None, :])
+    if not split:
+        alive &= a[:, None] < b[None, :]
+    if not alive.any():
+        return
+    row = np.repeat(np.arange(m), sizes)
     names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     again = counts[column] > 1
     row, column = row[again], np.cumsum(counts > 1)[column[again]] - 1
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    a, b = (np.arange(split), np.arange(split, m)) if split else (np.arange(m), np.arange(m))
-    # overlap o needs 100 o >= percent (na + nb - o)
-    need = -((-percent * (sizes[a][:, None] + sizes[b][None, :])) // (100 + percent))
     left = np.bincount(row, minlength=m)
     overlap = np.zeros(need.shape, np.int64)
-    alive = (np.minimum(left[a][:, None], left[b][None, :]) >= need) & ~(big[a][:, None] & big[b][None, :])
-    if not split:
-        alive &= a[:, None] < b[None, :]
+    alive &= np.minimum(left[a][:, None], left[b][None, :]) >= need
     n_columns = int(column[-1]) + 1 if len(column) else 0
     for start in range(0, n_columns, COLUMNS):
         rows_a, rows_b = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
@@ -284,6 +296,17 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, big: np.ndarray, split: in
         yield int(a[i]), b[np.flatnonzero(alive[i])]
 
 
+def _blocks(sets: list[np.ndarray], start: int, end: int) -> list[np.ndarray]:
+    """The rows start to end - 1, cut for dense products."""
+    out, first, held = [], start, 0
+    for i in range(start, end):
+        if i > first and (i - first >= BLOCK_ROWS or held + len(sets[i]) > BLOCK_GRAMS):
+            out.append(np.arange(first, i))
+            first, held = i, 0
+        held += len(sets[i])
+    return [*out, np.arange(first, end)]
+
+
 def _product(rows: list[tuple], percent: int):
     """(doc, smallest doc that its links of this product reach, number of linked documents) of each row."""
     rows = list({r[5:9]: r for r in rows}.values())  # an id may be repeated with its text
@@ -295,25 +318,25 @@ def _product(rows: list[tuple], percent: int):
         return
     big, docs, copies = np.array([r[4] for r in rows]), [r[5] for r in rows], np.array([r[6] for r in rows])
     sets = [r[9] for r in rows]
-    parent = list(range(len(rows)))
+    by_doc = sorted(range(len(rows)), key=docs.__getitem__)
+    group = np.empty(len(rows), np.int64)  # place by id of the smallest row reached
+    group[by_doc] = np.arange(len(rows))
     links = np.zeros(len(rows), np.int64)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, js in _links(sets, np.array([len(s) for s in sets]), big, split, percent):
-        links[i] += copies[js].sum()
-        links[js] += copies[i]
-        for j in js.tolist():
-            x, y = root(i), root(j)
-            if x != y:
-                x, y = (x, y) if docs[x] < docs[y] else (y, x)
-                parent[y] = x
+    if split:
+        pairs = itertools.product(_blocks(sets, 0, split), _blocks(sets, split, len(rows)))
+    else:
+        pairs = itertools.combinations_with_replacement(_blocks(sets, 0, len(rows)), 2)
+    for x, y in pairs:
+        at, cut = (x, 0) if x is y else (np.concatenate([x, y]), len(x))
+        for i, js in _links([sets[i] for i in at], big[at], cut, percent):
+            i, js = at[i], at[js]
+            links[i] += copies[js].sum()
+            links[js] += copies[i]
+            met = np.unique(np.append(group[js], group[i]))
+            if len(met) > 1:
+                group[np.isin(group, met)] = met[0]
     for i in np.flatnonzero(links).tolist():
-        yield docs[i], docs[root(i)], int(links[i])
+        yield docs[i], docs[by_doc[group[i]]], int(links[i])
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,60 +372,67 @@ def _products(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, pe
     spread = classes.withColumn("scheme", F.explode("schemes")).withColumn("node", _node("rep", "scheme"))
     rows = stored(spread.join(blocks, "node").select(
         "rep", "n", "k1", "k2", "copies", "component", (F.col("scheme") != F.col("schemes")[0]).alias("big")))
-    cut = lambda m, grams: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS)).cast("long")
+    cut = lambda m, grams: F.greatest(F.ceil(m / PART_ROWS), F.ceil(grams / PART_GRAMS)).cast("long")
     small = lambda x: F.sum(F.when(~F.col("big"), x).otherwise(0))
     sizes = rows.groupBy("component").agg(
         F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"), small(F.lit(1)).alias("small"), small(F.col("n")).alias("small_grams"))
     parts = stored(
         sizes.filter("m > 1 AND small > 0").withColumn("whole", cut(F.col("m"), F.col("grams")) <= 1)
         .select("component", "whole", cut(F.col("small"), F.col("small_grams")).alias("p"),
-                cut(F.col("m") - F.col("small"), F.col("grams") - F.col("small_grams")).alias("q"))
+                cut(F.col("m") - F.col("small"), F.col("grams") - F.col("small_grams")).alias("q"),
+                "grams", "small_grams")
     )
     # parts 0 to p-1 hold the sets of the size class, parts p to p+q-1 larger ones, which meet the former only
     hashed = F.xxhash64("rep", F.lit("part"))
     own = F.when(F.col("whole"), 0).when(F.col("big"), F.col("p") + F.pmod(hashed, F.col("q"))).otherwise(F.pmod(hashed, F.col("p")))
     others = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(
         F.sequence(F.lit(0).cast("long"), F.when(F.col("big"), F.col("p")).otherwise(F.col("p") + F.col("q")) - 1))
+    moved = F.when(F.col("whole"), F.col("grams")).otherwise(
+        F.col("small_grams") * (F.col("p") + F.col("q")) + (F.col("grams") - F.col("small_grams")) * F.col("p"))
+    rounds = -(-(parts.agg(F.sum(moved)).first()[0] or 0) // max(ROUND_GRAMS, classes.agg(F.sum("n")).first()[0] or 0))
     planned = (
-        rows.join(parts, "component").withColumn("own", own.cast("long"))
+        rows.join(parts.drop("grams", "small_grams"), "component").withColumn("own", own.cast("long"))
         .select("rep", "k1", "k2", "copies", "big", "component", "own", F.explode(others).alias("other"))
         .select("rep", "k1", "k2", "copies", "big", "component", F.least("own", "other").alias("lo"),
                 F.greatest("own", "other").alias("hi"), "own")
     )
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    wanted = semi_filter(ids, "doc_id", rows, "rep")
 
     def worker():
         def step(texts):
-            sets = Words(texts).shingles(k)
-            keys = [set_keys(s) for s in sets]
-            return [[a for a, _ in keys], [b for _, b in keys], [s.astype(np.int64) for s in sets]]
+            keys = [set_keys(s) for s in Words(texts).shingles(k)]
+            return [[a for a, _ in keys], [b for _, b in keys], texts]
         return step
 
-    sets = map_texts(wanted, "doc_id", "text", worker, "k1 long, k2 long, grams array<long>", rows_at_once=256)
     id_type = T._parse_datatype_string(f"doc {classes.schema['rep'].dataType.simpleString()}")[0].dataType
     schema = T.StructType([T.StructField("doc", id_type), T.StructField("root", id_type), T.StructField("links", T.LongType())])
 
     def multiply(batches):
         held, at = [], None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[:-1]]
-            grams = batch.column(batch.num_columns - 1)
-            flat, ends = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
+            cols, texts = [c.to_pylist() for c in batch.columns[:-1]], batch.column(batch.num_columns - 1).to_pylist()
+            sets = (s for start, end in cuts(texts, 256, 1 << 21) for s in Words(texts[start:end]).shingles(k))
             done = []
-            for i, key in enumerate(zip(*cols[:3], strict=True)):
+            for key, *rest, grams in zip(zip(*cols[:3], strict=True), *cols[3:], sets, strict=True):
                 if key != at:
                     done += _product(held, percent) if held else []
                     held, at = [], key
-                held.append((*key, *(c[i] for c in cols[3:]), flat[ends[i]:ends[i + 1]].copy()))
+                held.append((*key, *rest, grams))
             yield _forest(done, schema)
         yield _forest(list(_product(held, percent)) if held else [], schema)
 
-    return (
-        planned.join(sets.withColumnRenamed("doc_id", "rep"), ["rep", "k1", "k2"])
-        .select("component", "lo", "hi", "own", "big", "rep", "copies", "k1", "k2", "grams")
-        .repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(multiply, schema)
-    )
+    def multiplied(cells: DataFrame) -> DataFrame:
+        texts = map_texts(semi_filter(ids, "doc_id", cells, "rep"), "doc_id", "text", worker, "k1 long, k2 long, text string", rows_at_once=256)
+        return (
+            cells.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "k1", "k2"])
+            .select("component", "lo", "hi", "own", "big", "rep", "copies", "k1", "k2", "text")
+            .repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(multiply, schema)
+        )
+
+    if rounds <= 1:
+        return multiplied(planned)
+    turn = F.pmod(F.xxhash64("component", "lo", "hi", F.lit("round")), F.lit(rounds))
+    return functools.reduce(DataFrame.unionByName, [stored(multiplied(planned.filter(turn == i))) for i in range(rounds)])
 
 
 def _forest(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:

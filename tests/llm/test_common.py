@@ -1,7 +1,7 @@
 import numpy as np
 
 from launchlens.llm import toxicity
-from launchlens.llm.common import drop_rows
+from launchlens.llm.common import discard, drop_rows, read, stored
 
 
 def test_drop_rows_with_clashing_names_and_nulls(spark):
@@ -24,3 +24,19 @@ def test_words_are_told_apart_by_all_their_bytes():
     # the same word has the same feature wherever it stands in a batch
     f, owner = toxicity.features(["one two", "three internationalisationA"])
     assert own[0] <= set(f[owner == 1].tolist())
+
+
+def test_stored_leaves_no_shuffle_files_and_discard_takes_stored_tables_only(spark):
+    known = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    df = spark.range(100).repartition(3, "id").groupBy("id").count()
+    held = df.collect()
+    before = {i for i in range(2000) if known.contains(i)}
+    table = stored(df)
+    assert {i for i in range(2000) if known.contains(i)} <= before
+    assert sorted(table.collect()) == sorted(held) == sorted(df.collect())
+    own = spark.range(4)
+    discard(table, own, read(spark, "/root/testdata/sf0.001", "labels"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert own.count() == 4 and read(spark, "/root/testdata/sf0.001", "labels").count()
+    discard(stored(spark.range(5)).limit(0))

@@ -118,3 +118,27 @@ def test_nodes_travel_in_48_bits_and_lose_no_partner(spark, percent):
         if any(j != i and a and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)):
             assert i in kept
     assert not {6, 7, 8, 9} & kept
+
+
+@pytest.mark.parametrize("rows_a_part", [2, 5])
+def test_parts_and_rounds_lose_nothing(spark, monkeypatch, rows_a_part):
+    monkeypatch.setattr(jaccard, "PART_ROWS", rows_a_part)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(jaccard, "ROUND_GRAMS", 1)
+    rows = corpus(5, 60)
+    assert result(spark, rows, 3, 80) == brute(rows, 3, 80)
+
+
+def test_a_large_group_is_not_copied_for_each_of_its_parts(spark, monkeypatch, tmp_path):
+    given, whole = str(tmp_path / "rows"), jaccard._product
+
+    def counted(rows, percent):
+        with open(given, "a") as f:
+            f.write(f"{len(rows)}\n")
+        return whole(rows, percent)
+
+    monkeypatch.setattr(jaccard, "_product", counted)
+    base = " ".join(f"w{i}" for i in range(60))
+    got = result(spark, [(i, f"{base} end{i}") for i in range(2600)])
+    assert [r[2:] for r in got] == [(2599, 0)] * 2600
+    assert sum(map(int, open(given))) <= 3 * 2600  # at most once in each size class
